@@ -24,16 +24,18 @@ def context_rows(text: Column, pattern: str, context_lines: int, case_sensitive:
     """
     p = line_pattern(pattern, case_sensitive)
     c = max(int(context_lines), 0)
-    lines = F.split(text, "\n", -1)
-    numbers = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.get(lines, i - 1).rlike(p))
 
-    def snippet(i: Column) -> Column:
+    def snippet(lines: Column, i: Column) -> Column:
         first = F.greatest(i - c, F.lit(1))
         window = F.slice(lines, first, F.least(i + c, F.size(lines)) - first + 1)
         marked = F.transform(window, lambda line, k: F.when(k + first == i, F.regexp_replace(line, p, mark[0] + "$1" + mark[1])).otherwise(line))
         return F.struct(i.cast("int").alias("match_line_number"), F.regexp_replace(F.array_join(marked, "\n"), r"\A\n+", "").alias("context_snippet"))
 
-    return F.transform(numbers, snippet)
+    def found(lines: Column) -> Column:
+        numbered = F.transform(lines, lambda line, k: F.when(line.rlike(p), k + 1))
+        return F.transform(F.filter(numbered, lambda k: k.isNotNull()), lambda k: snippet(lines, k))
+
+    return F.transform(F.array(F.split(text, "\n", -1)), found)[0]  # a lambda's argument is computed once, an expression inside it for each element
 
 
 def extract_context(df: DataFrame, text_col: str, pattern: str, context_lines: int, case_sensitive: bool, keep: tuple[str, ...] = ()) -> DataFrame:
