@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import attribution, decontam, maxscore, mixing, quality, simhash, token_output, toxicity, warc
+from trawl.llm import attribution, decontam, maxscore, mixing, ngram, quality, simhash, token_output, toxicity, warc
 from trawl.llm.cluster import new_path, table
 
 
@@ -43,6 +43,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
+    "op7_ngram": op7_ngram,
     "op8_mixing": op8_mixing,
     "op9_attribution": op9_attribution,
     "op10_decontamination": op10_decontamination,

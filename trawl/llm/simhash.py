@@ -220,7 +220,9 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = staged(near_duplicates(docs, id_col, text_col, radius, width, seed), "groups")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    shared = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_shared"))
+    shared = staged(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_shared")), "shared")
+    if shared.isEmpty():
+        return kept
     once = kept.join(shared, kept[id_col] == shared["_shared"], "left_anti")
     again = kept.join(shared, kept[id_col] == shared["_shared"], "left_semi")
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
