@@ -106,8 +106,8 @@ class PieceEncoder:
     def spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """First byte and end of each token, in bytes of the text; each text is encoded once, whole."""
         if self.by_piece:
-            ends = [np.cumsum(self.byte_len[ids]) for ids in self.encode(texts)]
-            return [(np.concatenate([[0], e[:-1]]).astype(np.int64), e) for e in ends]
+            sizes = [self.byte_len[ids] for ids in self.encode(texts)]
+            return [(ends - size, ends) for size in sizes for ends in [np.cumsum(size)]]
         out = []
         for text, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
             at = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text])]).astype(np.int64)

@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     onward = by_limit.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(onward)
     reached = named.withColumn("level", level).withColumn("under", F.col("level") * F.col("w") <= F.col("cap"))
-    final = F.min(F.when(F.col("under"), F.struct((F.col("cap") / F.col("w")).alias("limit"), "source_size", "level"))).over(everything)["level"]
+    final = F.max(F.when(F.col("under"), F.col("level"))).over(everything)  # levels fall from the first source that stays under its limit
     return reached.withColumn("final", final).select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("w"))).alias("target"))
 
 

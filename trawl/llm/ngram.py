@@ -135,12 +135,13 @@ def merged(best: tuple[np.ndarray, np.ndarray] | None, lengths: np.ndarray, coun
     return longest, np.where(best[0] == longest, best[1], 0) + np.where(lengths == longest, counts, 0)
 
 
-def document_scores(sizes: np.ndarray, base: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(base score, score) of each document. base: log10 of the base probability of all words and ends in order; lengths, counts: at len + 2 positions of each document."""
+def document_scores(sizes: np.ndarray, base: np.ndarray, lengths: np.ndarray, counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base score, score) of each document. base: log10 of the base probability of all words and ends in order; lengths, counts: at len + 2 positions of each document; total: training tokens, the count of the empty context."""
     tokens = sizes + 1
     ends = np.cumsum(tokens)
     before = np.arange(int(tokens.sum())) + np.repeat(np.arange(len(sizes)), tokens)  # the position before each token
-    m, c = lengths[before], counts[before]
+    m = lengths[before]
+    c = np.where(m > 0, counts[before], total)
     goes_on = np.where(lengths[before + 1] == m + 1, counts[before + 1], 0)
     mu = smoothing(m)
     each = np.log10((goes_on + mu * 10.0**base) / (c + mu))
@@ -172,7 +173,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         def result() -> pa.RecordBatch:
             sizes = np.array(own["sizes"], np.int64)
             n = len(sizes)
-            low, high = document_scores(sizes, base, *(x.astype(np.int64) for x in best))
+            low, high = document_scores(sizes, base, *(x.astype(np.int64) for x in best), total)
             n_known = np.add.reduceat(is_known, np.cumsum(sizes + 1) - sizes - 1)
             return pa.RecordBatch.from_arrays([pa.array(own["doc_ids"], pa.int64()), pa.array(own["held"], pa.bool_()), pa.array(sizes + 1), pa.array(n_known, pa.int64()), pa.array(np.full(n, total)), pa.array(low), pa.array(high)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

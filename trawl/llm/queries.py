@@ -97,7 +97,7 @@ totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number()
 named AS (SELECT source, source_size, CASE (nth - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, 3.0::DOUBLE * source_size AS cap FROM totals),
 ordered AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                  / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM named),
-final AS (SELECT arg_min(level, cap / w) FILTER (level * w <= cap) AS level FROM ordered),
+final AS (SELECT max(level) FILTER (level * w <= cap) AS level FROM ordered),
 targets AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM final), 0) * w) AS target FROM named),
 rated AS (SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
                  CAST('0x' || substr(md5('mix-0-' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw

@@ -9,8 +9,8 @@ deals rows by record, sorts them by chunk, and carries digests from row to row.
 Of records with equal payloads (by SHA-256 and length), that with the largest page id is the response and the others
 revisit it, if payloads have at least ``least`` bytes; smaller payloads are all responses. Null pages
 count as empty; null page ids come below all others; of rows with the largest id, repeated, the last one read is
-the response. Only ids and digests are grouped; payloads move once, to their role, by a join whose large
-keys AQE splits.
+the response. Rows are numbered and written first. Only ids and digests are grouped; payloads move once, to
+their role, by a join whose large keys AQE splits.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.cluster import new_path, ship, slices
+from trawl.llm.cluster import new_path, ship, slices, staged
 
 CHUNK = 1 << 20
 TABLE = "record string, chunk int, last boolean, running_sha1 binary, data binary"
@@ -82,6 +82,7 @@ def plan_records(pages: DataFrame, id_col: str, payload_col: str, url_col: str |
     url = F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("page"), url.alias("url"), payload.alias("payload"))
     rows = rows.withColumn("key", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("bigint"))
+    rows = staged(rows, "pages")  # row numbers hold for both uses below only once they are written
     rank = F.struct(F.col("page").isNotNull().alias("known"), "page", "row")
     firsts = rows.groupBy("key", "size").agg(F.max(rank).alias("top")).select(F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("top.page").alias("response"), F.col("top.row").alias("top_row"))
     joined = rows.join(firsts, (F.col("key") == F.col("_key")) & (F.col("size") == F.col("_size")))
