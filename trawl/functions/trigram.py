@@ -97,7 +97,7 @@ def postings(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
 
 def trigrams(text: Column) -> Column:
     """Lower-cased three-character windows, in order, as an array; a look-ahead at each character, so linear in length."""
-    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))."), F.lit(1))
 
 
 def _char_code(c: Column) -> Column:
