@@ -219,7 +219,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     found = staged(near_duplicates(docs, id_col, text_col, radius, width, seed), "groups")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    kept = docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")  # the ids to remove grow with the documents: never broadcast
     shared = staged(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_shared")), "shared")
     if shared.isEmpty():
         return kept
