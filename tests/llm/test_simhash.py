@@ -35,13 +35,13 @@ def classes(nodes, links):
 
 def test_fingerprints():
     texts = [r[1] for r in odd_rows()] + ["ÀÉ a b c\x1cd", "X y Z"]
-    assert simhash.fingerprints(texts, 3, 42).tolist() == [fingerprint(t) for t in texts]
+    assert simhash.fingerprints(texts, 3, 42)[:, 0].tolist() == [fingerprint(t) for t in texts]
     assert fingerprint(None) == 0
 
 
 def test_every_pair_shares_a_key():
-    for radius in (1, 2, 3):
-        masks = simhash.part_masks(radius)
+    for radius, spare in itertools.product((1, 2, 3), (2, 4)):
+        masks = simhash.part_masks(radius, spare)
         for flipped in itertools.combinations(range(0, 64, 5), radius):
             assert any(not any(m >> b & 1 for b in flipped) for m in masks)
 
@@ -99,7 +99,7 @@ def test_near_duplicates_against_brute_force(spark):
 def test_representatives(spark):
     rows = near_rows()
     docs = frame(spark, rows)
-    kept = simhash.keep_representatives(docs, width=3)
+    kept = simhash.keep_representatives(docs, radius=2, width=3, many=1, spare=4)
     assert kept.columns == docs.columns
     groups = simhash.near_duplicates(docs)
     want = {r.doc_id for r in groups.collect() if r.doc_id is not None and r.doc_id == r.component_id}
@@ -107,3 +107,13 @@ def test_representatives(spark):
     assert {i for i in got if i is not None} == want and len([i for i in got if i is not None]) == len(want)
     assert got.count(None) == 2
     assert simhash.keep_representatives(frame(spark, [])).count() == 0
+
+
+def test_many_fingerprints_against_brute_force(spark):
+    rows = [(i, *r[1:]) for i, r in enumerate(near_rows())]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, rows), radius=3, width=5, many=3, spare=2).collect()}
+    prints = simhash.fingerprints([r[1] for r in rows], 5, 42, 3).tolist()
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if any((a ^ b).bit_count() <= 3 for a, b in zip(prints[i], prints[j], strict=True))]
+    assert got == classes(range(len(rows)), links)
+    one = simhash.near_duplicates(frame(spark, rows), radius=3, width=5, many=1)
+    assert one.select("component_id").distinct().count() >= len(set(got.values()))
