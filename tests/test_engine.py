@@ -42,11 +42,11 @@ def test_predicates(spark, text, pattern, mode, expected):
 
 @pytest.fixture(scope="module")
 def mixed(spark):
-    texts = [t for t, *_ in FIXTURES] + ["naïve café 東京 needle", "emoji 🦀 and ASCII tag", "plain ascii needle", "unw" * 500 + "unwind", "", "a", "list_edge_gateway_display_fields", "list prefix list_edge_x"]
+    texts = [t for t, *_ in FIXTURES] + ["olá crêpe 大阪 thimble", "sign 🐢 with plain label", "only latin thimble", "run" * 500 + "runaway", "", "a", "rows_left_margin_shown_cells", "rows before rows_left_x"]
     return build(spark, texts)
 
 
-@pytest.mark.parametrize("pattern_mode", sorted({(p, m) for _, p, m, _ in FIXTURES} | {("%東京 %", "like"), ("%café%", "like"), ("%needle%", "like"), ("%unwind%", "like"), ("%list_edge%", "like"), ("%", "like"), ("NEEDLE|tag", "iregex"), ("%zzz%", "like")}))
+@pytest.mark.parametrize("pattern_mode", sorted({(p, m) for _, p, m, _ in FIXTURES} | {("%大阪 %", "like"), ("%crêpe%", "like"), ("%thimble%", "like"), ("%runaway%", "like"), ("%rows_left%", "like"), ("%", "like"), ("THIMBLE|label", "iregex"), ("%zzz%", "like")}))
 def test_probe_equals_scan(mixed, pattern_mode):
     pattern, mode = pattern_mode
     want = ids(mixed.docs.where(predicate(F.col("text"), pattern, mode)))
@@ -70,16 +70,16 @@ def test_conjunction_keeps_both(spark):
 
 
 def test_pending_seal_and_late_rows(spark):
-    index = build(spark, [f"early-{i}" for i in range(30)] + [f"late-{i}" for i in range(10)], lambda df: df.limit(0))
+    index = build(spark, [f"first-{i}" for i in range(30)] + [f"after-{i}" for i in range(10)], lambda df: df.limit(0))
     keys = index.docs.select("id")
     index.append(keys.where("id <= 30"))
-    assert ids(search(index, "%early-%", "like", ALWAYS)) == []
+    assert ids(search(index, "%first-%", "like", ALWAYS)) == []
     cut = index.detach()
     index.append(keys.where("id > 30"))
     assert index.seal(cut) == 30
-    assert len(ids(search(index, "early-%", "like", ALWAYS))) == 30 and ids(search(index, "late-%", "like", ALWAYS)) == []
+    assert len(ids(search(index, "first-%", "like", ALWAYS))) == 30 and ids(search(index, "after-%", "like", ALWAYS)) == []
     assert index.seal() == 10 and index.seal() == 0
-    assert len(ids(search(index, "late-%", "like", ALWAYS))) == 10
+    assert len(ids(search(index, "after-%", "like", ALWAYS))) == 10
     index.append(keys)
     assert index.seal() == 0
     duplicates = index.postings().groupBy("trigram", "doc_key").count().where("count > 1").count()
@@ -87,30 +87,30 @@ def test_pending_seal_and_late_rows(spark):
 
 
 def test_tombstones(spark):
-    index = build(spark, ["keep mee", "delete mee soon", "keep mee too"])
+    index = build(spark, ["hold moo", "drop moo now", "hold moo also"])
     gone = spark.createDataFrame([(2,), (2,), (None,)], "k bigint")
-    assert len(ids(search(index, "%mee%", "like", ALWAYS))) == 3
+    assert len(ids(search(index, "%moo%", "like", ALWAYS))) == 3
     assert index.tombstone(gone) == 1 and index.tombstone(gone) == 0
     for gate in (ALWAYS, Gate()):
-        assert ids(search(index, "%mee%", "like", gate)) == [1, 3]
+        assert ids(search(index, "%moo%", "like", gate)) == [1, 3]
     assert index.docs.count() == 3
-    assert phrase_positions(index, "mee").count() == 2
+    assert phrase_positions(index, "moo").count() == 2
 
 
 def test_merges_keep_results_and_drop_the_dead(spark):
-    index = build(spark, [f"{'needle-' if i % 10 == 0 else ''}{i * 7919:032x}" for i in range(120)], lambda df: df.where("id <= 40"))
+    index = build(spark, [f"{'thimble-' if i % 10 == 0 else ''}{i * 7919:032x}" for i in range(120)], lambda df: df.where("id <= 40"))
     for low in (40, 60, 80, 100):
         index.append(index.docs.where(f"id > {low} and id <= {low + 20}").select("id"))
         index.seal(target=3)
     assert len(index.manifest()["segments"]) <= 3
-    before = ids(search(index, "%needle%", "like", ALWAYS))
+    before = ids(search(index, "%thimble%", "like", ALWAYS))
     assert len(before) == 12
     index.tombstone(spark.createDataFrame([(1,)], "k bigint"))
     assert index.merge(1) == 1
-    assert ids(search(index, "%needle%", "like", ALWAYS)) == before[1:]
+    assert ids(search(index, "%thimble%", "like", ALWAYS)) == before[1:]
     assert index.postings().where("doc_key = 1").count() == 0
     index.vacuum()
-    assert ids(search(TextIndex.open(index.docs, "id", "text", index.files.root), "%needle%", "like", ALWAYS)) == before[1:]
+    assert ids(search(TextIndex.open(index.docs, "id", "text", index.files.root), "%thimble%", "like", ALWAYS)) == before[1:]
 
 
 def test_writers_exclude_each_other(spark):
@@ -150,9 +150,9 @@ def test_lookups_are_pushed_to_the_scan(spark):
 
 
 def test_phrases(spark):
-    index = build(spark, ["needle Needle needle", "no", "neédle needle"])
-    rows = lambda sensitive: sorted(map(tuple, phrase_positions(index, "needle", sensitive).where("doc_key = 1").collect()))
-    assert rows(True) == [(1, 0), (1, 14)] and rows(False) == [(1, 0), (1, 7), (1, 14)]
+    index = build(spark, ["thimble Thimble thimble", "no", "thímble thimble"])
+    rows = lambda sensitive: sorted(map(tuple, phrase_positions(index, "thimble", sensitive).where("doc_key = 1").collect()))
+    assert rows(True) == [(1, 0), (1, 16)] and rows(False) == [(1, 0), (1, 8), (1, 16)]
     with pytest.raises(ValueError):
         phrase_positions(index, "ab")
 
@@ -186,18 +186,18 @@ def test_empty_and_de_bruijn(spark):
 
 
 def test_stream(spark, tmp_path):
-    df = spark.createDataFrame([(i, f"needle {i}") for i in range(20)], TEXT)
+    df = spark.createDataFrame([(i, f"thimble {i}") for i in range(20)], TEXT)
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     index = TextIndex.build(df, "id", "text", workspace(spark, "t"), df.limit(0))
     ingest(index, spark.readStream.schema(TEXT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "at"), seal=True).awaitTermination()
-    assert len(ids(search(index, "%needle%", "like", ALWAYS))) == 20
+    assert len(ids(search(index, "%thimble%", "like", ALWAYS))) == 20
 
 
 CONTEXT = [
-    ("alpha\nneedle here\nbeta\nneedle again\nomega", "needle", 1, True, [(2, "alpha\n<mark>needle</mark> here\nbeta"), (4, "beta\n<mark>needle</mark> again\nomega")]),
-    ("First line\nNeedle in caps\nLast line", "needle", 0, False, [(2, "<mark>Needle</mark> in caps")]),
-    ("line one\nmatch me\nline three", "match", -5, True, [(2, "<mark>match</mark> me")]),
-    ("alpha\nbeta\ngamma", "needle", 2, True, []),
+    ("red\nthimble now\nblue\nthimble then\ngrey", "thimble", 1, True, [(2, "red\n<mark>thimble</mark> now\nblue"), (4, "blue\n<mark>thimble</mark> then\ngrey")]),
+    ("One\nThimble on top\nEnd", "thimble", 0, False, [(2, "<mark>Thimble</mark> on top")]),
+    ("row a\nmatch it\nrow c", "match", -5, True, [(2, "<mark>match</mark> it")]),
+    ("alpha\nbeta\ngamma", "thimble", 2, True, []),
     ("\n\nhit", "hit", 2, True, [(3, "<mark>hit</mark>")]),
     ("ab\rcd\nx", "ab.cd", 0, True, [(1, "<mark>ab\rcd</mark>")]),
     ("é É", "é", 0, False, [(1, "<mark>é</mark> <mark>É</mark>")]),

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawl.sources.ship import ship
+
 MAX_POSITION = (1 << 24) - 1
 POSTINGS = "trigram int, doc_key bigint, occ array<struct<pos: int, flags: int>>"
 
@@ -91,6 +93,7 @@ def postings(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
                 occ = pa.ListArray.from_arrays(pa.array(np.append(cat(offsets), total), pa.int32()), pa.StructArray.from_arrays([pa.array(cat(where), pa.int32()), pa.array(cat(flags), pa.int32())], ["pos", "flags"]))
                 yield pa.RecordBatch.from_arrays([pa.array(cat(codes), pa.int32()), pa.array(cat(keys), pa.int64()), occ], ["trigram", "doc_key", "occ"])
 
+    ship(docs.sparkSession)
     narrow = docs.where(F.col(text_col).isNotNull() & F.col(key_col).isNotNull()).select(F.col(key_col).cast("bigint").alias("doc_key"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(extract, POSTINGS)
 
