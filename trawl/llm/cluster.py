@@ -7,45 +7,18 @@ Cutting lineage is always done by writing Parquet into the folder that the sessi
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.sources.ship import ship as ship
+
 #: Bytes of plain input that one task should get.
 TASK_BYTES = 32 << 20
 
-#: Rows that Spark hands to Python at once: a batch of texts has to fit in a worker's memory.
-BATCH_ROWS = 500
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that they needn't have it installed."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
-        spark.conf.set(rows, str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="trawl-"), "trawl_code.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where a local session names none, one under /tmp."""
