@@ -20,7 +20,7 @@ _UNSURE = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0
 _RARE = tuple(map(chr, [*range(9), *range(11, 13), *range(14, 32), 127]))
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Pieces kept at most; beyond them the table is emptied, so that memory is bounded.
-KEPT = 600_000
+KEPT = 1_200_000
 LOADED: dict[str, PieceEncoder] = {}
 
 
