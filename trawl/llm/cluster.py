@@ -57,11 +57,11 @@ def drop(df: DataFrame) -> None:
 
 
 def partitions(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
-    """The session's shuffle partitions, or more where the plan's size estimate asks for more."""
+    """The session's shuffle partitions, or more where the plan's size estimate asks for more; an unknown size asks for nothing."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(math.ceil(size / task_bytes), 1_000_000))
+    return max(least, math.ceil(size / task_bytes)) if size < 1 << 60 else least
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,0 +1,51 @@
+"""How many documents of a sorted run begin with the same tokens, for every length of beginning.
+
+Documents come sorted so that those which share their first tokens stand together. Neighbours' common lengths say it all:
+a document shares its first j tokens with the run of documents around it whose neighbours share j or more. Stacks of
+falling common lengths, swept from the left and from the right, hold each document's extent for every j.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Leading tokens that two documents share."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def extents(shared: list[int]) -> list[list[tuple[int, int]]]:
+    """shared[k]: tokens in common with the document before (0 for the first). For each document [(j, documents before it that share j tokens or fewer, down to the pair before)], j ascending."""
+    out: list[list[tuple[int, int]]] = []
+    stack: list[tuple[int, int]] = []  # (common length, first document of the run that shares it), lengths ascending
+    for k, length in enumerate(shared):
+        first = k - 1
+        while stack and stack[-1][0] >= length:
+            first = stack.pop()[1]
+        if length:
+            stack.append((length, first))
+        out.append([(j, k - at) for j, at in stack])
+    return out
+
+
+def steps(shared: list[int]) -> list[tuple[list[int], list[int]]]:
+    """For each document (upto, counts): how many documents share its first j tokens, for j up to each of ``upto``; beyond the last, one."""
+    n = len(shared)
+    left = extents(shared)
+    right = extents([0, *shared[:0:-1]])[::-1] if n else []
+    out = []
+    for a, b in zip(left, right, strict=True):
+        upto = sorted({j for j, _ in a} | {j for j, _ in b})
+        counts = []
+        x = y = 0
+        for j in upto:
+            while x < len(a) and a[x][0] < j:
+                x += 1
+            while y < len(b) and b[y][0] < j:
+                y += 1
+            counts.append(1 + (a[x][1] if x < len(a) else 0) + (b[y][1] if y < len(b) else 0))
+        out.append((upto, counts))
+    return out

@@ -3,19 +3,24 @@
 Training documents are those whose CRC-32 of the id's decimal text is not ``fold`` modulo ``folds`` (a null id counts as an
 empty text). Texts are A-Z-lower-cased words and one end; null texts are empty. Words are XXH64 hashes from here on.
 
-1. Documents are packed into batches of about half a million words: a table of the batch's distinct words with their
-   training counts, and each word's place in it.
-2. Word counts are summed over batches and go back to the batches that hold the word: N, V and the add-one base.
-3. Training documents are dealt to shards by batch; each shard's task sorts a suffix array of contexts, then streams
-   all batches past it and answers, for each position, the longest context that the shard holds and how often.
-4. Answers are merged by position: the longest length over all shards, counts summed over the shards that reach it. A
+1. Documents are dealt by a hash of their first words and sorted by their words, so those that begin alike are neighbours, and
+   packed into batches of about half a million words: a table of the batch's distinct words with their training
+   counts, and each word's place in it.
+2. Counts of words, and of beginnings of up to nine tokens, are summed over batches and go back to the batches that hold
+   them: N, V, the add-one base.
+3. A training document's longest context is all that precedes, since it holds that itself. How many training documents share
+   a beginning longer than nine tokens is known among its neighbours (``families``).
+4. Training documents are dealt to shards by batch; each shard's task sorts a suffix array of contexts, then streams
+   the held-out documents past it and answers, for each position, the longest context that the shard holds and how often.
+5. Answers are merged by position: the longest length over all shards, counts summed over the shards that reach it. A
    context reaches back to the document's start, which is a token of it, and no further.
-5. With length m and count c of the longest context before a word, its continuation count is the count after the word if
+6. With length m and count c of the longest context before a word, its continuation count is the count after the word if
    the length there is m + 1, else 0: P = (continuation + mu * base) / (c + mu), mu = 0.05 + 1000 / m**3, which sums to 1
    over the vocabulary and one unknown word. Long contexts are trusted at once, short ones once they are frequent.
 
-A task holds one shard (``SHARD`` training words on average) and one batch at a time. Each position is searched for in each
-shard, so work grows as words times shards; see the README for what that costs.
+A task holds one shard (``SHARD`` training words on average) and one batch at a time, and a few numbers for each
+document of a family. Each held-out position is searched for in each shard, so that part grows as held-out words times
+shards; see the README for what it costs.
 """
 
 from __future__ import annotations
@@ -30,98 +35,183 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.cluster import ship, slices, staged
+from trawl.llm.cluster import partitions, ship, slices, staged
+from trawl.llm.families import common, steps
 from trawl.llm.suffixes import Shard
 
-BATCH, SHARD, FOLDS, FOLD = 1 << 19, 6_000_000, 7, 2
-_BATCHES = "batch bigint, doc_ids array<bigint>, held array<boolean>, sizes array<int>, words array<bigint>, trained array<bigint>, places binary"
-_ROW = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("words", pa.list_(pa.int64())), ("trained", pa.list_(pa.int64())), ("places", pa.binary())])
+BATCH, SHARD, FOLDS, FOLD = 1 << 19, 8_000_000, 7, 2
+#: Tokens of a beginning, its start included, that are counted like words.
+HEAD = 9
+#: kind 0: a batch, all its documents; 1: its held-out documents alone; 2: family counts of its training documents.
+_TABLE = "kind int, batch bigint, doc_ids array<bigint>, held array<boolean>, sizes array<int>, words array<bigint>, trained array<bigint>, places binary, heads array<bigint>, headed array<bigint>, head_places binary, counts binary"
+_ROW = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("words", pa.list_(pa.int64())), ("trained", pa.list_(pa.int64())), ("places", pa.binary()), ("heads", pa.list_(pa.int64())), ("headed", pa.list_(pa.int64())), ("head_places", pa.binary()), ("counts", pa.binary())])
 
 
 def is_held(doc: int | None, folds: int, fold: int) -> bool:
     return zlib.crc32(b"" if doc is None else str(doc).encode()) % folds == fold
 
 
-def word_hashes(text: str | None) -> list[int]:
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def word_hashes(words: list[bytes]) -> list[int]:
     """XXH64 of the words; 0 to 2 stand for other things."""
     h = xxhash.xxh64_intdigest
-    return [x if (x := h(w)) > 2 else x + 3 for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
+    return [x if (x := h(w)) > 2 else x + 3 for w in words]
+
+
+def head_hashes(hashes: np.ndarray) -> list[int]:
+    """Hashes of the first 2 to ``HEAD`` tokens of START, the words, END."""
+    whole = [*hashes[: HEAD - 1].tolist(), 2] if len(hashes) < HEAD - 1 else hashes[: HEAD - 1].tolist()
+    raw = np.array(whole, "<u8").tobytes()
+    return [xxhash.xxh64_intdigest(raw[: 8 * k], 1) for k in range(1, min(HEAD - 1, len(hashes) + 1) + 1)]
+
+
+def deal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(family, id, key): family: a hash of the first words; key: the words, each with a space after it. Sorted by family and key in each partition."""
+    ship(docs.sparkSession)
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = [split(t) for t in batch.column(1).to_pylist()]
+            families = [xxhash.xxh64_intdigest(b" ".join([*w[: HEAD - 1], b"" if len(w) < HEAD - 1 else b" "])) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(families, np.uint64).view(np.int64)), batch.column(0), pa.array([b"".join([x + b" " for x in w]) for w in words], pa.binary())], ["family", "id", "key"])
+
+    made = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(key, "family bigint, id bigint, key binary")
+    return made.repartition(partitions(docs), "family").sortWithinPartitions("family", "key", "id")
 
 
 def smoothing(length: np.ndarray) -> np.ndarray:
     return 0.05 + 1000.0 / np.maximum(length, 1).astype(np.float64) ** 3
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str, folds: int, fold: int, batch_words: int) -> DataFrame:
-    ship(docs.sparkSession)
+def _pack_words(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words, places of all words in them), frequent words first so that places compress."""
+    words, places, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    return words[order], rank[places]
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 2)
+
+
+def _unsqueezed(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def packed(dealt: DataFrame, folds: int, fold: int, batch_words: int) -> DataFrame:
+    """Rows of ``_TABLE`` from the dealt documents."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number = TaskContext.get().partitionId() << 32, 0
         ids: list[int | None] = []
         hashes: list[np.ndarray] = []
         total = 0
+        family, before = None, None
+        members: list[tuple[int, int]] = []  # (batch, place in it) of the family's training documents
+        shared: list[int] = []
 
-        def flush() -> pa.RecordBatch:
-            words, places = np.unique(np.concatenate(hashes), return_inverse=True)
+        def flush() -> Iterator[pa.RecordBatch]:
             held = np.array([is_held(i, folds, fold) for i in ids])
             sizes = [len(h) for h in hashes]
+            words, places = _pack_words(hashes)
             trained = np.bincount(places[np.repeat(~held, sizes)], minlength=len(words))
-            row = {"batch": first + number, "doc_ids": ids, "held": held.tolist(), "sizes": sizes, "words": words.view(np.int64), "trained": trained, "places": places.astype("<u4").tobytes()}
-            return pa.RecordBatch.from_pylist([row], _ROW)
+            own = [head_hashes(h) for h, out in zip(hashes, held, strict=True) if not out]
+            heads, head_places, headed = np.unique(np.array([x for h in own for x in h], np.uint64), return_inverse=True, return_counts=True)
+            rows = [{"kind": 0, "batch": first + number, "doc_ids": ids, "held": held.tolist(), "sizes": sizes, "words": words.view(np.int64), "trained": trained, "places": _squeezed(places), "heads": heads.view(np.int64), "headed": headed, "head_places": _squeezed(head_places)}]
+            if held.any():
+                asked = [h for h, out in zip(hashes, held, strict=True) if out]
+                words, places = _pack_words(asked)
+                rows.append({"kind": 1, "batch": first + number, "sizes": [len(h) for h in asked], "words": words.view(np.int64), "places": _squeezed(places)})
+            yield pa.RecordBatch.from_pylist(rows, _ROW)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """Counts of a family of two and more: for each document its place, the number of its steps, and the steps."""
+            if len(members) > 1:
+                by_batch: dict[int, list[int]] = {}
+                for (batch, place), (upto, counts) in zip(members, steps(shared), strict=True):
+                    by_batch.setdefault(batch, []).extend([place, len(upto), *upto, *counts])
+                for batch, flat in by_batch.items():
+                    yield pa.RecordBatch.from_pylist([{"kind": 2, "batch": batch, "counts": _squeezed(np.array(flat))}], _ROW)
 
         for batch in slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for group, doc, key in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                own = np.array(word_hashes(key.split()), np.uint64)
+                if group != family:
+                    yield from close()
+                    family, before, members, shared = group, None, [], []
+                if not is_held(doc, folds, fold):
+                    whole = np.concatenate([np.array([1], np.uint64), own, np.array([2], np.uint64)])
+                    shared.append(0 if before is None else common(before, whole))
+                    members.append((first + number, len(ids)))
+                    before = whole
                 ids.append(doc)
-                hashes.append(np.array(word_hashes(text), np.uint64))
-                total += len(hashes[-1])
+                hashes.append(own)
+                total += len(own)
                 if total >= batch_words:
-                    yield flush()
+                    yield from flush()
                     ids, hashes, total, number = [], [], 0, number + 1
+        yield from close()
         if ids:
-            yield flush()
+            yield from flush()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(pack, _BATCHES)
+    return dealt.mapInArrow(pack, _TABLE)
 
 
 def unpacked(row: dict) -> list[np.ndarray]:
     words = np.array(row["words"], np.int64).view(np.uint64)
-    text = words[np.frombuffer(row["places"], "<u4")]
-    return np.split(text, np.cumsum(row["sizes"])[:-1]) if row["sizes"] else []
+    return np.split(words[_unsqueezed(row["places"])], np.cumsum(row["sizes"])[:-1]) if row["sizes"] else []
 
 
 _ANSWERS = "batch bigint, shard bigint, lengths binary, counts binary"
 
 
-def answers(batches: DataFrame, shards: int) -> DataFrame:
-    """For each batch and shard: length and count of the longest context at each position (start, after each word, after the end) of its documents."""
-    trains = F.exists("held", lambda h: ~h)
-    kept = ("batch", "doc_ids", "held", "sizes", "words", "places")
-    training = batches.where(trains).select(F.pmod(F.xxhash64("batch"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), *kept)
-    asked = batches.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"), F.lit(1).alias("kind"), *kept)
+def answers(table: DataFrame, shards: int) -> DataFrame:
+    """For each batch and shard: length and count of the longest context at each position (start, after each word, after the end) of its held-out documents."""
+    kept = ("batch", "held", "sizes", "words", "places")
+    trains = table.where((F.col("kind") == 0) & F.exists("held", lambda h: ~h))
+    numbered = trains.select("batch", F.pmod(F.row_number().over(Window.orderBy("batch")) - 1, F.lit(shards)).cast("bigint").alias("shard"))  # one row for each batch: shards get equal numbers of them
+    training = trains.join(numbered, "batch").select("shard", F.lit(0).alias("kind"), *kept)
+    asked = table.where("kind = 1").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"), F.lit(1).alias("kind"), *kept)
 
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, training_docs, built = None, [], None
+        held_rows: list[tuple[int, list[np.ndarray]]] = []
+        size = 0
+
+        def search() -> Iterator[pa.RecordBatch]:
+            found = built.longest_of([d for _, docs in held_rows for d in docs])
+            at = 0
+            for batch, docs in held_rows:
+                part = found[at : at + len(docs)]
+                at += len(docs)
+                lengths, counts = (np.concatenate([x[k] for x in part]) for k in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([current], pa.int64()), pa.array([_squeezed(lengths)]), pa.array([_squeezed(counts)])], ["batch", "shard", "lengths", "counts"])
+
         for one in slices(rows, 1):
             row = one.to_pylist()[0]
             if row["shard"] != current:
-                current, training_docs, built = row["shard"], [], None
+                if held_rows:
+                    yield from search()
+                current, training_docs, built, held_rows, size = row["shard"], [], None, [], 0
             docs = unpacked(row)
             if row["kind"] == 0:
                 training_docs += [d for d, held in zip(docs, row["held"], strict=True) if not held]
                 continue
             if built is None:
-                built, training_docs = Shard(training_docs), []
-            found = []
-            part: list[np.ndarray] = []
-            for d in docs:
-                part.append(d)
-                if sum(map(len, part)) > 1 << 17:
-                    found += built.longest_of(part)
-                    part = []
-            found += built.longest_of(part) if part else []
-            lengths = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in found)]).astype("<u4")
-            counts = np.concatenate([np.zeros(0, np.int64), *(x for _, x in found)]).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]], pa.int64()), pa.array([current], pa.int64()), pa.array([zlib.compress(lengths.tobytes(), 1)]), pa.array([zlib.compress(counts.tobytes(), 1)])], ["batch", "shard", "lengths", "counts"])
+                built = Shard(training_docs)
+                training_docs = []
+            held_rows.append((row["batch"], docs))
+            size += sum(map(len, docs))
+            if size >= 1 << 19:
+                yield from search()
+                held_rows, size = [], 0
+        if held_rows:
+            yield from search()
 
     dealt = training.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "batch")
     return dealt.mapInArrow(answer, _ANSWERS)
@@ -149,32 +239,82 @@ def document_scores(sizes: np.ndarray, base: np.ndarray, lengths: np.ndarray, co
     return np.add.reduceat(base, starts), np.add.reduceat(each, starts)
 
 
+def positions(row: dict, documents: int, headed: np.ndarray, family: list[np.ndarray], best: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, counts) at all positions of a batch's documents. headed: counts of its training documents' beginnings; family: its rows of kind 2; best: of its held-out documents."""
+    sizes = np.array(row["sizes"], np.int64) + 2
+    held = np.array(row["held"])
+    starts = np.cumsum(sizes) - sizes
+    lengths = np.arange(int(sizes.sum())) - np.repeat(starts, sizes) + 1
+    counts = np.ones(len(lengths), np.int64)
+    out = np.repeat(held, sizes)
+    if best is not None:
+        lengths[out], counts[out] = best
+    own = starts[~held]
+    counts[own] = documents
+    n_heads = np.minimum(HEAD, sizes[~held]) - 1
+    at = np.repeat(own, n_heads) + 1 + np.arange(int(n_heads.sum())) - np.repeat(np.cumsum(n_heads) - n_heads, n_heads)
+    counts[at] = headed
+    for flat in family:
+        k = 0
+        while k < len(flat):
+            place, n = int(flat[k]), int(flat[k + 1])
+            upto, values = flat[k + 2 : k + 2 + n], flat[k + 2 + n : k + 2 + 2 * n]
+            k += 2 + 2 * n
+            if n:
+                begin = min(HEAD, int(sizes[place]))
+                runs = np.diff(np.maximum(upto, begin), prepend=begin)
+                counts[starts[place] + begin : starts[place] + max(int(upto[-1]), begin)] = np.repeat(values, runs)
+    return lengths, counts
+
+
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: int = FOLD, shard: int = SHARD, batch_words: int = BATCH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. Rows with equal or null ids are separate rows."""
-    batches = staged(packed(docs, id_col, text_col, folds, fold, batch_words), "ngram-batches", max_records=16)
-    by_word = Window.partitionBy("word")
-    words = batches.select("batch", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("trained").alias("n"))))
-    counts = staged(words.select("batch", "word", F.sum("n").over(by_word).cast("bigint").alias("c"), (F.min("batch").over(by_word) == F.col("batch")).alias("first")), "ngram-counts")
-    trained = counts.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    documents = batches.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
-    total, kinds = int(trained[0]) + int(documents), int(trained[1]) + int(documents > 0)
+    table = staged(packed(deal(docs, id_col, text_col), folds, fold, batch_words), "ngram-batches", max_records=32)
+    batches = table.where("kind = 0")
+    by_word = Window.partitionBy("head", "word")
+    words = batches.select("batch", F.lit(False).alias("head"), F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("trained").alias("n"))))
+    heads = batches.select("batch", F.lit(True).alias("head"), F.inline(F.arrays_zip(F.col("heads").alias("word"), F.col("headed").alias("n"))))
+    counts = staged(words.union(heads).select("batch", "head", "word", F.sum("n").over(by_word).cast("bigint").alias("c"), (F.min("batch").over(by_word) == F.col("batch")).alias("first")), "ngram-counts")
+    trained = counts.where("first and not head").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    documents = int(batches.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0])
+    total, kinds = int(trained[0]) + documents, int(trained[1]) + int(documents > 0)
     shards = max(1, -(-total // shard))
-    found = staged(answers(batches, shards), "ngram-answers", codec="none")
+    found = staged(answers(table, shards), "ngram-answers", codec="none")
+
+    null = lambda t, name: F.lit(None).cast(t).alias(name)
+    empty = {"doc_ids": "array<bigint>", "held": "array<boolean>", "sizes": "array<int>", "words": "array<bigint>", "numbers": "array<bigint>", "places": "binary", "more": "binary"}
 
-    null = lambda t: F.lit(None).cast(t)
-    own = batches.select("batch", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("shard"), "doc_ids", "held", "sizes", "words", null("array<bigint>").alias("numbers"), "places", null("binary").alias("more"))
-    pairs = counts.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("word", "c"))).alias("p"))  # a batch's own words: bounded by its size
-    known = pairs.select("batch", F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("shard"), null("array<bigint>").alias("doc_ids"), null("array<boolean>").alias("held"), null("array<int>").alias("sizes"), F.col("p.word").alias("words"), F.col("p.c").alias("numbers"), null("binary").alias("places"), null("binary").alias("more"))
-    told = found.select("batch", F.lit(2).alias("kind"), "shard", null("array<bigint>").alias("doc_ids"), null("array<boolean>").alias("held"), null("array<int>").alias("sizes"), null("array<bigint>").alias("words"), null("array<bigint>").alias("numbers"), F.col("lengths").alias("places"), F.col("counts").alias("more"))
+    def part(df: DataFrame, kind: int, **given) -> DataFrame:
+        return df.select("batch", F.lit(kind).alias("kind"), *[given[k].alias(k) if k in given else null(t, k) for k, t in empty.items()])
+
+    col = F.col
+    own = part(batches, 0, doc_ids=col("doc_ids"), held=col("held"), sizes=col("sizes"), words=col("words"), numbers=col("heads"), places=col("places"), more=col("head_places"))
+    pairs = counts.groupBy("batch", "head").agg(F.array_sort(F.collect_list(F.struct("word", "c"))).alias("p"))  # a batch's own words: bounded by its size
+    known = part(pairs.where("not head"), 1, words=col("p.word"), numbers=col("p.c")).union(part(pairs.where("head"), 2, words=col("p.word"), numbers=col("p.c")))
+    told = part(table.where("kind = 2"), 3, places=col("counts")).union(part(found, 4, places=col("lengths"), more=col("counts")))
 
     def combine(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, base, is_known, best = None, None, None, None
+        own: dict | None = None
+
+        def aligned(keys: list[int], row: dict) -> np.ndarray:
+            signed = np.array(keys, np.int64)
+            c = np.empty(len(signed), np.int64)
+            c[np.argsort(signed)] = row["numbers"]
+            return c
 
         def result() -> pa.RecordBatch:
             sizes = np.array(own["sizes"], np.int64)
             n = len(sizes)
-            low, high = document_scores(sizes, base, *(x.astype(np.int64) for x in best), total)
-            n_known = np.add.reduceat(is_known, np.cumsum(sizes + 1) - sizes - 1)
+            last = np.cumsum(sizes + 1) - 1
+            place = np.full(int(sizes.sum()) + n, len(own["words"]))  # the end comes after all words
+            inner = np.ones(len(place), bool)
+            inner[last] = False
+            place[inner] = _unsqueezed(own["places"])
+            c = np.append(word_counts, documents)
+            base, is_known = np.log10((c + 1) / (total + kinds + 1))[place], (c > 0)[place].astype(np.int64)
+            lengths, counts = positions(own, documents, head_counts[_unsqueezed(own["more"])], family, best)
+            low, high = document_scores(sizes, base, lengths, counts, total)
+            n_known = np.add.reduceat(is_known, last - sizes)
             return pa.RecordBatch.from_arrays([pa.array(own["doc_ids"], pa.int64()), pa.array(own["held"], pa.bool_()), pa.array(sizes + 1), pa.array(n_known, pa.int64()), pa.array(np.full(n, total)), pa.array(low), pa.array(high)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         for one in slices(rows, 1):
@@ -182,29 +322,18 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             if row["kind"] == 0:
                 if own is not None:
                     yield result()
-                own, best = row, None
-                base = is_known = None
-                sizes = np.array(row["sizes"], np.int64)
-                place = np.full(int(sizes.sum()) + len(sizes), len(row["words"]))  # the end comes after all words
-                last = np.cumsum(sizes + 1) - 1
-                inner = np.ones(len(place), bool)
-                inner[last] = False
-                place[inner] = np.frombuffer(row["places"], "<u4")
-                empty = np.array([documents])
-                base, is_known = (np.log10((empty + 1) / (total + kinds + 1)), empty > 0) if not row["words"] else (None, None)
-                if base is not None:
-                    base, is_known = base[place], is_known[place].astype(np.int64)
+                own, best, family = row, None, []
+                word_counts = head_counts = np.zeros(0, np.int64)
             elif row["kind"] == 1:
-                signed = np.array(own["words"], np.int64)
-                order = np.argsort(signed)
-                c = np.empty(len(signed), np.int64)
-                c[order] = row["numbers"]
-                c = np.append(c, documents)
-                base, is_known = np.log10((c + 1) / (total + kinds + 1))[place], (c > 0)[place].astype(np.int64)
+                word_counts = aligned(own["words"], row)
+            elif row["kind"] == 2:
+                head_counts = aligned(own["numbers"], row)
+            elif row["kind"] == 3:
+                family.append(_unsqueezed(row["places"]))
             else:
-                best = merged(best, np.frombuffer(zlib.decompress(row["places"]), "<u4"), np.frombuffer(zlib.decompress(row["more"]), "<u4"))
+                best = merged(best, _unsqueezed(row["places"]), _unsqueezed(row["more"]))
         if own is not None:
             yield result()
 
-    joined = own.union(known).union(told).repartition("batch").sortWithinPartitions("batch", "kind", "shard")
+    joined = own.union(known).union(told).repartition("batch").sortWithinPartitions("batch", "kind")
     return joined.mapInArrow(combine, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -55,15 +55,16 @@ class Shard:
             self.tokens[inner] = np.concatenate(documents)
         self.longest = int(sizes.max(initial=1))
         self.power = powers(self.longest, _BASE)
-        self.rolled = rolled(self.tokens)
         self.vocabulary, ids = np.unique(self.tokens, return_inverse=True)
         self.ids = ids.astype(np.int32)
-        del ids
+        del ids, inner
         self.order = self._sorted(n)
         counts = np.bincount(self.ids, minlength=len(self.vocabulary))
         self.ends = np.cumsum(counts)  # of the ranges of contexts by their nearest token
         self.starts = self.ends - counts
         self.pairs = self._pair(self.order)  # ascending
+        self.rolled = rolled(self.tokens)
+        del self.tokens
 
     def _pair(self, at: np.ndarray) -> np.ndarray:
         """The two nearest tokens of each position as one number; at a shard's very start the second counts as 0."""
@@ -129,7 +130,7 @@ class Shard:
         return self.longest_of([document])[0]
 
     def longest_of(self, documents: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``longest_matches`` of many documents at once."""
+        """``longest_matches`` of many documents at once; best for about a million tokens."""
         sizes = [len(d) + 2 for d in documents]
         total = sum(sizes)
         text = np.empty(total, np.uint64)
@@ -173,8 +174,5 @@ class Shard:
             live = live[some]
             low[live], high[live] = left[some], right[some]
             depth[live] += 1
-        out, at = [], 0
-        for size in sizes:
-            out.append((depth[at : at + size], (high - low)[at : at + size]))
-            at += size
-        return out
+        counts, cuts = high - low, np.cumsum(sizes)[:-1]
+        return list(zip(np.split(depth, cuts), np.split(counts, cuts), strict=True)) if sizes else []
