@@ -1,0 +1,20 @@
+import random
+
+import numpy as np
+
+from trawl.llm.families import common, steps
+
+
+def test_counts_of_beginnings_against_brute_force():
+    rng = random.Random(1)
+    for _ in range(400):
+        docs = sorted([rng.randrange(3) for _ in range(rng.randrange(1, 7))] + [9] for _ in range(rng.randrange(1, 12)))
+        shared = [0] + [common(np.array(a), np.array(b)) for a, b in zip(docs, docs[1:], strict=False)]
+        for doc, (upto, counts) in zip(docs, steps(shared), strict=True):
+            for j in range(1, len(doc) + 1):
+                got = next((c for u, c in zip(upto, counts, strict=True) if j <= u), 1)
+                assert got == sum(d[:j] == doc[:j] for d in docs)
+
+
+def test_no_documents():
+    assert steps([]) == [] and steps([0]) == [([], [])]
