@@ -1,10 +1,10 @@
 """WARC records as a chunked record table, written and read without holding a record whole.
 
-A row of the table is a chunk: (record, chunk, last, running_sha1, data). Chunk 0 holds the record's header block,
-the following ones up to ``CHUNK`` bytes of payload each, the last one the blank lines that end a record, so
-the ``data`` of a record's rows in order are its bytes in WARC/1.1. ``running_sha1`` is the digest of the payload
-up to and with that chunk. A record's rows are written one after the other by one task; the reader
-deals rows by record, sorts them by chunk, and carries digests from row to row.
+A row of the table is a chunk: (record, chunk, last, running_sha1, header, data). ``header`` is the record's header block, in
+its first row alone; ``data`` has up to ``CHUNK`` bytes of payload, and in the last row the blank lines that end a record, so
+headers and data of a record's rows in order are its bytes in WARC/1.1. ``running_sha1`` is the digest of the payload
+up to and with that chunk. Records of one row, the most, are read where they lie; the reader deals the rows of the
+others by record, sorts them by chunk, and carries digests from row to row.
 
 Of records with equal payloads (by SHA-256 and length), that with the largest page id is the response and the others
 revisit it, if payloads have at least ``least`` bytes; smaller payloads are all responses. Null pages
@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from trawl.llm.cluster import new_path, ship, slices, staged
 
 CHUNK = 1 << 20
-TABLE = "record string, chunk int, last boolean, running_sha1 binary, data binary"
-_ROW = pa.schema([("record", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("running_sha1", pa.binary()), ("data", pa.binary())])
+TABLE = "record string, chunk int, last boolean, running_sha1 binary, header binary, data binary"
+_ROW = pa.schema([("record", pa.string()), ("chunk", pa.int32()), ("last", pa.bool_()), ("running_sha1", pa.binary()), ("header", pa.binary()), ("data", pa.binary())])
 _DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -64,16 +64,15 @@ def page_of(record: str) -> int | None:
     return None if found == "null" else int(found)
 
 
-def record_chunks(head: bytes, payload: memoryview, size: int) -> Iterator[tuple[int, bool, bytes, bytes]]:
-    """(chunk, last, running digest, data) of one record."""
+def record_chunks(head: bytes, payload: memoryview, size: int) -> Iterator[tuple[int, bool, bytes, bytes | None, bytes]]:
+    """(chunk, last, running digest, header, data) of one record."""
     sha1 = hashlib.sha1()
-    yield 0, False, sha1.digest(), head
     n = max(1, -(-len(payload) // size))
     for k in range(n):
         part = payload[k * size : (k + 1) * size]
         sha1.update(part)
         last = k == n - 1
-        yield k + 1, last, sha1.digest(), bytes(part) + b"\r\n\r\n" * last
+        yield k, last, sha1.digest(), None if k else head, bytes(part) + b"\r\n\r\n" * last
 
 
 def plan_records(pages: DataFrame, id_col: str, payload_col: str, url_col: str | None, least: int) -> DataFrame:
@@ -104,8 +103,8 @@ def record_table(pages: DataFrame, id_col: str, payload_col: str, url_col: str |
                 body = bodies[i].as_buffer()
                 record = record_id(page, key, None if first else row)
                 refers = record_id(response, key, None) if first is False else None
-                for k, last, digest, data in record_chunks(header(record, url, refers, sha1, size), memoryview(body) if body is not None else memoryview(b""), chunk):
-                    held.append((record, k, last, digest, data))
+                for k, last, digest, head, data in record_chunks(header(record, url, refers, sha1, size), memoryview(body) if body is not None else memoryview(b""), chunk):
+                    held.append((record, k, last, digest, head, data))
                     n += len(data)
                     if n >= 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ROW, strict=True)], schema=_ROW)
@@ -134,14 +133,13 @@ class RecordReader:
     def __init__(self) -> None:
         self.record: str | None = None
 
-    def take(self, record: str, chunk: int, last: bool, running: bytes, data: memoryview) -> tuple | None:
+    def take(self, record: str, chunk: int, last: bool, running: bytes, head: bytes | None, data: memoryview) -> tuple | None:
         if chunk == 0:
             if self.record is not None:
                 raise ValueError(f"record {self.record} has no end")
-            self.record, self.fields, self.sha1, self.size, self.next = record, parse_header(bytes(data)), hashlib.sha1(), 0, 1
-            return None
+            self.record, self.fields, self.sha1, self.size, self.next = record, parse_header(head), hashlib.sha1(), 0, 0
         if record != self.record or chunk != self.next:
-            raise ValueError(f"record {record} lacks chunk {self.next}")
+            raise ValueError(f"record {record} lacks a chunk before {chunk}")
         part = data[: len(data) - 4] if last else data
         self.sha1.update(part)
         self.size += len(part)
@@ -165,15 +163,17 @@ def read_records(chunks: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = RecordReader()
         for batch in slices(batches, 512):
-            data = batch.column(4)
-            done = [reader.take(*x, memoryview(data[i].as_buffer())) for i, x in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))]
+            data = batch.column(5)
+            done = [reader.take(*x, memoryview(data[i].as_buffer())) for i, x in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))]
             rows = [x for x in done if x]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
         if reader.record is not None:
             raise ValueError(f"record {reader.record} has no end")
 
-    return chunks.repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(read, READ)
+    alone = F.expr("chunk = 0 and last")
+    several = chunks.where(~alone).repartition("record").sortWithinPartitions("record", "chunk")
+    return chunks.where(alone).mapInArrow(read, READ).union(several.mapInArrow(read, READ))
 
 
 def archive_digest(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -200,7 +200,7 @@ def export_warc(chunks: DataFrame, folder: str, shards: int = 16) -> None:
         with open(part, "wb") as f:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    n += f.write(batch.column(4)[i].as_buffer())
+                    n += f.write(batch.column(4)[i].as_py() or b"") + f.write(batch.column(5)[i].as_buffer())
         os.replace(part, name)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["bytes"])
 
