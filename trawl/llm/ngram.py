@@ -4,7 +4,7 @@ Training documents are those whose CRC-32 of the id's decimal text is not ``fold
 empty text). Texts are A-Z-lower-cased words and one end; null texts are empty. Words are XXH64 hashes from here on.
 
 1. Documents are dealt by a hash of their first words and sorted by their words, so those that begin alike are neighbours, and
-   packed into batches of about half a million words: a table of the batch's distinct words with their training
+   packed into batches of about two million words: a table of the batch's distinct words with their training
    counts, and each word's place in it.
 2. Counts of words, and of beginnings of up to nine tokens, are summed over batches and go back to the batches that hold
    them: N, V, the add-one base.
@@ -39,7 +39,7 @@ from trawl.llm.cluster import partitions, ship, slices, staged
 from trawl.llm.families import common, steps
 from trawl.llm.suffixes import Shard
 
-BATCH, SHARD, FOLDS, FOLD = 1 << 19, 8_000_000, 7, 2
+BATCH, SHARD, FOLDS, FOLD = 1 << 21, 8_000_000, 7, 2
 #: Tokens of a beginning, its start included, that are counted like words.
 HEAD = 9
 #: kind 0: a batch, all its documents; 1: its held-out documents alone; 2: family counts of its training documents.

@@ -163,16 +163,23 @@ class Shard:
             if len(far):
                 a, z = self.order[low[far]].astype(np.int64), self.order[high[far] - 1].astype(np.int64)
                 most = np.minimum(np.minimum(a, z), room[far])
-                together = self._stretch(self.rolled, a, self.rolled, z, np.minimum(most, self.longest), depth[far])
+                together = np.minimum(most, self.longest)
+                several = np.flatnonzero(a != z)  # a range of one context agrees with itself
+                together[several] = self._stretch(self.rolled, a[several], self.rolled, z[several], together[several], depth[far[several]])
                 depth[far] = self._stretch(self.rolled, a, own, end[far], together, depth[far])
             live = live[depth[live] < room[live]]
             want = ids[end[live] - depth[live] - 1]
             live, want = live[want >= 0], want[want >= 0]
-            left = self._bound(low[live], high[live], depth[live], want, False)
-            right = self._bound(left, high[live], depth[live], want, True)
+            lone = high[live] - low[live] == 1
+            one, more = live[lone], live[~lone]
+            at = self.order[low[one]] - depth[one] - 1
+            one = one[(at >= 0) & (self.ids[np.maximum(at, 0)] == want[lone])]
+            left = self._bound(low[more], high[more], depth[more], want[~lone], False)
+            right = self._bound(left, high[more], depth[more], want[~lone], True)
             some = right > left
-            live = live[some]
-            low[live], high[live] = left[some], right[some]
+            more = more[some]
+            low[more], high[more] = left[some], right[some]
+            live = np.concatenate([one, more])
             depth[live] += 1
         counts, cuts = high - low, np.cumsum(sizes)[:-1]
         return list(zip(np.split(depth, cuts), np.split(counts, cuts), strict=True)) if sizes else []
