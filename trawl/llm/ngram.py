@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.cluster import partitions, ship, slices, staged
+from trawl.llm.cluster import partitions, release, ship, slices, staged
 from trawl.llm.families import common, steps
 from trawl.llm.suffixes import Shard
 
@@ -270,16 +270,19 @@ def positions(row: dict, documents: int, headed: np.ndarray, family: list[np.nda
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: int = FOLD, shard: int = SHARD, batch_words: int = BATCH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. Rows with equal or null ids are separate rows."""
     table = staged(packed(deal(docs, id_col, text_col), folds, fold, batch_words), "ngram-batches", max_records=32)
+    release(docs.sparkSession)
     batches = table.where("kind = 0")
     by_word = Window.partitionBy("head", "word")
     words = batches.select("batch", F.lit(False).alias("head"), F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("trained").alias("n"))))
     heads = batches.select("batch", F.lit(True).alias("head"), F.inline(F.arrays_zip(F.col("heads").alias("word"), F.col("headed").alias("n"))))
     counts = staged(words.union(heads).select("batch", "head", "word", F.sum("n").over(by_word).cast("bigint").alias("c"), (F.min("batch").over(by_word) == F.col("batch")).alias("first")), "ngram-counts")
+    release(docs.sparkSession)
     trained = counts.where("first and not head").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     documents = int(batches.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0])
     total, kinds = int(trained[0]) + documents, int(trained[1]) + int(documents > 0)
     shards = max(1, -(-total // shard))
     found = staged(answers(table, shards), "ngram-answers", codec="none")
+    release(docs.sparkSession)
 
     null = lambda t, name: F.lit(None).cast(t).alias(name)
     empty = {"doc_ids": "array<bigint>", "held": "array<boolean>", "sizes": "array<int>", "words": "array<bigint>", "numbers": "array<bigint>", "places": "binary", "more": "binary"}
