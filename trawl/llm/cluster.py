@@ -6,7 +6,6 @@ Cutting lineage is always done by writing Parquet into the folder that the sessi
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -47,12 +46,6 @@ def staged(df: DataFrame, name: str, codec: str = "zstd", max_records: int = 0)
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver's JVM notice that written stages' shuffles have no users left, so that Spark's cleaner removes their files now and not at some later collection."""
-    gc.collect()  # frames in cycles hold their plans
-    spark._jvm.System.gc()
-
-
 def drop(df: DataFrame) -> None:
     """Removes what ``staged`` wrote; only for stages that no returned frame reads."""
     path = getattr(df, "_trawl_path", None)
