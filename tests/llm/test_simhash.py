@@ -117,3 +117,28 @@ def test_many_fingerprints_against_brute_force(spark):
     assert got == classes(range(len(rows)), links)
     one = simhash.near_duplicates(frame(spark, rows), radius=3, width=5, many=1)
     assert one.select("component_id").distinct().count() >= len(set(got.values()))
+
+
+def similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, text, gaps):
+    w = text.split()
+    for at in gaps:
+        w[at] = "edit" + str(rng.randrange(10**6))
+    return " ".join(w)
+
+
+def test_representatives_are_cut_at_a_similarity(spark):
+    rng, rows = random.Random(3), []
+    for k in range(40):
+        text = " ".join("w" + str(rng.randrange(10**5)) for _ in range(200))
+        rows += [(10 * k, text), (10 * k + 1, edited(rng, text, range(9, 40, 10))), (10 * k + 2, edited(rng, text, range(9, 90, 10)))]
+    texts = dict(rows)
+    assert all(similarity(texts[10 * k], texts[10 * k + 1]) >= 0.8 > 0.65 > similarity(texts[10 * k], texts[10 * k + 2]) > 0.5 for k in range(40))
+    links = [(a, b) for a, b in itertools.combinations(texts, 2) if a // 10 == b // 10 and similarity(texts[a], texts[b]) >= 0.8]
+    want = {i for i, root in classes(texts, links).items() if i == root}
+    got = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
