@@ -142,3 +142,11 @@ def test_representatives_are_cut_at_a_similarity(spark):
     want = {i for i, root in classes(texts, links).items() if i == root}
     got = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+def test_rows_with_equal_ids_are_separate(spark):
+    rng = random.Random(4)
+    one, *others = (" ".join("w" + str(rng.randrange(10**5)) for _ in range(60)) for _ in range(9))
+    rows = [(3, one), (7, one + " end"), *((7, t) for t in others), (7, others[0])]
+    got = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted([(3, one), *((7, t) for t in others)])

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.cluster import ship, slices, staged
@@ -402,7 +402,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A link needs an exact Jaccard similarity of the shingle sets (by XXH64 of the shingles). Fingerprints of the sets only find pairs
     to verify: those that agree in ``spare`` of ``parts`` parts of one fingerprint and lie within the radius. At a similarity of
     0.8 a bit differs with probability 0.15, so that 99.9 % of such pairs meet by the defaults, more of closer ones.
-    Rows that share that id and component: the one with the least text stays. Rows with a null id stay.
+    Rows are told apart by a number, so rows with equal ids are separate. Of rows of a component that share its least id the one
+    with the least text stays. Rows with a null id stay.
     """
     number = "_row_number"
     numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
@@ -410,15 +411,13 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     prints = staged(set_prints(rows, width, seed, many), "simhash")
     nodes = staged(prints.groupBy("_node").agg(F.min("_row").alias("_first"), F.first("_fps").alias("_fps")), "nodes")
     roots = components(similar_links(rows, nodes, radius, width, seed, spare, parts, similarity))
-    rooted = prints.join(roots, F.col("_node") == F.col("node"), "left").select("_id", F.coalesce("root", "_node").alias("_root"))
-    least = rooted.groupBy("_root").agg(F.min("_id").alias("component_id"))
-    found = staged(rooted.join(least, "_root").select(F.col("_id").alias("doc_id"), "component_id"), "groups")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")  # the ids to remove grow with the documents: never broadcast
-    shared = staged(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_shared")), "shared")
-    if shared.isEmpty():
-        return kept
-    once = kept.join(shared, kept[id_col] == shared["_shared"], "left_anti")
-    again = kept.join(shared, kept[id_col] == shared["_shared"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    return once.union(again.withColumn("_nth", nth).where("_nth = 1").drop("_nth"))
+    placed = prints.where("_id is not null").select("_row", "_id", "_node").join(roots, F.col("_node") == F.col("node"), "left")
+    groups = staged(placed.select("_row", "_id", F.coalesce("root", "_node").alias("_root")), "groups")
+    least = groups.groupBy("_root").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
+    among = staged(groups.join(least, "_root").select("_row", "_root", (F.col("_id") == F.col("_least")).alias("_is_least")), "shared")
+    firsts = staged(among.where("_is_least").groupBy("_root").agg(F.min("_row").alias("_kept"), F.count("*").alias("_n")), "firsts")
+    tied = among.where("_is_least").join(firsts.where("_n > 1"), "_root", "left_semi")
+    by_text = tied.join(rows, "_row").groupBy("_root").agg(F.min(F.struct("_text", "_row")).alias("_x")).select(F.col("_x._row").alias("_kept"))
+    kept = firsts.where("_n = 1").select("_kept").union(by_text)
+    gone = staged(among.join(kept, among["_row"] == kept["_kept"], "left_anti").select(F.col("_row").alias("_gone")), "gone")
+    return numbered.join(gone.hint("merge"), numbered[number] == gone["_gone"], "left_anti").drop(number)  # the rows to remove grow with the documents: never broadcast
