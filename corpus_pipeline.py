@@ -29,7 +29,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output.token_digest(docs, new_path(spark, "tokens"), tokenizer_file())
+    return token_output.token_digest(docs, new_path(spark, "tokens"), tokenizer_file(), added=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

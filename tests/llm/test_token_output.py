@@ -95,3 +95,15 @@ def test_digest_against_brute_force(spark, plain, segment):
 
 def test_empty_table(spark):
     assert token_output.token_digest(frame(spark, []), new_path(spark, "t"), tokenizer_file()).count() == 0
+
+
+def test_added_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(tokenizer_file())
+    encoder = bpe.PieceEncoder(tokenizer_file(), added=True)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "é <|endoftext|>\n<|endoftext|> x", "no such <|endoftext|", *TRICKY]
+    assert encoder.encode(texts[:1])[0].tolist() == [64, 50256, 65]
+    for text, ids, (starts, ends) in zip(texts, encoder.encode(texts), encoder.spans(texts), strict=True):
+        assert ids.tolist() == default.encode(text, add_special_tokens=False).ids, repr(text)
+        assert not text or starts[0] == 0 and ends[-1] == len(text.encode())

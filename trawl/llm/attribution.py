@@ -57,7 +57,7 @@ def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, size:
     return counts, entered
 
 
-def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """(doc_id, section, first_byte, end_byte, n_tokens, n_entered, doc_tokens): a row for each line of each document. No shuffle.
 
     n_tokens is a double, whole for the rules "start" and "most"; n_entered counts tokens that began in an earlier section.
@@ -67,7 +67,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "start", id_col:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.load(tokenizer)
+        encoder = bpe.load(tokenizer, added)
         for batch in slices(batches, 64):
             texts = batch.column(1).to_pylist()
             columns: list[list[np.ndarray]] = [[] for _ in range(6)]

@@ -21,14 +21,14 @@ _RARE = tuple(map(chr, [*range(9), *range(11, 13), *range(14, 32), 127]))
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Pieces kept at most; beyond them the table is emptied, so that memory is bounded.
 KEPT = 1_200_000
-LOADED: dict[str, PieceEncoder] = {}
+LOADED: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def load(path: str) -> PieceEncoder:
-    """One encoder for each worker process and file."""
-    if path not in LOADED:
-        LOADED[path] = PieceEncoder(path)
-    return LOADED[path]
+def load(path: str, added: bool = False) -> PieceEncoder:
+    """One encoder for each worker process, file and treatment of added tokens."""
+    if (path, added) not in LOADED:
+        LOADED[path, added] = PieceEncoder(path, added=added)
+    return LOADED[path, added]
 
 
 def _unsure(text: str) -> bool:
@@ -43,14 +43,21 @@ def _byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """``encode(texts)`` gives, for each text, the ids that ``encode(text, add_special_tokens=False)`` gives."""
+    """``encode(texts)`` gives, for each text, the ids that ``encode(text, add_special_tokens=False)`` gives.
 
-    def __init__(self, path: str, kept: int = KEPT):
+    added: as the library does by default, special tokens that stand in a text get their own ids; else they are plain text
+    (``encode_special_tokens``).
+    """
+
+    def __init__(self, path: str, kept: int = KEPT, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        matched = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if added or not t.special}
+        self.added_ids = np.array(sorted(matched), np.int64)
+        self.added = re.compile("|".join(map(re.escape, matched.values()))) if matched else None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -79,7 +86,7 @@ class PieceEncoder:
             return self._plain(texts)
         out: list[bytes | None] = []
         for text in texts:
-            if _unsure(text):
+            if _unsure(text) or self.added and self.added.search(text):
                 out.append(None)
                 continue
             if len(self.pieces) > self.kept:
@@ -103,10 +110,19 @@ class PieceEncoder:
             out[i] = len(token)
         return out
 
+    def _sizes(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """Bytes of each token of a text; those of added tokens by what they matched."""
+        sizes = self.byte_len[ids]
+        at = np.flatnonzero(np.isin(ids, self.added_ids))
+        if len(at):
+            offsets = self.tokenizer.encode(text, add_special_tokens=False).offsets
+            sizes[at] = [len(text[slice(*offsets[k])].encode("utf-8", "surrogatepass")) for k in at.tolist()]
+        return sizes
+
     def spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """First byte and end of each token, in bytes of the text; each text is encoded once, whole."""
         if self.by_piece:
-            sizes = [self.byte_len[ids] for ids in self.encode(texts)]
+            sizes = [self._sizes(text, ids) for text, ids in zip(texts, self.encode(texts), strict=True)]
             return [(ends - size, ends) for size in sizes for ends in [np.cumsum(size)]]
         out = []
         for text, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):

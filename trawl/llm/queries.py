@@ -18,7 +18,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.token_digest(table(spark, sf_dir, "documents"), new_path(spark, "tokens"), tokenizer_file())
+    return token_output.token_digest(table(spark, sf_dir, "documents"), new_path(spark, "tokens"), tokenizer_file(), added=True)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.section_tokens(table(spark, sf_dir, "documents"), tokenizer_file())
+    return attribution.section_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), added=True)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,14 +58,14 @@ def unpack_segment(row: dict) -> np.ndarray:
     return np.concatenate([unpack_block(table, b, row["words"]) for b in row["blocks"]] or [np.zeros(0, np.uint32)])
 
 
-def encode_documents(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, segment: int = SEGMENT) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, segment: int = SEGMENT, added: bool = False) -> DataFrame:
     """Rows of ``SCHEMA`` for all documents, shards in ascending order of id."""
     ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     dealt = narrow.repartitionByRange(partitions(docs.select(text_col)), "_id").sortWithinPartitions("_id", "_text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.load(tokenizer)
+        encoder = bpe.load(tokenizer, added)
         end = np.array([end_id], encoder.dtype).tobytes()
         shard, number = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
@@ -93,9 +93,9 @@ def encode_documents(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
     return dealt.mapInArrow(encode, SCHEMA)
 
 
-def write_tokens(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, path: str, segment: int = SEGMENT) -> None:
+def write_tokens(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int, path: str, segment: int = SEGMENT, added: bool = False) -> None:
     """Writes the table to ``path``; its files hold 32 segments at most, some 40 MB."""
-    encode_documents(docs, id_col, text_col, tokenizer, end_id, segment).write.option("compression", "none").option("maxRecordsPerFile", 32).parquet(path)
+    encode_documents(docs, id_col, text_col, tokenizer, end_id, segment, added).write.option("compression", "none").option("maxRecordsPerFile", 32).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -128,9 +128,9 @@ def document_digests(segments: DataFrame) -> DataFrame:
     return segments.mapInArrow(digest, "shard int, segment int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def token_digest(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_digest(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Writes the documents' ids to ``path``, reads them back: doc_id, start, n_tokens, ids_crc32."""
-    write_tokens(docs, id_col, text_col, tokenizer, end_id, path)
+    write_tokens(docs, id_col, text_col, tokenizer, end_id, path, added=added)
     segments = read_tokens(docs.sparkSession, path)
     found = document_digests(segments).join(segment_starts(segments), ["shard", "segment"])
     return found.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
