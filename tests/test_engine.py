@@ -247,3 +247,8 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_phrases_tell_ascii_from_characters_of_the_same_code(spark):
+    index = build(spark, ["tñbc", "é thbc"])
+    assert sorted(map(tuple, phrase_positions(index, "thbc").collect())) == [(2, 3)]

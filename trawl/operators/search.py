@@ -109,17 +109,18 @@ def search(index: TextIndex, pattern: str, mode: str = "like", gate: Gate = Gate
 def phrase_positions(index: TextIndex, literal: str, case_sensitive: bool = True) -> DataFrame:
     """(doc_key, start): byte positions at which the literal's trigrams stand in a row, from the index alone.
 
-    Exact for ASCII texts; elsewhere characters that share a code make it a superset, as for any trigram index.
+    Bit 7 of the flags tells ASCII trigrams from others, so with case they are exact for an ASCII literal in any text. For
+    other literals, characters that share a code make it a superset, as for any trigram index.
     """
     codes, offsets, flags = occurrences(literal)
     if not len(codes):
         raise ValueError("a phrase needs three characters at least")
     state = index.manifest()
-    wanted = index.spark.createDataFrame([(int(c), int(o), int(f) & 7, k) for k, (c, o, f) in enumerate(zip(codes, offsets, flags, strict=True))], "trigram int, off int, want int, k int")
+    wanted = index.spark.createDataFrame([(int(c), int(o), int(f) & 0x87, k) for k, (c, o, f) in enumerate(zip(codes, offsets, flags, strict=True))], "trigram int, off int, want int, k int")
     hits = index.postings(state).where(F.col("trigram").isin(sorted({int(c) for c in codes}))).join(F.broadcast(wanted), "trigram")  # a row for each trigram of the pattern
     starts = hits.select("doc_key", "off", "want", "k", F.explode("occ").alias("o"))
     if case_sensitive:
-        starts = starts.where(F.col("o.flags").bitwiseAND(F.lit(7)) == F.col("want"))
+        starts = starts.where(F.col("o.flags").bitwiseAND(F.lit(0x87)) == F.col("want"))
     starts = starts.select("doc_key", (F.col("o.pos") - F.col("off")).alias("start"), "k")
     found = starts.groupBy("doc_key", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(codes)).select("doc_key", "start")
     return found.join(index.tombstones(state), "doc_key", "left_anti") if state["tombstones"] else found
