@@ -46,39 +46,86 @@ def tokens(text):
 
 
 def brute_scores(rows):
+    """By substring search in all training texts, a character for each word."""
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    train = [[None, *tokens(r[1]), 0] for r in rows if not held(r[0])]
-    counts = Counter(w for t in train for w in t[1:])
+    known = {}
+    start, end = "\x01", "\x02"
+    coded = lambda t: "".join(known.setdefault(w, chr(0x10000 + len(known))) for w in tokens(t))
+    texts = [start + coded(r[1]) + end for r in rows]
+    train = [t for r, t in zip(rows, texts, strict=True) if not held(r[0])]
+    corpus = "".join(train)
+    counts = Counter(corpus)
+    counts.pop(start, None)
     n, v = sum(counts.values()), len(counts)
-    grams = Counter(tuple(t[a:b]) for t in train for b in range(1, len(t) + 1) for a in range(max(0, b - 130), b))
-    out = []
-    for r in rows:
-        q = [None, *tokens(r[1]), 0]
-        base = score = 0.0
-        for j in range(1, len(q)):
-            p = (counts[q[j]] + 1) / (n + v + 1)
-            base += math.log10(p)
-            m = max((m for m in range(1, j + 1) if grams[tuple(q[j - m : j])]), default=0)
-            c, after = (grams[tuple(q[j - m : j])], grams[tuple(q[j - m : j + 1])]) if m else (n, counts[q[j]])
-            mu = 0.05 + 1000 / max(m, 1) ** 3
-            score += math.log10((after + mu * p) / (c + mu))
-        out.append((r[0], held(r[0]), len(q) - 1, sum(counts[w] > 0 for w in q[1:]), n, pytest.approx(base, rel=1e-9), pytest.approx(score, rel=1e-9)))
+
+    def times(context):
+        at, c = corpus.find(context), 0
+        while at >= 0:
+            c, at = c + 1, corpus.find(context, at + 1)
+        return c
+
+    out, done = [], {}
+    for r, q in zip(rows, texts, strict=True):
+        if q not in done:
+            base = score = 0.0
+            m = 0
+            for j in range(1, len(q)):
+                p = (counts[q[j]] + 1) / (n + v + 1)
+                base += math.log10(p)
+                m += 1
+                while m and q[j - m : j] not in corpus:
+                    m -= 1
+                c, after = (times(q[j - m : j]), times(q[j - m : j + 1])) if m else (n, counts[q[j]])
+                mu = 0.05 + 1000 / max(m, 1) ** 3
+                score += math.log10((after + mu * p) / (c + mu))
+            done[q] = (len(q) - 1, sum(counts[w] > 0 for w in q[1:]), n, pytest.approx(base, rel=1e-9), pytest.approx(score, rel=1e-9))
+        out.append((r[0], held(r[0]), *done[q]))
     return out
 
 
-@pytest.mark.parametrize(("shard", "batch"), [(ngram.SHARD, ngram.BATCH), (600, 200)])
-def test_scores_against_brute_force(spark, shard, batch):
-    rng = random.Random(5)
-    rows = [r for r in odd_rows() if len(r[1] or "") < 3000]
-    rows = [(i, *r[1:]) for i, r in enumerate(rows)] + [(1000 + i, words(rng, 30, 5), "en", "s", 1, 1, 2, "x", 3, 4) for i in range(20)]
-    rows += [(2000 + i, rng.choice(rows)[1], "en", "s", 1, 1, 2, "x", 3, 4) for i in range(15)]
-    got = sorted(map(tuple, ngram.scores(frame(spark, rows), shard=shard, batch_words=batch).collect()))
-    want = sorted(brute_scores(rows), key=lambda r: r[0])
+def ordered(rows):
+    return sorted(map(tuple, rows), key=lambda r: (r[0] is None, r[0] or 0, r[2], r[3]))
+
+
+def agree(spark, rows, **how):
+    got, want = ordered(ngram.scores(frame(spark, rows), **how).collect()), ordered(brute_scores(rows))
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         assert a == b, (a, b)
 
 
+def row(i, text):
+    return (i, text, "en", "s", 1, 1, 2, "x", 3, 4)
+
+
+@pytest.mark.parametrize("how", [{}, {"shard_bytes": 4000, "batch_words": 200}, {"shard_bytes": 4000, "batch_words": 900, "short": 8, "alike_bytes": 600}])
+def test_scores_against_brute_force(spark, how):
+    """Null, empty, long and repeated texts, null and repeated ids, passages that many documents share, documents that begin alike."""
+    rng = random.Random(5)
+    rows = odd_rows() + [row(1000 + i, words(rng, 30, 5)) for i in range(20)]
+    passage = words(rng, 60)
+    rows += [row(1100 + i, f"{words(rng, 9)} {passage} {words(rng, rng.randrange(9))}") for i in range(25)]
+    alike = words(rng, 90).split(" ")
+    rows += [row(1200 + i, " ".join(alike[: rng.choice([7, 8, 9, 63, 64, 65, 90])] + words(rng, 3).split(" "))) for i in range(40)]
+    rows += [row(2000 + i, rng.choice(rows)[1]) for i in range(25)]
+    longest = max((r[1] or "" for r in rows), key=len)
+    rows += [row(3000 + i, longest[: 900 * i] + " cut " + longest[900 * i :]) for i in range(3)]
+    agree(spark, rows, **how)
+
+
+def test_documents_that_extend_one_another(spark):
+    rng = random.Random(6)
+    whole = words(rng, 160, 9).split(" ")
+    agree(spark, [row(i, " ".join(whole[:i])) for i in range(160)], shard_bytes=20000, batch_words=3000)
+
+
+def test_frequent_counts_are_packed_whole():
+    for values in ([], [0], [1, 2**32 - 1], [5, 2**40, 0]):
+        assert ngram.unsqueezed(ngram.squeezed(np.array(values, np.int64))).tolist() == values
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, np.uint64))
+    assert (ngram.unsqueezed_keys(ngram.squeezed_keys(keys)) == keys).all()
+
+
 def test_ids_are_odd_or_nobody_trains(spark):
     assert ngram.scores(frame(spark, [])).count() == 0
     got = ngram.scores(frame(spark, odd_rows())).collect()

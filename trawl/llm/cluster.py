@@ -33,6 +33,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/trawl/{name}-{uuid.uuid4().hex}"
 
 
+#: Set while a stage is written: its shuffles' files go once its rows are there, as nothing reads them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str, codec: str = "zstd", max_records: int = 0) -> DataFrame:
     """``df``, written as Parquet in the shared folder and read from there."""
     spark = df.sparkSession
@@ -40,7 +44,12 @@ def staged(df: DataFrame, name: str, codec: str = "zstd", max_records: int = 0)
     writer = df.write.option("compression", codec)
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._trawl_path = path
     return out

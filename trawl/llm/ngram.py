@@ -1,50 +1,61 @@
 """Unbounded n-gram scores of whole documents from sharded suffix arrays of the training part.
 
 Training documents are those whose CRC-32 of the id's decimal text is not ``fold`` modulo ``folds`` (a null id counts as an
-empty text). Texts are A-Z-lower-cased words and one end; null texts are empty. Words are XXH64 hashes from here on.
-
-1. Documents are dealt by a hash of their first words and sorted by their words, so those that begin alike are neighbours, and
-   packed into batches of about two million words: a table of the batch's distinct words with their training
-   counts, and each word's place in it.
-2. Counts of words, and of beginnings of up to nine tokens, are summed over batches and go back to the batches that hold
-   them: N, V, the add-one base.
-3. A training document's longest context is all that precedes, since it holds that itself. How many training documents share
-   a beginning longer than nine tokens is known among its neighbours (``families``).
-4. Training documents are dealt to shards by batch; each shard's task sorts a suffix array of contexts, then streams
-   the held-out documents past it and answers, for each position, the longest context that the shard holds and how often.
-5. Answers are merged by position: the longest length over all shards, counts summed over the shards that reach it. A
-   context reaches back to the document's start, which is a token of it, and no further.
+empty text). Texts are A-Z-lower-cased words and one end; null texts are empty. Words are XXH64 hashes from here on. Rows with
+equal or null ids are separate rows; columns other than the two named are ignored, whatever their names.
+
+1. Documents are dealt by a hash of their first eight words (64 or 512 where many begin alike), so that a shard holds all
+   documents which begin like one of its own, and packed into batches of about two million words. Texts move once.
+2. A context is the tokens before a position, nearest first, back to the document's START. Contexts of two tokens, then of three
+   and four, of all positions are dealt by hash to ranges, once for each batch however frequent they are: sorted arrays of
+   contexts cut short. Held-out positions search them for their longest match so far and its count; training
+   positions go on only if some held-out position has their context. More such rounds follow on larger corpora (``short``).
+3. A held-out position whose context of ``short`` tokens occurs is told the shards that have it. Stretches of such positions
+   go to those shards alone, whose suffix arrays of whole contexts give each position's longest match, of any length, by binary
+   search, and how often it occurs. A context reaches no further back than its stretch.
+4. Answers are merged by position: the longest length over the shards asked, counts summed over those that reach it.
+5. A training document's longest context is all that precedes: the shard's array has it as a range, whose size is its
+   count. Beginnings too short for the shard to hold all of are counted like words.
 6. With length m and count c of the longest context before a word, its continuation count is the count after the word if
    the length there is m + 1, else 0: P = (continuation + mu * base) / (c + mu), mu = 0.05 + 1000 / m**3, which sums to 1
    over the vocabulary and one unknown word. Long contexts are trusted at once, short ones once they are frequent.
 
-A task holds one shard (``SHARD`` training words on average) and one batch at a time, and a few numbers for each
-document of a family. Each held-out position is searched for in each shard, so that part grows as held-out words times
-shards; see the README for what it costs.
+Work and shuffled bytes grow with the corpus, not with its square: each round sends a batch's distinct contexts once, and what
+copies nothing asks no suffix array. A task holds one shard or one batch. Very long texts are batches of their own. A passage that
+many shards hold is asked of all of them, once for each batch and stretch.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.cluster import partitions, ship, slices, staged
-from trawl.llm.families import common, steps
-from trawl.llm.suffixes import Shard
+from trawl.llm.cluster import drop, ship, slices, staged
+from trawl.llm.suffixes import BASE, END, START, Shard, powers, rolled
 
-BATCH, SHARD, FOLDS, FOLD = 1 << 21, 8_000_000, 7, 2
-#: Tokens of a beginning, its start included, that are counted like words.
-HEAD = 9
-#: kind 0: a batch, all its documents; 1: its held-out documents alone; 2: family counts of its training documents.
-_TABLE = "kind int, batch bigint, doc_ids array<bigint>, held array<boolean>, sizes array<int>, words array<bigint>, trained array<bigint>, places binary, heads array<bigint>, headed array<bigint>, head_places binary, counts binary"
-_ROW = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("words", pa.list_(pa.int64())), ("trained", pa.list_(pa.int64())), ("places", pa.binary()), ("heads", pa.list_(pa.int64())), ("headed", pa.list_(pa.int64())), ("head_places", pa.binary()), ("counts", pa.binary())])
+BATCH, FOLDS, FOLD = 1 << 21, 7, 2
+#: Bytes of text for each shard, and of texts that begin alike before more of their words tell them apart.
+SHARD_BYTES, ALIKE_BYTES = 18 << 20, 6 << 20
+#: Words by which documents are dealt.
+DEPTHS = (8, 64, 512)
+
+_BATCHES = "batch bigint, doc_ids array<bigint>, held array<boolean>, sizes array<int>, depths array<int>, words binary, places binary"
+_BATCH_ROW = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("depths", pa.list_(pa.int32())), ("words", pa.binary()), ("places", pa.binary())])
+#: What batches and shards send each other: goal: the shard, or the batch; kind: of message; parts: packed arrays.
+_MESSAGES = "goal bigint, source bigint, kind int, a binary, b binary, c binary"
+_MESSAGE = pa.schema([("goal", pa.int64()), ("source", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+WORDS, HEADS, TRAIN, HELD, TOTALS, TIES, STRETCH = range(7)
+Message = tuple[int, int, int, bytes | None, bytes | None, bytes | None]
 
 
 def is_held(doc: int | None, folds: int, fold: int) -> bool:
@@ -61,168 +72,531 @@ def word_hashes(words: list[bytes]) -> list[int]:
     return [x if (x := h(w)) > 2 else x + 3 for w in words]
 
 
-def head_hashes(hashes: np.ndarray) -> list[int]:
-    """Hashes of the first 2 to ``HEAD`` tokens of START, the words, END."""
-    whole = [*hashes[: HEAD - 1].tolist(), 2] if len(hashes) < HEAD - 1 else hashes[: HEAD - 1].tolist()
-    raw = np.array(whole, "<u8").tobytes()
-    return [xxhash.xxh64_intdigest(raw[: 8 * k], 1) for k in range(1, min(HEAD - 1, len(hashes) + 1) + 1)]
+# packed arrays
 
+_CODEC = pa.Codec("zstd", 1)
 
-def deal(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(family, id, key): family: a hash of the first words; key: the words, each with a space after it. Sorted by family and key in each partition."""
-    ship(docs.sparkSession)
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = [split(t) for t in batch.column(1).to_pylist()]
-            families = [xxhash.xxh64_intdigest(b" ".join([*w[: HEAD - 1], b"" if len(w) < HEAD - 1 else b" "])) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(families, np.uint64).view(np.int64)), batch.column(0), pa.array([b"".join([x + b" " for x in w]) for w in words], pa.binary())], ["family", "id", "key"])
+def squeezed(values: np.ndarray) -> bytes:
+    """Non-negative integers: bytes of equal weight together, compressed."""
+    width = 4 if values.max(initial=0) < 1 << 32 else 8
+    raw = np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+    return len(values).to_bytes(7, "little") + bytes([width]) + _CODEC.compress(raw, asbytes=True)
 
-    made = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(key, "family bigint, id bigint, key binary")
-    return made.repartition(partitions(docs), "family").sortWithinPartitions("family", "key", "id")
 
+def unsqueezed(packed: bytes) -> np.ndarray:
+    n, width = int.from_bytes(packed[:7], "little"), packed[7]
+    raw = _CODEC.decompress(packed[8:], decompressed_size=width * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def squeezed_keys(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys, as differences."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    raw = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(keys).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def unsqueezed_keys(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    raw = _CODEC.decompress(packed[8:], decompressed_size=8 * n, asbytes=True) if n else b""
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
 
-def smoothing(length: np.ndarray) -> np.ndarray:
-    return 0.05 + 1000.0 / np.maximum(length, 1).astype(np.float64) ** 3
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs of 64-bit numbers."""
+    x = (a ^ (a >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
-def _pack_words(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct words, places of all words in them), frequent words first so that places compress."""
-    words, places, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    return words[order], rank[places]
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys ascending, place of each key among them, an index of each distinct key)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    places = np.empty(len(keys), np.int64)
+    places[order] = np.cumsum(new) - 1
+    return ordered[new], places, order[new]
 
-def _squeezed(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 2)
 
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of wanted keys, 0 for those that aren't there; keys ascending."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == wanted, values[at], 0)
 
-def _unsqueezed(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+# dealing
+
+_SPACE = r"[\x20\x09-\x0D]"
+
+
+def family(text: Column, words: int) -> Column:
+    """A hash of the first words, that documents of the same first words share."""
+    first = F.regexp_extract(text, rf"^{_SPACE}*((?:[^\x20\x09-\x0D]+{_SPACE}+){{0,{words - 1}}}[^\x20\x09-\x0D]*)", 1)
+    lowered = F.translate(first, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.xxhash64(F.filter(F.split(lowered, rf"{_SPACE}+"), lambda w: w != ""), F.lit(words))
+
+
+def deal(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int, alike_bytes: int) -> tuple[DataFrame, int]:
+    """(_id, _text, _depth), in as many partitions as there are shards, and their number. Documents that share their first _depth words share a partition."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = rows.withColumn("_family", family(F.col("_text"), DEPTHS[0])).withColumn("_depth", F.lit(DEPTHS[0]))
+    total, alike = 0, alike_bytes
+    for k, depth in enumerate(DEPTHS[1:], 1):
+        sizes = staged((rows if k == 1 else rows.where(F.col("_depth") == DEPTHS[k - 1])).groupBy("_family").agg(F.sum(F.octet_length("_text") + 16).alias("n")), "ngram-families")
+        if k == 1:
+            total = int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+            alike = max(alike_bytes, total // 1_000_000)
+        many = sizes.where(F.col("n") > alike).select(F.col("_family").alias("_alike"))  # fewer than a million rows, whatever the documents
+        if not many.head(1):
+            break
+        again = F.col("_alike").isNotNull()
+        met = rows.join(F.broadcast(many), F.col("_family") == F.col("_alike"), "left")
+        rows = met.select("_id", "_text", F.when(again, family(F.col("_text"), depth)).otherwise(F.col("_family")).alias("_family"), F.when(again, F.lit(depth)).otherwise(F.col("_depth")).alias("_depth"))
+    shards = max(1, -(-total // shard_bytes))
+    return rows.repartition(shards, "_family").select("_id", "_text", "_depth"), shards
 
 
 def packed(dealt: DataFrame, folds: int, fold: int, batch_words: int) -> DataFrame:
-    """Rows of ``_TABLE`` from the dealt documents."""
+    """Rows of ``_BATCHES``: the distinct words of a batch, frequent ones first, and each word's place among them. A batch's number has its shard's above 32 bits."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number = TaskContext.get().partitionId() << 32, 0
         ids: list[int | None] = []
-        hashes: list[np.ndarray] = []
+        depths: list[int] = []
+        codes: list[np.ndarray] = []
+        known: defaultdict[bytes, int] = defaultdict(count().__next__)
         total = 0
-        family, before = None, None
-        members: list[tuple[int, int]] = []  # (batch, place in it) of the family's training documents
-        shared: list[int] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            held = np.array([is_held(i, folds, fold) for i in ids])
-            sizes = [len(h) for h in hashes]
-            words, places = _pack_words(hashes)
-            trained = np.bincount(places[np.repeat(~held, sizes)], minlength=len(words))
-            own = [head_hashes(h) for h, out in zip(hashes, held, strict=True) if not out]
-            heads, head_places, headed = np.unique(np.array([x for h in own for x in h], np.uint64), return_inverse=True, return_counts=True)
-            rows = [{"kind": 0, "batch": first + number, "doc_ids": ids, "held": held.tolist(), "sizes": sizes, "words": words.view(np.int64), "trained": trained, "places": _squeezed(places), "heads": heads.view(np.int64), "headed": headed, "head_places": _squeezed(head_places)}]
-            if held.any():
-                asked = [h for h, out in zip(hashes, held, strict=True) if out]
-                words, places = _pack_words(asked)
-                rows.append({"kind": 1, "batch": first + number, "sizes": [len(h) for h in asked], "words": words.view(np.int64), "places": _squeezed(places)})
-            yield pa.RecordBatch.from_pylist(rows, _ROW)
-
-        def close() -> Iterator[pa.RecordBatch]:
-            """Counts of a family of two and more: for each document its place, the number of its steps, and the steps."""
-            if len(members) > 1:
-                by_batch: dict[int, list[int]] = {}
-                for (batch, place), (upto, counts) in zip(members, steps(shared), strict=True):
-                    by_batch.setdefault(batch, []).extend([place, len(upto), *upto, *counts])
-                for batch, flat in by_batch.items():
-                    yield pa.RecordBatch.from_pylist([{"kind": 2, "batch": batch, "counts": _squeezed(np.array(flat))}], _ROW)
+
+        def flush() -> pa.RecordBatch:
+            places = np.concatenate(codes)
+            order = np.argsort(-np.bincount(places, minlength=len(known)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words = np.array(word_hashes(list(known)), "<u8")[order]
+            row = {"batch": first + number, "doc_ids": ids, "held": [is_held(i, folds, fold) for i in ids], "sizes": [len(c) for c in codes], "depths": depths, "words": words.tobytes(), "places": squeezed(rank[places])}
+            return pa.RecordBatch.from_pylist([row], _BATCH_ROW)
 
         for batch in slices(batches):
-            for group, doc, key in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                own = np.array(word_hashes(key.split()), np.uint64)
-                if group != family:
-                    yield from close()
-                    family, before, members, shared = group, None, [], []
-                if not is_held(doc, folds, fold):
-                    whole = np.concatenate([np.array([1], np.uint64), own, np.array([2], np.uint64)])
-                    shared.append(0 if before is None else common(before, whole))
-                    members.append((first + number, len(ids)))
-                    before = whole
+            for doc, text, depth in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = split(text)
                 ids.append(doc)
-                hashes.append(own)
-                total += len(own)
+                depths.append(depth)
+                codes.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                total += len(words) + 2
                 if total >= batch_words:
-                    yield from flush()
-                    ids, hashes, total, number = [], [], 0, number + 1
-        yield from close()
+                    yield flush()
+                    ids, depths, codes, total, number = [], [], [], 0, number + 1
+                    known = defaultdict(count().__next__)
         if ids:
-            yield from flush()
+            yield flush()
+
+    return dealt.mapInArrow(pack, _BATCHES)
+
+
+class Batch:
+    """A batch's tokens, START and END included, and what is known of its positions: position i stands after token i."""
+
+    def __init__(self, row: pa.RecordBatch):
+        get = lambda name: row.column(row.schema.get_field_index(name))[0]
+        self.number = get("batch").as_py()
+        self.doc_ids, self.held_docs = get("doc_ids"), get("held").values.to_numpy(zero_copy_only=False)
+        self.words = np.frombuffer(get("words").as_buffer(), "<u8")
+        self.places = unsqueezed(get("places").as_py())
+        self.sizes = get("sizes").values.to_numpy().astype(np.int64) + 2
+        self.depths = get("depths").values.to_numpy().astype(np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        n = int(self.ends[-1])
+        self.inner = np.ones(n, bool)
+        self.inner[self.starts] = self.inner[self.ends - 1] = False
+        self.tokens = np.empty(n, np.uint64)
+        self.tokens[self.starts], self.tokens[self.ends - 1] = START, END
+        self.tokens[self.inner] = self.words[self.places]
+        self.room = np.arange(1, n + 1) - np.repeat(self.starts, self.sizes)
+        self.held = np.repeat(self.held_docs, self.sizes)
+        self.hashes = {1: self.tokens}
+
+    def contexts(self, length: int) -> np.ndarray:
+        """Hashes of the nearest ``length`` tokens; beyond START there is 0. Only of use where ``room`` is length - 1 at least."""
+        if length not in self.hashes:
+            shorter = self.contexts(length - 1)
+            further = np.zeros(len(self.tokens), np.uint64)
+            further[length - 1 :] = self.tokens[: max(0, len(self.tokens) - length + 1)]
+            self.hashes[length] = mixed(shorter, np.where(self.room >= length, further, np.uint64(0)))
+        return self.hashes[length]
+
+    def heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, keys) of the training documents' beginnings that count like words."""
+        depth = np.repeat(self.depths, self.sizes)
+        at = np.flatnonzero(~self.held & (self.room > 1) & (self.room <= depth + 1))
+        sums = rolled(self.tokens)
+        begin = np.repeat(self.starts, self.sizes)[at]
+        power = powers(int(self.room[at].max(initial=1)), BASE)
+        return at, mixed(sums[at + 1] - sums[begin] * power[self.room[at]], self.room[at].astype(np.uint64))
+
+    def asking(self, held: bool, lengths: tuple[int, ...], live: np.ndarray) -> Asked:
+        """The distinct contexts of live positions of one part."""
+        at = np.flatnonzero(live & (self.held == held) & (self.room >= lengths[0]))
+        return Asked(at, *grouped(self.contexts(lengths[-1])[at]), self.contexts(lengths[0])[at])
+
+
+class Asked:
+    """Distinct keys of positions, dealt to shards by their first length's hash, ascending for each."""
+
+    def __init__(self, at: np.ndarray, keys: np.ndarray, places: np.ndarray, some: np.ndarray, first: np.ndarray):
+        self.at, self.keys, self.places, self.first = at, keys, places, first[some]
+
+    def send(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, which keys) for shards that get any."""
+        order, cuts = self._order(shards)
+        for shard in np.flatnonzero(np.diff(cuts)).tolist():
+            yield shard, order[cuts[shard] : cuts[shard + 1]]
+
+    def _order(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        goal = (self.first >> np.uint64(20)) % np.uint64(shards)
+        order = np.argsort(goal.astype(np.uint16 if shards <= 1 << 16 else np.uint32), kind="stable")
+        return order, np.concatenate([[0], np.cumsum(np.bincount(goal.astype(np.int64), minlength=shards))])
+
+    def told(self, shards: int, answers: dict[int, np.ndarray]) -> np.ndarray:
+        """Shards' answers for the keys they were sent, by position of ``at``."""
+        out = np.zeros(len(self.keys), np.int64)
+        order, cuts = self._order(shards)
+        for shard, values in answers.items():
+            out[order[cuts[shard] : cuts[shard + 1]]] = values
+        return out[self.places]
+
+
+def messages(rows: list[Message]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MESSAGE, strict=True)], schema=_MESSAGE)
+
+
+def by_goal(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[Message]]]]:
+    """(goal, kind -> messages), rows sorted by goal; a goal's messages are bounded by its shard or batch."""
+    goal, held = None, defaultdict(list)
+    for batch in slices(rows, 64):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != goal:
+                if goal is not None:
+                    yield goal, held
+                goal, held = row[0], defaultdict(list)
+            held[row[2]].append(row)
+    if goal is not None:
+        yield goal, held
+
+
+# rounds of short contexts
+
+def summed(rows: list[Message]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(keys, totals, totals for each message's keys) of messages with keys and counts."""
+    keys = [unsqueezed_keys(r[3]) for r in rows]
+    counts = [unsqueezed(r[4]) for r in rows]
+    distinct, places, _ = grouped(np.concatenate([*keys, np.zeros(0, np.uint64)]))
+    totals = np.bincount(places, np.concatenate([*counts, np.zeros(0, np.int64)]), minlength=len(distinct)).astype(np.int64)
+    return distinct, totals, np.split(totals[places], np.cumsum([len(k) for k in keys])[:-1]) if rows else []
+
+
+def first_answers(shard: int, told: dict[int, list[Message]]) -> Iterator[Message]:
+    """Totals of words and beginnings, counts of held-out pairs, which training pairs held-out documents have."""
+    for kind in (WORDS, HEADS):
+        _, totals, parts = summed(told[kind])
+        for row, part in zip(told[kind], parts, strict=True):
+            yield row[1], shard, kind, squeezed(part), None, None
+        if kind == WORDS:
+            yield -1, shard, TOTALS, squeezed(np.array([totals.sum() >> 31, totals.sum() & 0x7FFFFFFF, np.count_nonzero(totals)])), None, None
+    yield from _short_answers(shard, told, (2,), False)
+
+
+def _short_answers(shard: int, told: dict[int, list[Message]], lengths: tuple[int, ...], last: bool) -> Iterator[Message]:
+    """Counts of held-out contexts at each length, for the last round with the shards that have the longest; else which training contexts held-out documents have."""
+    train, held = told[TRAIN], told[HELD]
+    if not held:
+        for row in train if not last else []:
+            yield row[1], shard, TRAIN, squeezed(np.zeros(int.from_bytes(row[3][:8], "little"), np.int64)), None, None
+        return
+    keys, totals, _ = summed(train)
+    asked = [unsqueezed_keys(r[3]) for r in held]
+    if len(lengths) > 1:
+        shorter = [np.frombuffer(r[5], "<u8") for r in train]
+        at, places, _ = grouped(np.concatenate([*shorter, np.zeros(0, np.uint64)]))
+        below = np.bincount(places, np.concatenate([*[unsqueezed(r[4]) for r in train], np.zeros(0, np.int64)]), minlength=len(at)).astype(np.int64)
+    if last:
+        where, own = _holders(train)
+    for row, wanted in zip(held, asked, strict=True):
+        counts = looked_up(keys, totals, wanted)
+        low = looked_up(at, below, np.frombuffer(row[5], "<u8")) if len(lengths) > 1 else None
+        if last:  # how many shards, and which, for each context that occurs
+            i = np.searchsorted(where, wanted[counts > 0])
+            n = np.searchsorted(where, wanted[counts > 0], "right") - i
+            flat = own[np.repeat(i - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            yield row[1], shard, HELD, squeezed(counts), squeezed(low), squeezed(np.concatenate([n, flat]))
+        else:
+            yield row[1], shard, HELD, squeezed(counts), None if low is None else squeezed(low), None
+    if not last:
+        some = np.unique(np.concatenate(asked))
+        for row in train:
+            yield row[1], shard, TRAIN, squeezed(looked_up(some, np.ones(len(some), np.int64), unsqueezed_keys(row[3]))), None, None
+
+
+def _holders(train: list[Message]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys ascending, document shards that have them), without repeats."""
+    keys = np.concatenate([*[unsqueezed_keys(r[3]) for r in train], np.zeros(0, np.uint64)])
+    own = np.repeat(np.array([r[1] >> 32 for r in train], np.int64), np.array([int.from_bytes(r[3][:8], "little") for r in train], np.int64))
+    order = np.lexsort((own, keys))
+    keys, own = keys[order], own[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+    return keys[new], own[new]
+
+
+def rounds(short: int) -> list[tuple[int, ...]]:
+    return [(2,), *((k, k + 1) for k in range(3, short, 2))]
+
+
+class Known:
+    """What rounds have told of a batch's positions. counts[k]: of held-out contexts of k tokens."""
+
+    def __init__(self, own: Batch, shards: int, short: int):
+        self.own, self.shards, self.rounds = own, shards, rounds(short)
+        self.live = np.ones(len(own.tokens), bool)
+        self.lengths = np.ones(len(own.tokens), np.int64)
+        self.counts = np.zeros(len(own.tokens), np.int64)
+        self.holders: list[tuple[np.ndarray, np.ndarray]] = []  # (positions, shard) of the last round's contexts
+
+    def learn(self, r: int, told: dict[int, list[Message]], held_only: bool, last: bool) -> None:
+        own, lengths = self.own, self.rounds[r]
+        asked = own.asking(True, lengths, self.live)
+        deep = asked.told(self.shards, {m[1]: unsqueezed(m[3]) for m in told[HELD]})
+        if len(lengths) > 1:
+            low = asked.told(self.shards, {m[1]: unsqueezed(m[4]) for m in told[HELD]})
+            some = low > 0
+            self.lengths[asked.at[some]], self.counts[asked.at[some]] = lengths[0], low[some]
+        some = (deep > 0) & (own.room[asked.at] >= lengths[-1])
+        self.lengths[asked.at[some]], self.counts[asked.at[some]] = lengths[-1], deep[some]
+        live = np.zeros(len(self.live), bool)
+        live[asked.at[some]] = True
+        if not held_only:
+            mine = own.asking(False, lengths, self.live)
+            live[mine.at[mine.told(self.shards, {m[1]: unsqueezed(m[3]) for m in told[TRAIN]}) > 0]] = True
+        if last:
+            self._place(asked, told, live)
+        self.live = live
+
+    def _place(self, asked: Asked, told: dict[int, list[Message]], live: np.ndarray) -> None:
+        order, cuts = asked._order(self.shards)
+        by_place = np.argsort(asked.places, kind="stable")
+        begins = np.searchsorted(asked.places[by_place], np.arange(len(asked.keys) + 1))
+        for m in told[HELD]:
+            mine = order[cuts[m[1]] : cuts[m[1] + 1]][unsqueezed(m[3]) > 0]
+            flat = unsqueezed(m[5])
+            n, holders = flat[: len(mine)], flat[len(mine) :]
+            key = np.repeat(mine, n)
+            many = begins[key + 1] - begins[key]
+            at = asked.at[by_place[np.repeat(begins[key] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]]
+            holders = np.repeat(holders, many)
+            self.holders.append((at[live[at]], holders[live[at]]))
+
+    def stretches(self, short: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, first positions, ends) of the runs of live held-out positions to ask of it."""
+        live = self.live & self.own.held
+        edge = np.diff(live.astype(np.int8), prepend=0, append=0)
+        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(first):
+            return
+        at = np.concatenate([a for a, _ in self.holders])
+        shard = np.concatenate([s for _, s in self.holders])
+        pairs = np.unique(shard << 32 | np.searchsorted(first, at, "right") - 1)
+        for part in np.split(pairs, np.flatnonzero(np.diff(pairs >> 32)) + 1):
+            runs = part & 0xFFFFFFFF
+            yield int(part[0] >> 32), first[runs], end[runs]
+
+
+def part_of(messages_: list[Message], kind: int) -> dict[int, np.ndarray]:
+    return {m[1]: unsqueezed(m[3]) for m in messages_ if m[2] == kind}
+
+
+def ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers from each first to before each end."""
+    n = end - first
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+_BOTH = "batch bigint, kind int, doc_ids array<bigint>, held array<boolean>, sizes array<int>, depths array<int>, words binary, places binary, round int, source bigint, sort int, a binary, b binary, c binary"
+
+
+def with_answers(batches: DataFrame, told: list[DataFrame]) -> DataFrame:
+    """Batches, each before the messages of all rounds to it."""
+    empty = {n: F.lit(None).cast(t).alias(n) for n, t in (x.split(" ") for x in _BOTH.split(", "))}
+    own = batches.select(*[F.lit(0).alias("kind") if n == "kind" else F.col(n) if n in batches.columns else empty[n] for n in empty])
+    out = own
+    for r, answers in enumerate(told):
+        given = {"batch": F.col("goal"), "kind": F.lit(1), "round": F.lit(r), "source": F.col("source"), "sort": F.col("kind"), "a": F.col("a"), "b": F.col("b"), "c": F.col("c")}
+        out = out.union(answers.where("goal >= 0").select(*[given[n].alias(n) if n in given else empty[n] for n in empty]))
+    return out.repartition("batch").sortWithinPartitions("batch", "kind")
+
+
+def told_batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[Batch, dict[int, dict[int, list[Message]]]]]:
+    """(batch, round -> kind -> messages)."""
+    own, told = None, defaultdict(lambda: defaultdict(list))
+    for one in slices(rows, 1):
+        get = lambda name: one.column(one.schema.get_field_index(name))[0].as_py()  # noqa: B023, E731
+        if get("kind") == 0:
+            if own is not None:
+                yield own, told
+            own, told = Batch(one), defaultdict(lambda: defaultdict(list))
+        else:
+            told[get("round")][get("sort")].append((get("batch"), get("source"), get("sort"), get("a"), get("b"), get("c")))
+    if own is not None:
+        yield own, told
+
+
+def context_messages(own: Batch, live: np.ndarray, lengths: tuple[int, ...], shards: int) -> Iterator[Message]:
+    for held in (False, True):
+        asked = own.asking(held, lengths, live)
+        counts = np.bincount(asked.places, minlength=len(asked.keys))
+        for shard, which in asked.send(shards):
+            first = asked.first[which].tobytes() if len(lengths) > 1 else None
+            yield shard, own.number, HELD if held else TRAIN, squeezed_keys(asked.keys[which]), None if held else squeezed(counts[which]), first
+
+
+def count_messages(own: Batch, shards: int) -> Iterator[Message]:
+    trained = np.bincount(own.places[~own.held[own.inner]], minlength=len(own.words))
+    at, keys = own.heads()
+    for kind, asked, counts in ((WORDS, _asked(own.words), trained), (HEADS, _asked(keys), None)):
+        n = np.bincount(asked.places, counts, minlength=len(asked.keys)).astype(np.int64)
+        for shard, which in asked.send(shards):
+            yield shard, own.number, kind, squeezed_keys(asked.keys[which]), squeezed(n[which]), None
+
+
+def _asked(keys: np.ndarray) -> Asked:
+    return Asked(np.arange(len(keys)), *grouped(keys), keys)
+
+
+def sent_in_parts(rows: Iterator[Message]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += sum(len(x) for x in row[3:] if x)
+        if n >= 4 << 20:
+            yield messages(held)
+            held, n = [], 0
+    if held:
+        yield messages(held)
+
+
+def first_round(batches: DataFrame, shards: int) -> DataFrame:
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in slices(rows, 1):
+            own = Batch(one)
+            yield from sent_in_parts(count_messages(own, shards))
+            yield from sent_in_parts(context_messages(own, np.ones(len(own.tokens), bool), (2,), shards))
+
+    def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, told in by_goal(rows):
+            yield from sent_in_parts(first_answers(shard, told))
+
+    return batches.mapInArrow(ask, _MESSAGES).repartition(shards, "goal").sortWithinPartitions("goal").mapInArrow(answer, _MESSAGES)
+
+
+def later_round(batches: DataFrame, told: list[DataFrame], shards: int, short: int) -> DataFrame:
+    r, every = len(told), rounds(short)
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, answers in told_batches(rows):
+            known = Known(own, shards, short)
+            for k in range(r):
+                known.learn(k, answers[k], False, False)
+            yield from sent_in_parts(context_messages(own, known.live, every[r], shards))
+
+    def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, asked in by_goal(rows):
+            yield from sent_in_parts(_short_answers(shard, asked, every[r], r == len(every) - 1))
+
+    return with_answers(batches, told).mapInArrow(ask, _MESSAGES).repartition(shards, "goal").sortWithinPartitions("goal").mapInArrow(answer, _MESSAGES)
 
-    return dealt.mapInArrow(pack, _TABLE)
 
+# whole contexts
 
-def unpacked(row: dict) -> list[np.ndarray]:
-    words = np.array(row["words"], np.int64).view(np.uint64)
-    return np.split(words[_unsqueezed(row["places"])], np.cumsum(row["sizes"])[:-1]) if row["sizes"] else []
+def learned(own: Batch, answers: dict[int, dict[int, list[Message]]], shards: int, short: int) -> Known:
+    known = Known(own, shards, short)
+    for k in range(len(known.rounds)):
+        known.learn(k, answers[k], True, k == len(known.rounds) - 1)
+    return known
 
 
-_ANSWERS = "batch bigint, shard bigint, lengths binary, counts binary"
+def suffix_answers(batches: DataFrame, told: list[DataFrame], shards: int, short: int) -> DataFrame:
+    """For each batch: counts of its training documents' whole contexts (TIES), and each asked shard's longest matches of its stretches (STRETCH: positions, lengths, counts)."""
 
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, answers in told_batches(rows):
+            if not own.held_docs.all():
+                places = own.places[~own.held[own.inner]]
+                yield messages([(own.number >> 32, own.number, TIES, squeezed(places), squeezed(own.sizes[~own.held_docs] - 2), own.words.tobytes())])
+            if own.held_docs.any():
+                known = learned(own, answers, shards, short)
+                asked = ((shard, own.number, STRETCH, own.tokens[ranges(first - short + 1, end)].tobytes(), squeezed(first), squeezed(end - first)) for shard, first, end in known.stretches(short))
+                yield from sent_in_parts(asked)
 
-def answers(table: DataFrame, shards: int) -> DataFrame:
-    """For each batch and shard: length and count of the longest context at each position (start, after each word, after the end) of its held-out documents."""
-    kept = ("batch", "held", "sizes", "words", "places")
-    trains = table.where((F.col("kind") == 0) & F.exists("held", lambda h: ~h))
-    numbered = trains.select("batch", F.pmod(F.row_number().over(Window.orderBy("batch")) - 1, F.lit(shards)).cast("bigint").alias("shard"))  # one row for each batch: shards get equal numbers of them
-    training = trains.join(numbered, "batch").select("shard", F.lit(0).alias("kind"), *kept)
-    asked = table.where("kind = 1").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("shard"), F.lit(1).alias("kind"), *kept)
+    def search(built: Shard, rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[Message]:
+        sizes = np.concatenate([n + short - 1 for _, _, _, n in rows])
+        text = np.concatenate([t for _, t, _, _ in rows])
+        room = np.arange(1, len(text) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        lengths, counts = built.longest(text, room)
+        kept = room >= short
+        lengths, counts = lengths[kept], counts[kept]
+        cuts = np.cumsum([int(n.sum()) for _, _, _, n in rows])[:-1]
+        for (number, _, first, n), a, b in zip(rows, np.split(lengths, cuts), np.split(counts, cuts), strict=True):
+            yield number, 0, STRETCH, squeezed(ranges(first, first + n)), squeezed(a), squeezed(b)
 
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, training_docs, built = None, [], None
-        held_rows: list[tuple[int, list[np.ndarray]]] = []
-        size = 0
-
-        def search() -> Iterator[pa.RecordBatch]:
-            found = built.longest_of([d for _, docs in held_rows for d in docs])
-            at = 0
-            for batch, docs in held_rows:
-                part = found[at : at + len(docs)]
-                at += len(docs)
-                lengths, counts = (np.concatenate([x[k] for x in part]) for k in range(2))
-                yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([current], pa.int64()), pa.array([_squeezed(lengths)]), pa.array([_squeezed(counts)])], ["batch", "shard", "lengths", "counts"])
+        shard, documents, built = None, [], None
+        asked: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if asked:
+                yield from sent_in_parts(search(built, asked))
+                asked.clear()
+
+        def build() -> Iterator[pa.RecordBatch]:
+            nonlocal built
+            built = Shard([d for _, docs in documents for d in docs])
+            ties, at = built.whole_counts(), 0
+            for number, docs in documents:
+                n = sum(len(d) + 2 for d in docs)
+                yield messages([(number, 0, TIES, squeezed(ties[at : at + n]), None, None)])
+                at += n
+            documents.clear()
 
         for one in slices(rows, 1):
-            row = one.to_pylist()[0]
-            if row["shard"] != current:
-                if held_rows:
-                    yield from search()
-                current, training_docs, built, held_rows, size = row["shard"], [], None, [], 0
-            docs = unpacked(row)
-            if row["kind"] == 0:
-                training_docs += [d for d, held in zip(docs, row["held"], strict=True) if not held]
+            goal, number, kind, a, b, c = (x[0].as_py() for x in one.columns)
+            if goal != shard:
+                if shard is not None:
+                    yield from (finish() if built is not None else build())
+                shard, built = goal, None
+                documents.clear()
+            if kind == TIES:
+                documents.append((number, np.split(np.frombuffer(c, "<u8")[unsqueezed(a)], np.cumsum(unsqueezed(b))[:-1])))
                 continue
             if built is None:
-                built = Shard(training_docs)
-                training_docs = []
-            held_rows.append((row["batch"], docs))
-            size += sum(map(len, docs))
-            if size >= 1 << 19:
-                yield from search()
-                held_rows, size = [], 0
-        if held_rows:
-            yield from search()
+                yield from build()
+            asked.append((number, np.frombuffer(a, "<u8"), unsqueezed(b), unsqueezed(c)))
+            if sum(len(t) for _, t, _, _ in asked) >= 1 << 19:
+                yield from finish()
+        if shard is not None:
+            yield from (finish() if built is not None else build())
 
-    dealt = training.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "batch")
-    return dealt.mapInArrow(answer, _ANSWERS)
+    dealt = with_answers(batches, told).mapInArrow(ask, _MESSAGES).repartition(shards, "goal").sortWithinPartitions("goal", "kind")
+    return dealt.mapInArrow(answer, _MESSAGES)
 
 
-def merged(best: tuple[np.ndarray, np.ndarray] | None, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Longest lengths, and counts summed where they are reached."""
-    if best is None:
-        return lengths, counts
-    longest = np.maximum(best[0], lengths)
-    return longest, np.where(best[0] == longest, best[1], 0) + np.where(lengths == longest, counts, 0)
+def smoothing(length: np.ndarray) -> np.ndarray:
+    return 0.05 + 1000.0 / np.maximum(length, 1).astype(np.float64) ** 3
 
 
 def document_scores(sizes: np.ndarray, base: np.ndarray, lengths: np.ndarray, counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,101 +613,66 @@ def document_scores(sizes: np.ndarray, base: np.ndarray, lengths: np.ndarray, co
     return np.add.reduceat(base, starts), np.add.reduceat(each, starts)
 
 
-def positions(row: dict, documents: int, headed: np.ndarray, family: list[np.ndarray], best: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, counts) at all positions of a batch's documents. headed: counts of its training documents' beginnings; family: its rows of kind 2; best: of its held-out documents."""
-    sizes = np.array(row["sizes"], np.int64) + 2
-    held = np.array(row["held"])
-    starts = np.cumsum(sizes) - sizes
-    lengths = np.arange(int(sizes.sum())) - np.repeat(starts, sizes) + 1
-    counts = np.ones(len(lengths), np.int64)
-    out = np.repeat(held, sizes)
-    if best is not None:
-        lengths[out], counts[out] = best
-    own = starts[~held]
-    counts[own] = documents
-    n_heads = np.minimum(HEAD, sizes[~held]) - 1
-    at = np.repeat(own, n_heads) + 1 + np.arange(int(n_heads.sum())) - np.repeat(np.cumsum(n_heads) - n_heads, n_heads)
-    counts[at] = headed
-    for flat in family:
-        k = 0
-        while k < len(flat):
-            place, n = int(flat[k]), int(flat[k + 1])
-            upto, values = flat[k + 2 : k + 2 + n], flat[k + 2 + n : k + 2 + 2 * n]
-            k += 2 + 2 * n
-            if n:
-                begin = min(HEAD, int(sizes[place]))
-                runs = np.diff(np.maximum(upto, begin), prepend=begin)
-                counts[starts[place] + begin : starts[place] + max(int(upto[-1]), begin)] = np.repeat(values, runs)
+def word_totals(own: Batch, told: dict[int, list[Message]], shards: int, documents: int) -> np.ndarray:
+    """The training count of each token; START and END have the number of training documents."""
+    each = np.full(len(own.tokens), documents, np.int64)
+    each[own.inner] = _asked(own.words).told(shards, part_of(told[WORDS], WORDS))[own.places]
+    return each
+
+
+def positions(own: Batch, told: dict[int, dict[int, list[Message]]], each: np.ndarray, shards: int, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, counts) at all positions."""
+    known = learned(own, told, shards, short)
+    lengths, counts = known.lengths, known.counts
+    one = own.held & (lengths == 1)
+    counts[one] = each[one]
+    lengths[one & (each == 0)] = 0
+    last = len(known.rounds)
+    best, sums = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    for m in told[last][STRETCH]:
+        at, found, n = (unsqueezed(x) for x in m[3:])
+        longer = found > best[at]
+        best[at] = np.maximum(best[at], found)
+        sums[at] = np.where(longer, n, np.where(found == best[at], sums[at] + n, sums[at]))
+    far = best >= short
+    lengths[far], counts[far] = best[far], sums[far]
+    train = ~own.held
+    lengths[train] = own.room[train]
+    for m in told[last][TIES]:
+        counts[train] = unsqueezed(m[3])
+    heads, keys = own.heads()
+    counts[heads] = _asked(keys).told(shards, part_of(told[0][HEADS], HEADS))
+    starts = own.starts[~own.held_docs]
+    counts[starts] = each[starts]
     return lengths, counts
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: int = FOLD, shard: int = SHARD, batch_words: int = BATCH) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. Rows with equal or null ids are separate rows."""
-    table = staged(packed(deal(docs, id_col, text_col), folds, fold, batch_words), "ngram-batches", max_records=32)
-    batches = table.where("kind = 0")
-    by_word = Window.partitionBy("head", "word")
-    words = batches.select("batch", F.lit(False).alias("head"), F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("trained").alias("n"))))
-    heads = batches.select("batch", F.lit(True).alias("head"), F.inline(F.arrays_zip(F.col("heads").alias("word"), F.col("headed").alias("n"))))
-    counts = staged(words.union(heads).select("batch", "head", "word", F.sum("n").over(by_word).cast("bigint").alias("c"), (F.min("batch").over(by_word) == F.col("batch")).alias("first")), "ngram-counts")
-    trained = counts.where("first and not head").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: int = FOLD, shard_bytes: int = SHARD_BYTES, batch_words: int = BATCH, alike_bytes: int = ALIKE_BYTES, short: int | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. short (even, 4 at least): tokens of the longest context that rounds count; None: 4, and two more for each factor of 1,000 over two thousand million tokens."""
+    ship(docs.sparkSession)
+    dealt, shards = deal(docs, id_col, text_col, shard_bytes, alike_bytes)
+    batches = staged(packed(dealt, folds, fold, batch_words), "ngram-batches", max_records=32)
+    told = [staged(first_round(batches, shards), "ngram-round", codec="none")]
     documents = int(batches.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0])
-    total, kinds = int(trained[0]) + documents, int(trained[1]) + int(documents > 0)
-    shards = max(1, -(-total // shard))
-    found = staged(answers(table, shards), "ngram-answers", codec="none")
-
-    null = lambda t, name: F.lit(None).cast(t).alias(name)
-    empty = {"doc_ids": "array<bigint>", "held": "array<boolean>", "sizes": "array<int>", "words": "array<bigint>", "numbers": "array<bigint>", "places": "binary", "more": "binary"}
-
-    def part(df: DataFrame, kind: int, **given) -> DataFrame:
-        return df.select("batch", F.lit(kind).alias("kind"), *[given[k].alias(k) if k in given else null(t, k) for k, t in empty.items()])
-
-    col = F.col
-    own = part(batches, 0, doc_ids=col("doc_ids"), held=col("held"), sizes=col("sizes"), words=col("words"), numbers=col("heads"), places=col("places"), more=col("head_places"))
-    pairs = counts.groupBy("batch", "head").agg(F.array_sort(F.collect_list(F.struct("word", "c"))).alias("p"))  # a batch's own words: bounded by its size
-    known = part(pairs.where("not head"), 1, words=col("p.word"), numbers=col("p.c")).union(part(pairs.where("head"), 2, words=col("p.word"), numbers=col("p.c")))
-    told = part(table.where("kind = 2"), 3, places=col("counts")).union(part(found, 4, places=col("lengths"), more=col("counts")))
+    parts = [unsqueezed(bytes(r["a"])) for r in told[0].where(F.col("kind") == TOTALS).select("a").toLocalIterator()]  # one for each shard
+    total = sum(int(p[0]) << 31 | int(p[1]) for p in parts) + documents
+    kinds = sum(int(p[2]) for p in parts) + int(documents > 0)
+    if short is None:
+        short = 4 + 2 * max(0, math.ceil(math.log(max(total, 1) / 2e9, 1000)))
+    for _ in rounds(short)[1:]:
+        told.append(staged(later_round(batches, told, shards, short), "ngram-round", codec="none"))
+    told.append(staged(suffix_answers(batches, told, shards, short), "ngram-suffixes", codec="none"))
 
     def combine(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict | None = None
-
-        def aligned(keys: list[int], row: dict) -> np.ndarray:
-            signed = np.array(keys, np.int64)
-            c = np.empty(len(signed), np.int64)
-            c[np.argsort(signed)] = row["numbers"]
-            return c
-
-        def result() -> pa.RecordBatch:
-            sizes = np.array(own["sizes"], np.int64)
-            n = len(sizes)
-            last = np.cumsum(sizes + 1) - 1
-            place = np.full(int(sizes.sum()) + n, len(own["words"]))  # the end comes after all words
-            inner = np.ones(len(place), bool)
-            inner[last] = False
-            place[inner] = _unsqueezed(own["places"])
-            c = np.append(word_counts, documents)
-            base, is_known = np.log10((c + 1) / (total + kinds + 1))[place], (c > 0)[place].astype(np.int64)
-            lengths, counts = positions(own, documents, head_counts[_unsqueezed(own["more"])], family, best)
-            low, high = document_scores(sizes, base, lengths, counts, total)
-            n_known = np.add.reduceat(is_known, last - sizes)
-            return pa.RecordBatch.from_arrays([pa.array(own["doc_ids"], pa.int64()), pa.array(own["held"], pa.bool_()), pa.array(sizes + 1), pa.array(n_known, pa.int64()), pa.array(np.full(n, total)), pa.array(low), pa.array(high)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-        for one in slices(rows, 1):
-            row = one.to_pylist()[0]
-            if row["kind"] == 0:
-                if own is not None:
-                    yield result()
-                own, best, family = row, None, []
-                word_counts = head_counts = np.zeros(0, np.int64)
-            elif row["kind"] == 1:
-                word_counts = aligned(own["words"], row)
-            elif row["kind"] == 2:
-                head_counts = aligned(own["numbers"], row)
-            elif row["kind"] == 3:
-                family.append(_unsqueezed(row["places"]))
-            else:
-                best = merged(best, _unsqueezed(row["places"]), _unsqueezed(row["more"]))
-        if own is not None:
-            yield result()
-
-    joined = own.union(known).union(told).repartition("batch").sortWithinPartitions("batch", "kind")
-    return joined.mapInArrow(combine, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        for own, answers in told_batches(rows):
+            each = word_totals(own, answers[0], shards, documents)
+            lengths, counts = positions(own, answers, each, shards, short)
+            scored = np.ones(len(own.tokens), bool)
+            scored[own.starts] = False
+            c = each[scored]
+            sizes = own.sizes - 2
+            low, high = document_scores(sizes, np.log10((c + 1) / (total + kinds + 1)), lengths, counts, total)
+            n_known = np.add.reduceat((c > 0).astype(np.int64), np.cumsum(sizes + 1) - sizes - 1)
+            yield pa.RecordBatch.from_arrays([own.doc_ids.values, pa.array(own.held_docs), pa.array(sizes + 1), pa.array(n_known), pa.array(np.full(len(sizes), total)), pa.array(low), pa.array(high)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return with_answers(batches, told).mapInArrow(combine, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

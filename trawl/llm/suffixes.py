@@ -5,7 +5,7 @@ token p - 1; its context is the tokens before it, nearest first, back to its doc
 context, by prefix doubling with only the unresolved groups sorted again, so contexts that share their nearest m tokens
 stand together for every m.
 
-For each position of a query document the search narrows a range of the array: by binary search on the next token, and
+For each position of a query text the search narrows a range of the array: by binary search on the next token, and
 where the range's first and last context agree for long, by that whole stretch at once, with rolling hashes. It ends
 where no context of the shard has the query's next token: the longest match, of any length, and how often it occurs.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 
 START, END = np.uint64(1), np.uint64(2)
-_BASE = 0x9E3779B97F4A7C15
+BASE = 0x9E3779B97F4A7C15
 _PLAIN = 6  # tokens that are matched one by one before stretches are tried
 
 
@@ -34,8 +34,8 @@ def powers(n: int, base: int) -> np.ndarray:
 def rolled(tokens: np.ndarray) -> np.ndarray:
     """r with hash(tokens[a:b]) = r[b] - r[a] * base**(b - a), modulo 2**64, without a loop over tokens."""
     out = np.zeros(len(tokens) + 1, np.uint64)
-    np.cumsum(tokens * powers(len(tokens), pow(_BASE, -1, 1 << 64))[1:], dtype=np.uint64, out=out[1:])
-    out *= powers(len(tokens), _BASE)
+    np.cumsum(tokens * powers(len(tokens), pow(BASE, -1, 1 << 64))[1:], dtype=np.uint64, out=out[1:])
+    out *= powers(len(tokens), BASE)
     return out
 
 
@@ -53,8 +53,9 @@ class Shard:
         inner[starts] = inner[ends - 1] = False
         if documents:
             self.tokens[inner] = np.concatenate(documents)
-        self.longest = int(sizes.max(initial=1))
-        self.power = powers(self.longest, _BASE)
+        self.sizes, self.ends_of = sizes, ends
+        self.most = int(sizes.max(initial=1))
+        self.power = powers(self.most, BASE)
         self.vocabulary, ids = np.unique(self.tokens, return_inverse=True)
         self.ids = ids.astype(np.int32)
         del ids, inner
@@ -79,7 +80,7 @@ class Shard:
         loose = self._rank(order, keys[order - 1], np.arange(n), rank)
         del keys
         step = 2
-        while len(loose) and step <= self.longest:
+        while len(loose) and step <= self.most:
             at = order[loose]
             key = rank[at] << 32 | rank[np.maximum(at - step, 0)]
             again = np.argsort(key)
@@ -125,22 +126,32 @@ class Shard:
             live = live[low[live] < high[live]]
         return low
 
-    def longest_matches(self, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(length, occurrences) for the len(document) + 2 positions after START, each token, and END. START counts as a token of the context."""
-        return self.longest_of([document])[0]
+    def whole_counts(self) -> np.ndarray:
+        """For each token of the documents in order, START and END included, how many positions have the same whole context as the one after it: the sizes of ranges of the array."""
+        at = self.order.astype(np.int64)
+        room = np.arange(1, len(at) + 1) - np.repeat(self.ends_of - self.sizes, self.sizes)
+        own = room[at - 1]
+        whole = self.rolled[at] - self.rolled[at - own] * self.power[own]
+        new = np.ones(len(at), bool)
+        new[1:] = (own[1:] != own[:-1]) | (whole[1:] != whole[:-1])
+        group = np.cumsum(new) - 1
+        out = np.empty(len(at), np.int64)
+        out[at - 1] = np.bincount(group)[group] if len(at) else 0
+        return out
 
     def longest_of(self, documents: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``longest_matches`` of many documents at once; best for about a million tokens."""
-        sizes = [len(d) + 2 for d in documents]
-        total = sum(sizes)
-        text = np.empty(total, np.uint64)
-        room = np.empty(total, np.int64)  # tokens before each position, within its document
-        at = 0
-        for d, size in zip(documents, sizes, strict=True):
-            text[at], text[at + size - 1] = START, END
-            text[at + 1 : at + size - 1] = d
-            room[at : at + size] = np.arange(1, size + 1)
-            at += size
+        """(length, occurrences) for the len(document) + 2 positions after START, each token, and END of each document. START counts as a token of the context."""
+        if not documents:
+            return []
+        sizes = np.array([len(d) + 2 for d in documents])
+        text = np.concatenate([x for d in documents for x in (np.array([START]), d, np.array([END]))])
+        lengths, counts = self.longest(text, np.arange(1, len(text) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+        cuts = np.cumsum(sizes)[:-1]
+        return list(zip(np.split(lengths, cuts), np.split(counts, cuts), strict=True))
+
+    def longest(self, text: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, occurrences) of the longest match of the context after each token of ``text``, of at most ``room`` tokens. Best for about a million tokens."""
+        total = len(text)
         own = rolled(text)
         found = np.searchsorted(self.vocabulary, text)
         found[found == len(self.vocabulary)] = 0
@@ -163,7 +174,7 @@ class Shard:
             if len(far):
                 a, z = self.order[low[far]].astype(np.int64), self.order[high[far] - 1].astype(np.int64)
                 most = np.minimum(np.minimum(a, z), room[far])
-                together = np.minimum(most, self.longest)
+                together = np.minimum(most, self.most)
                 several = np.flatnonzero(a != z)  # a range of one context agrees with itself
                 together[several] = self._stretch(self.rolled, a[several], self.rolled, z[several], together[several], depth[far[several]])
                 depth[far] = self._stretch(self.rolled, a, own, end[far], together, depth[far])
@@ -181,5 +192,4 @@ class Shard:
             low[more], high[more] = left[some], right[some]
             live = np.concatenate([one, more])
             depth[live] += 1
-        counts, cuts = high - low, np.cumsum(sizes)[:-1]
-        return list(zip(np.split(depth, cuts), np.split(counts, cuts), strict=True)) if sizes else []
+        return depth, high - low
