@@ -6,13 +6,13 @@ equal or null ids are separate rows; columns other than the two named are ignore
 
 1. Documents are dealt by a hash of their first eight words (64 or 512 where many begin alike), so that a shard holds all
    documents which begin like one of its own, and packed into batches of about two million words. Texts move once.
-2. A context is the tokens before a position, nearest first, back to the document's START. Contexts of two tokens, then of three
-   and four, of all positions are dealt by hash to ranges, once for each batch however frequent they are: sorted arrays of
+2. A context is the tokens before a position, nearest first, back to the document's START. Contexts of two tokens, then of three,
+   then of four, of all positions are dealt by hash to ranges, once for each batch however frequent they are: sorted arrays of
    contexts cut short. Held-out positions search them for their longest match so far and its count; training
    positions go on only if some held-out position has their context. More such rounds follow on larger corpora (``short``).
-3. A held-out position whose context of ``short`` tokens occurs is told the shards that have it. Stretches of such positions
-   go to those shards alone, whose suffix arrays of whole contexts give each position's longest match, of any length, by binary
-   search, and how often it occurs. A context reaches no further back than its stretch.
+3. A held-out position whose context of ``short`` tokens occurs is told the shards that have it. For each of those shards, the runs of
+   positions whose contexts it has go there, equal ones once; its suffix array of whole contexts gives each position's longest
+   match, of any length, by binary search, and how often it occurs. A match reaches no further back than its run.
 4. Answers are merged by position: the longest length over the shards asked, counts summed over those that reach it.
 5. A training document's longest context is all that precedes: the shard's array has it as a range, whose size is its
    count. Beginnings too short for the shard to hold all of are counted like words.
@@ -22,7 +22,7 @@ equal or null ids are separate rows; columns other than the two named are ignore
 
 Work and shuffled bytes grow with the corpus, not with its square: each round sends a batch's distinct contexts once, and what
 copies nothing asks no suffix array. A task holds one shard or one batch. Very long texts are batches of their own. A passage that
-many shards hold is asked of all of them, once for each batch and stretch.
+many shards hold is asked of all of them, once for each batch.
 """
 
 from __future__ import annotations
@@ -49,12 +49,12 @@ SHARD_BYTES, ALIKE_BYTES = 18 << 20, 6 << 20
 #: Words by which documents are dealt.
 DEPTHS = (8, 64, 512)
 
-_BATCHES = "batch bigint, doc_ids array<bigint>, held array<boolean>, sizes array<int>, depths array<int>, words binary, places binary"
-_BATCH_ROW = pa.schema([("batch", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("depths", pa.list_(pa.int32())), ("words", pa.binary()), ("places", pa.binary())])
+_BATCHES = "batch bigint, held boolean, doc_ids array<bigint>, sizes array<int>, depths array<int>, words binary, places binary"
+_BATCH_ROW = pa.schema([("batch", pa.int64()), ("held", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("depths", pa.list_(pa.int32())), ("words", pa.binary()), ("places", pa.binary())])
 #: What batches and shards send each other: goal: the shard, or the batch; kind: of message; parts: packed arrays.
 _MESSAGES = "goal bigint, source bigint, kind int, a binary, b binary, c binary"
 _MESSAGE = pa.schema([("goal", pa.int64()), ("source", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-WORDS, HEADS, TRAIN, HELD, TOTALS, TIES, STRETCH = range(7)
+WORDS, HEADS, TRAIN, HELD, STATE, TOTALS, TIES, STRETCH = range(8)
 Message = tuple[int, int, int, bytes | None, bytes | None, bytes | None]
 
 
@@ -164,38 +164,32 @@ def deal(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int, alike_by
 
 
 def packed(dealt: DataFrame, folds: int, fold: int, batch_words: int) -> DataFrame:
-    """Rows of ``_BATCHES``: the distinct words of a batch, frequent ones first, and each word's place among them. A batch's number has its shard's above 32 bits."""
+    """Rows of ``_BATCHES``, of training or of held-out documents: the distinct words of a batch, frequent ones first, and each word's place among them. A batch's number has its shard's above 32 bits."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, number = TaskContext.get().partitionId() << 32, 0
-        ids: list[int | None] = []
-        depths: list[int] = []
-        codes: list[np.ndarray] = []
-        known: defaultdict[bytes, int] = defaultdict(count().__next__)
-        total = 0
-
-        def flush() -> pa.RecordBatch:
-            places = np.concatenate(codes)
-            order = np.argsort(-np.bincount(places, minlength=len(known)), kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            words = np.array(word_hashes(list(known)), "<u8")[order]
-            row = {"batch": first + number, "doc_ids": ids, "held": [is_held(i, folds, fold) for i in ids], "sizes": [len(c) for c in codes], "depths": depths, "words": words.tobytes(), "places": squeezed(rank[places])}
-            return pa.RecordBatch.from_pylist([row], _BATCH_ROW)
+    def row(number: int, held: bool, documents: list[tuple[int | None, int, np.ndarray]], known: dict[bytes, int]) -> pa.RecordBatch:
+        ids, depths, codes = zip(*documents, strict=True)
+        places = np.concatenate(codes)
+        order = np.argsort(-np.bincount(places, minlength=len(known)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words = np.array(word_hashes(list(known)), "<u8")[order]
+        return pa.RecordBatch.from_pylist([{"batch": number, "held": held, "doc_ids": ids, "sizes": [len(c) for c in codes], "depths": depths, "words": words.tobytes(), "places": squeezed(rank[places])}], _BATCH_ROW)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        open_: dict[bool, list] = {}
         for batch in slices(batches):
             for doc, text, depth in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = split(text)
-                ids.append(doc)
-                depths.append(depth)
-                codes.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                total += len(words) + 2
-                if total >= batch_words:
-                    yield flush()
-                    ids, depths, codes, total, number = [], [], [], 0, number + 1
-                    known = defaultdict(count().__next__)
-        if ids:
-            yield flush()
+                words, held = split(text), is_held(doc, folds, fold)
+                own = open_.setdefault(held, [0, [], defaultdict(count().__next__)])
+                own[1].append((doc, depth, np.fromiter(map(own[2].__getitem__, words), np.int32, len(words))))
+                own[0] += len(words) + 2
+                if own[0] >= batch_words:
+                    yield row(number, held, *open_.pop(held)[1:])
+                    number += 1
+        for held, own in open_.items():
+            yield row(number, held, *own[1:])
+            number += 1
 
     return dealt.mapInArrow(pack, _BATCHES)
 
@@ -206,7 +200,7 @@ class Batch:
     def __init__(self, row: pa.RecordBatch):
         get = lambda name: row.column(row.schema.get_field_index(name))[0]
         self.number = get("batch").as_py()
-        self.doc_ids, self.held_docs = get("doc_ids"), get("held").values.to_numpy(zero_copy_only=False)
+        self.doc_ids, self.held = get("doc_ids"), get("held").as_py()
         self.words = np.frombuffer(get("words").as_buffer(), "<u8")
         self.places = unsqueezed(get("places").as_py())
         self.sizes = get("sizes").values.to_numpy().astype(np.int64) + 2
@@ -220,8 +214,9 @@ class Batch:
         self.tokens[self.starts], self.tokens[self.ends - 1] = START, END
         self.tokens[self.inner] = self.words[self.places]
         self.room = np.arange(1, n + 1) - np.repeat(self.starts, self.sizes)
-        self.held = np.repeat(self.held_docs, self.sizes)
         self.hashes = {1: self.tokens}
+        self.rolled: np.ndarray | None = None
+        self.powers = np.zeros(0, np.uint64)
 
     def contexts(self, length: int) -> np.ndarray:
         """Hashes of the nearest ``length`` tokens; beyond START there is 0. Only of use where ``room`` is length - 1 at least."""
@@ -235,39 +230,48 @@ class Batch:
     def heads(self) -> tuple[np.ndarray, np.ndarray]:
         """(positions, keys) of the training documents' beginnings that count like words."""
         depth = np.repeat(self.depths, self.sizes)
-        at = np.flatnonzero(~self.held & (self.room > 1) & (self.room <= depth + 1))
-        sums = rolled(self.tokens)
-        begin = np.repeat(self.starts, self.sizes)[at]
-        power = powers(int(self.room[at].max(initial=1)), BASE)
-        return at, mixed(sums[at + 1] - sums[begin] * power[self.room[at]], self.room[at].astype(np.uint64))
+        at = np.flatnonzero((self.room > 1) & (self.room <= depth + 1))
+        sums, power, room = self.sums(), self.power(int(self.room[at].max(initial=1))), self.room[at]
+        return at, mixed(sums[at + 1] - sums[np.repeat(self.starts, self.sizes)[at]] * power[room], room.astype(np.uint64))
+
+    def sums(self) -> np.ndarray:
+        """Rolling hashes, see ``suffixes.rolled``."""
+        if self.rolled is None:
+            self.rolled = rolled(self.tokens)
+        return self.rolled
 
-    def asking(self, held: bool, lengths: tuple[int, ...], live: np.ndarray) -> Asked:
-        """The distinct contexts of live positions of one part."""
-        at = np.flatnonzero(live & (self.held == held) & (self.room >= lengths[0]))
-        return Asked(at, *grouped(self.contexts(lengths[-1])[at]), self.contexts(lengths[0])[at])
+    def power(self, n: int) -> np.ndarray:
+        if len(self.powers) <= n:
+            self.powers = powers(n, BASE)
+        return self.powers
+
+    def asking(self, length: int, live: np.ndarray) -> Asked:
+        """The distinct contexts of that length of live positions."""
+        at = np.flatnonzero(live & (self.room >= length))
+        return Asked(at, *grouped(self.contexts(length)[at])[:2])
 
 
 class Asked:
-    """Distinct keys of positions, dealt to shards by their first length's hash, ascending for each."""
+    """Distinct keys of positions, dealt to shards by hash, ascending for each."""
 
-    def __init__(self, at: np.ndarray, keys: np.ndarray, places: np.ndarray, some: np.ndarray, first: np.ndarray):
-        self.at, self.keys, self.places, self.first = at, keys, places, first[some]
+    def __init__(self, at: np.ndarray, keys: np.ndarray, places: np.ndarray):
+        self.at, self.keys, self.places = at, keys, places
 
     def send(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
         """(shard, which keys) for shards that get any."""
-        order, cuts = self._order(shards)
+        order, cuts = self.dealt(shards)
         for shard in np.flatnonzero(np.diff(cuts)).tolist():
             yield shard, order[cuts[shard] : cuts[shard + 1]]
 
-    def _order(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        goal = (self.first >> np.uint64(20)) % np.uint64(shards)
+    def dealt(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        goal = (self.keys >> np.uint64(20)) % np.uint64(shards)
         order = np.argsort(goal.astype(np.uint16 if shards <= 1 << 16 else np.uint32), kind="stable")
         return order, np.concatenate([[0], np.cumsum(np.bincount(goal.astype(np.int64), minlength=shards))])
 
     def told(self, shards: int, answers: dict[int, np.ndarray]) -> np.ndarray:
         """Shards' answers for the keys they were sent, by position of ``at``."""
         out = np.zeros(len(self.keys), np.int64)
-        order, cuts = self._order(shards)
+        order, cuts = self.dealt(shards)
         for shard, values in answers.items():
             out[order[cuts[shard] : cuts[shard + 1]]] = values
         return out[self.places]
@@ -302,44 +306,31 @@ def summed(rows: list[Message]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray
     return distinct, totals, np.split(totals[places], np.cumsum([len(k) for k in keys])[:-1]) if rows else []
 
 
-def first_answers(shard: int, told: dict[int, list[Message]]) -> Iterator[Message]:
-    """Totals of words and beginnings, counts of held-out pairs, which training pairs held-out documents have."""
+def answers_of(shard: int, told: dict[int, list[Message]], last: bool) -> Iterator[Message]:
+    """What batches get back: their states; totals of words and beginnings; counts of held-out contexts, in the last round with the
+    document shards that have them; in others, which training contexts held-out documents have."""
+    for row in told[STATE]:
+        yield row[1], shard, STATE, *row[3:]
     for kind in (WORDS, HEADS):
         _, totals, parts = summed(told[kind])
         for row, part in zip(told[kind], parts, strict=True):
             yield row[1], shard, kind, squeezed(part), None, None
-        if kind == WORDS:
+        if kind == WORDS and told[kind]:
             yield -1, shard, TOTALS, squeezed(np.array([totals.sum() >> 31, totals.sum() & 0x7FFFFFFF, np.count_nonzero(totals)])), None, None
-    yield from _short_answers(shard, told, (2,), False)
-
-
-def _short_answers(shard: int, told: dict[int, list[Message]], lengths: tuple[int, ...], last: bool) -> Iterator[Message]:
-    """Counts of held-out contexts at each length, for the last round with the shards that have the longest; else which training contexts held-out documents have."""
     train, held = told[TRAIN], told[HELD]
-    if not held:
-        for row in train if not last else []:
-            yield row[1], shard, TRAIN, squeezed(np.zeros(int.from_bytes(row[3][:8], "little"), np.int64)), None, None
-        return
     keys, totals, _ = summed(train)
     asked = [unsqueezed_keys(r[3]) for r in held]
-    if len(lengths) > 1:
-        shorter = [np.frombuffer(r[5], "<u8") for r in train]
-        at, places, _ = grouped(np.concatenate([*shorter, np.zeros(0, np.uint64)]))
-        below = np.bincount(places, np.concatenate([*[unsqueezed(r[4]) for r in train], np.zeros(0, np.int64)]), minlength=len(at)).astype(np.int64)
-    if last:
-        where, own = _holders(train)
+    where, own = _holders(train) if last else (None, None)
     for row, wanted in zip(held, asked, strict=True):
         counts = looked_up(keys, totals, wanted)
-        low = looked_up(at, below, np.frombuffer(row[5], "<u8")) if len(lengths) > 1 else None
+        holders = None
         if last:  # how many shards, and which, for each context that occurs
             i = np.searchsorted(where, wanted[counts > 0])
             n = np.searchsorted(where, wanted[counts > 0], "right") - i
-            flat = own[np.repeat(i - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-            yield row[1], shard, HELD, squeezed(counts), squeezed(low), squeezed(np.concatenate([n, flat]))
-        else:
-            yield row[1], shard, HELD, squeezed(counts), None if low is None else squeezed(low), None
+            holders = squeezed(np.concatenate([n, own[ranges(i, i + n)]]))
+        yield row[1], shard, HELD, squeezed(counts), holders, None
     if not last:
-        some = np.unique(np.concatenate(asked))
+        some = np.unique(np.concatenate([*asked, np.zeros(0, np.uint64)]))
         for row in train:
             yield row[1], shard, TRAIN, squeezed(looked_up(some, np.ones(len(some), np.int64), unsqueezed_keys(row[3]))), None, None
 
@@ -355,79 +346,65 @@ def _holders(train: list[Message]) -> tuple[np.ndarray, np.ndarray]:
     return keys[new], own[new]
 
 
-def rounds(short: int) -> list[tuple[int, ...]]:
-    return [(2,), *((k, k + 1) for k in range(3, short, 2))]
+def ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers from each first to before each end."""
+    n = end - first
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 class Known:
-    """What rounds have told of a batch's positions. counts[k]: of held-out contexts of k tokens."""
-
-    def __init__(self, own: Batch, shards: int, short: int):
-        self.own, self.shards, self.rounds = own, shards, rounds(short)
-        self.live = np.ones(len(own.tokens), bool)
-        self.lengths = np.ones(len(own.tokens), np.int64)
-        self.counts = np.zeros(len(own.tokens), np.int64)
-        self.holders: list[tuple[np.ndarray, np.ndarray]] = []  # (positions, shard) of the last round's contexts
-
-    def learn(self, r: int, told: dict[int, list[Message]], held_only: bool, last: bool) -> None:
-        own, lengths = self.own, self.rounds[r]
-        asked = own.asking(True, lengths, self.live)
-        deep = asked.told(self.shards, {m[1]: unsqueezed(m[3]) for m in told[HELD]})
-        if len(lengths) > 1:
-            low = asked.told(self.shards, {m[1]: unsqueezed(m[4]) for m in told[HELD]})
-            some = low > 0
-            self.lengths[asked.at[some]], self.counts[asked.at[some]] = lengths[0], low[some]
-        some = (deep > 0) & (own.room[asked.at] >= lengths[-1])
-        self.lengths[asked.at[some]], self.counts[asked.at[some]] = lengths[-1], deep[some]
-        live = np.zeros(len(self.live), bool)
-        live[asked.at[some]] = True
-        if not held_only:
-            mine = own.asking(False, lengths, self.live)
-            live[mine.at[mine.told(self.shards, {m[1]: unsqueezed(m[3]) for m in told[TRAIN]}) > 0]] = True
-        if last:
-            self._place(asked, told, live)
-        self.live = live
-
-    def _place(self, asked: Asked, told: dict[int, list[Message]], live: np.ndarray) -> None:
-        order, cuts = asked._order(self.shards)
+    """What rounds have told of a batch's positions. live: that the next round asks about; of held-out positions also the longest match so far and its count."""
+
+    def __init__(self, own: Batch, shards: int, state: list[Message]):
+        self.own, self.shards, n = own, shards, len(own.tokens)
+        self.live, self.lengths, self.counts = np.ones(n, bool), np.ones(n, np.int64), np.zeros(n, np.int64)
+        for m in state:
+            self.live = unsqueezed(m[3]) > 0
+            if own.held:
+                self.lengths, self.counts = unsqueezed(m[4]), unsqueezed(m[5])
+
+    def state(self) -> Message:
+        held = self.own.held
+        return self.own.number % self.shards, self.own.number, STATE, squeezed(self.live.astype(np.int64)), squeezed(self.lengths) if held else None, squeezed(self.counts) if held else None
+
+    def learn(self, length: int, told: dict[int, list[Message]]) -> Asked:
+        """Takes the answers to contexts of that length. Returns what had been asked."""
+        asked = self.own.asking(length, self.live)
+        counts = asked.told(self.shards, {m[1]: unsqueezed(m[3]) for m in told[HELD if self.own.held else TRAIN]})
+        some = asked.at[counts > 0]
+        if self.own.held:
+            self.lengths[some], self.counts[some] = length, counts[counts > 0]
+        self.live = np.zeros(len(self.live), bool)
+        self.live[some] = True
+        return asked
+
+    def stretches(self, asked: Asked, told: dict[int, list[Message]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, first positions, ends): runs of positions whose contexts, as last asked for, that document shard holds."""
+        order, cuts = asked.dealt(self.shards)
         by_place = np.argsort(asked.places, kind="stable")
         begins = np.searchsorted(asked.places[by_place], np.arange(len(asked.keys) + 1))
+        pairs = [np.zeros((2, 0), np.int64)]
         for m in told[HELD]:
             mine = order[cuts[m[1]] : cuts[m[1] + 1]][unsqueezed(m[3]) > 0]
-            flat = unsqueezed(m[5])
-            n, holders = flat[: len(mine)], flat[len(mine) :]
-            key = np.repeat(mine, n)
-            many = begins[key + 1] - begins[key]
-            at = asked.at[by_place[np.repeat(begins[key] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]]
-            holders = np.repeat(holders, many)
-            self.holders.append((at[live[at]], holders[live[at]]))
-
-    def stretches(self, short: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shard, first positions, ends) of the runs of live held-out positions to ask of it."""
-        live = self.live & self.own.held
-        edge = np.diff(live.astype(np.int8), prepend=0, append=0)
-        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if not len(first):
+            flat = unsqueezed(m[4])
+            key = np.repeat(mine, flat[: len(mine)])
+            first, end = begins[key], begins[key + 1]
+            pairs.append(np.stack([np.repeat(flat[len(mine) :], end - first), asked.at[by_place[ranges(first, end)]]]))
+        shard, at = np.concatenate(pairs, axis=1)
+        by = np.lexsort((at, shard))
+        shard, at = shard[by], at[by]
+        if not len(at):
             return
-        at = np.concatenate([a for a, _ in self.holders])
-        shard = np.concatenate([s for _, s in self.holders])
-        pairs = np.unique(shard << 32 | np.searchsorted(first, at, "right") - 1)
-        for part in np.split(pairs, np.flatnonzero(np.diff(pairs >> 32)) + 1):
-            runs = part & 0xFFFFFFFF
-            yield int(part[0] >> 32), first[runs], end[runs]
+        new = np.ones(len(at), bool)
+        new[1:] = (shard[1:] != shard[:-1]) | (at[1:] != at[:-1] + 1)
+        edge = np.flatnonzero(new)
+        first, end, whose = at[edge], at[np.append(edge[1:], len(at)) - 1] + 1, shard[edge]
+        cut = np.flatnonzero(np.diff(whose)) + 1
+        for s, f, e in zip(np.split(whose, cut), np.split(first, cut), np.split(end, cut), strict=True):
+            yield int(s[0]), f, e
 
 
-def part_of(messages_: list[Message], kind: int) -> dict[int, np.ndarray]:
-    return {m[1]: unsqueezed(m[3]) for m in messages_ if m[2] == kind}
-
-
-def ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All numbers from each first to before each end."""
-    n = end - first
-    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-
-
-_BOTH = "batch bigint, kind int, doc_ids array<bigint>, held array<boolean>, sizes array<int>, depths array<int>, words binary, places binary, round int, source bigint, sort int, a binary, b binary, c binary"
+_BOTH = "batch bigint, kind int, held boolean, doc_ids array<bigint>, sizes array<int>, depths array<int>, words binary, places binary, round int, source bigint, sort int, a binary, b binary, c binary"
 
 
 def with_answers(batches: DataFrame, told: list[DataFrame]) -> DataFrame:
@@ -456,26 +433,27 @@ def told_batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[Batch, dict[i
         yield own, told
 
 
-def context_messages(own: Batch, live: np.ndarray, lengths: tuple[int, ...], shards: int) -> Iterator[Message]:
-    for held in (False, True):
-        asked = own.asking(held, lengths, live)
-        counts = np.bincount(asked.places, minlength=len(asked.keys))
-        for shard, which in asked.send(shards):
-            first = asked.first[which].tobytes() if len(lengths) > 1 else None
-            yield shard, own.number, HELD if held else TRAIN, squeezed_keys(asked.keys[which]), None if held else squeezed(counts[which]), first
+def context_messages(own: Batch, live: np.ndarray, length: int, shards: int) -> Iterator[Message]:
+    asked = own.asking(length, live)
+    counts = np.bincount(asked.places, minlength=len(asked.keys))
+    for shard, which in asked.send(shards):
+        yield shard, own.number, HELD if own.held else TRAIN, squeezed_keys(asked.keys[which]), None if own.held else squeezed(counts[which]), None
 
 
 def count_messages(own: Batch, shards: int) -> Iterator[Message]:
-    trained = np.bincount(own.places[~own.held[own.inner]], minlength=len(own.words))
-    at, keys = own.heads()
-    for kind, asked, counts in ((WORDS, _asked(own.words), trained), (HEADS, _asked(keys), None)):
+    """Words with their counts, none if the batch is held out, and beginnings of training documents."""
+    kinds = [(WORDS, own.words, np.bincount(own.places, minlength=len(own.words)) * (not own.held))]
+    if not own.held:
+        kinds.append((HEADS, own.heads()[1], None))
+    for kind, keys, counts in kinds:
+        asked = _asked(keys)
         n = np.bincount(asked.places, counts, minlength=len(asked.keys)).astype(np.int64)
         for shard, which in asked.send(shards):
             yield shard, own.number, kind, squeezed_keys(asked.keys[which]), squeezed(n[which]), None
 
 
 def _asked(keys: np.ndarray) -> Asked:
-    return Asked(np.arange(len(keys)), *grouped(keys), keys)
+    return Asked(np.arange(len(keys)), *grouped(keys)[:2])
 
 
 def sent_in_parts(rows: Iterator[Message]) -> Iterator[pa.RecordBatch]:
@@ -495,103 +473,124 @@ def first_round(batches: DataFrame, shards: int) -> DataFrame:
         for one in slices(rows, 1):
             own = Batch(one)
             yield from sent_in_parts(count_messages(own, shards))
-            yield from sent_in_parts(context_messages(own, np.ones(len(own.tokens), bool), (2,), shards))
+            yield from sent_in_parts(context_messages(own, np.ones(len(own.tokens), bool), 2, shards))
 
+    return answered(batches.mapInArrow(ask, _MESSAGES), shards, False)
+
+
+def answered(asked: DataFrame, shards: int, last: bool) -> DataFrame:
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, told in by_goal(rows):
-            yield from sent_in_parts(first_answers(shard, told))
+            yield from sent_in_parts(answers_of(shard, told, last))
 
-    return batches.mapInArrow(ask, _MESSAGES).repartition(shards, "goal").sortWithinPartitions("goal").mapInArrow(answer, _MESSAGES)
+    return asked.repartition(shards, "goal").sortWithinPartitions("goal").mapInArrow(answer, _MESSAGES)
 
 
-def later_round(batches: DataFrame, told: list[DataFrame], shards: int, short: int) -> DataFrame:
-    r, every = len(told), rounds(short)
+def later_round(batches: DataFrame, told: DataFrame, shards: int, length: int, last: bool) -> DataFrame:
+    """Contexts of ``length`` tokens; told: the answers of the round before."""
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, answers in told_batches(rows):
-            known = Known(own, shards, short)
-            for k in range(r):
-                known.learn(k, answers[k], False, False)
-            yield from sent_in_parts(context_messages(own, known.live, every[r], shards))
+            known = Known(own, shards, answers[0][STATE])
+            known.learn(length - 1, answers[0])
+            yield from sent_in_parts(context_messages(own, known.live, length, shards))
+            if own.held or not last:
+                yield messages([known.state()])
 
-    def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, asked in by_goal(rows):
-            yield from sent_in_parts(_short_answers(shard, asked, every[r], r == len(every) - 1))
-
-    return with_answers(batches, told).mapInArrow(ask, _MESSAGES).repartition(shards, "goal").sortWithinPartitions("goal").mapInArrow(answer, _MESSAGES)
+    return answered(with_answers(batches, [told]).mapInArrow(ask, _MESSAGES), shards, last)
 
 
 # whole contexts
 
-def learned(own: Batch, answers: dict[int, dict[int, list[Message]]], shards: int, short: int) -> Known:
-    known = Known(own, shards, short)
-    for k in range(len(known.rounds)):
-        known.learn(k, answers[k], True, k == len(known.rounds) - 1)
-    return known
+def stretch_message(own: Batch, shard: int, first: np.ndarray, end: np.ndarray, short: int) -> Message:
+    """The tokens of the distinct stretches, each from short - 1 tokens before its first position on, and which positions have them: number, sizes, copies, first positions."""
+    begin, n = first - short + 1, end - first
+    width = n + short - 1
+    power = own.power(int(width.max()))
+    _, place = grouped(mixed(own.sums()[end] - own.sums()[begin] * power[width], width.astype(np.uint64)))[:2]
+    by = np.argsort(place, kind="stable")
+    copies = np.bincount(place)
+    one = by[np.cumsum(copies) - copies]
+    tokens = own.tokens[ranges(begin[one], end[one])].tobytes()
+    return shard, own.number, STRETCH, len(tokens).to_bytes(8, "little") + _CODEC.compress(tokens, asbytes=True), squeezed(np.concatenate([[len(one)], n[one], copies, first[by]])), None
+
 
+def stretch_tokens(packed_: bytes) -> np.ndarray:
+    return np.frombuffer(_CODEC.decompress(packed_[8:], decompressed_size=int.from_bytes(packed_[:8], "little"), asbytes=True), "<u8")
 
-def suffix_answers(batches: DataFrame, told: list[DataFrame], shards: int, short: int) -> DataFrame:
-    """For each batch: counts of its training documents' whole contexts (TIES), and each asked shard's longest matches of its stretches (STRETCH: positions, lengths, counts)."""
+
+def stretch_parts(packed_: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, copies, first positions) of a message's stretches."""
+    flat = unsqueezed(packed_)
+    d = int(flat[0])
+    return flat[1 : d + 1], flat[d + 1 : 2 * d + 1], flat[2 * d + 1 :]
+
+
+def suffix_answers(batches: DataFrame, told: DataFrame, shards: int, short: int) -> DataFrame:
+    """For each batch: counts of its training documents' whole contexts (TIES), or its state and each asked shard's longest matches of its stretches (STRETCH: stretches, lengths, counts)."""
+
+    def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in slices(rows, 1):
+            get = lambda name: one.column(one.schema.get_field_index(name))[0].as_py()  # noqa: B023, E731
+            yield messages([(get("batch") >> 32, get("batch"), TIES, get("places"), squeezed(np.array(get("sizes"), np.int64)), get("words"))])
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, answers in told_batches(rows):
-            if not own.held_docs.all():
-                places = own.places[~own.held[own.inner]]
-                yield messages([(own.number >> 32, own.number, TIES, squeezed(places), squeezed(own.sizes[~own.held_docs] - 2), own.words.tobytes())])
-            if own.held_docs.any():
-                known = learned(own, answers, shards, short)
-                asked = ((shard, own.number, STRETCH, own.tokens[ranges(first - short + 1, end)].tobytes(), squeezed(first), squeezed(end - first)) for shard, first, end in known.stretches(short))
-                yield from sent_in_parts(asked)
-
-    def search(built: Shard, rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[Message]:
-        sizes = np.concatenate([n + short - 1 for _, _, _, n in rows])
-        text = np.concatenate([t for _, t, _, _ in rows])
-        room = np.arange(1, len(text) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            known = Known(own, shards, answers[0][STATE])
+            asked = known.learn(short, answers[0])
+            yield messages([known.state()])
+            yield from sent_in_parts(stretch_message(own, shard, first, end, short) for shard, first, end in known.stretches(asked, answers[0]))
+
+    def search(built: Shard, rows: list[tuple[int, np.ndarray, bytes]]) -> Iterator[Message]:
+        sizes = [stretch_parts(p)[0] for _, _, p in rows]
+        width = np.concatenate(sizes) + short - 1
+        text = np.concatenate([t for _, t, _ in rows])
+        room = np.arange(1, len(text) + 1) - np.repeat(np.cumsum(width) - width, width)
         lengths, counts = built.longest(text, room)
         kept = room >= short
-        lengths, counts = lengths[kept], counts[kept]
-        cuts = np.cumsum([int(n.sum()) for _, _, _, n in rows])[:-1]
-        for (number, _, first, n), a, b in zip(rows, np.split(lengths, cuts), np.split(counts, cuts), strict=True):
-            yield number, 0, STRETCH, squeezed(ranges(first, first + n)), squeezed(a), squeezed(b)
+        cuts = np.cumsum([int(n.sum()) for n in sizes])[:-1]
+        for (number, _, parts), a, b in zip(rows, np.split(lengths[kept], cuts), np.split(counts[kept], cuts), strict=True):
+            yield number, 0, STRETCH, parts, squeezed(a), squeezed(b)
 
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, documents, built = None, [], None
-        asked: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        shard, built = None, None
+        documents: list[tuple[int, list[np.ndarray]]] = []
+        asked: list[tuple[int, np.ndarray, bytes]] = []
 
         def finish() -> Iterator[pa.RecordBatch]:
+            """Searches for what is asked; builds the shard before, once its documents are all there."""
+            nonlocal built
+            if documents:
+                built = Shard([d for _, docs in documents for d in docs])
+                ties, at = built.whole_counts(), 0
+                for number, docs in documents:
+                    n = sum(len(d) + 2 for d in docs)
+                    yield messages([(number, 0, TIES, squeezed(ties[at : at + n]), None, None)])
+                    at += n
+                documents.clear()
             if asked:
                 yield from sent_in_parts(search(built, asked))
                 asked.clear()
 
-        def build() -> Iterator[pa.RecordBatch]:
-            nonlocal built
-            built = Shard([d for _, docs in documents for d in docs])
-            ties, at = built.whole_counts(), 0
-            for number, docs in documents:
-                n = sum(len(d) + 2 for d in docs)
-                yield messages([(number, 0, TIES, squeezed(ties[at : at + n]), None, None)])
-                at += n
-            documents.clear()
-
         for one in slices(rows, 1):
             goal, number, kind, a, b, c = (x[0].as_py() for x in one.columns)
+            if kind == STATE:
+                yield messages([(number, 0, STATE, a, b, c)])
+                continue
             if goal != shard:
-                if shard is not None:
-                    yield from (finish() if built is not None else build())
+                yield from finish()
                 shard, built = goal, None
-                documents.clear()
             if kind == TIES:
                 documents.append((number, np.split(np.frombuffer(c, "<u8")[unsqueezed(a)], np.cumsum(unsqueezed(b))[:-1])))
                 continue
-            if built is None:
-                yield from build()
-            asked.append((number, np.frombuffer(a, "<u8"), unsqueezed(b), unsqueezed(c)))
-            if sum(len(t) for _, t, _, _ in asked) >= 1 << 19:
+            asked.append((number, stretch_tokens(a), b))
+            if documents or sum(len(t) for _, t, _ in asked) >= 1 << 19:
                 yield from finish()
-        if shard is not None:
-            yield from (finish() if built is not None else build())
+        yield from finish()
 
-    dealt = with_answers(batches, told).mapInArrow(ask, _MESSAGES).repartition(shards, "goal").sortWithinPartitions("goal", "kind")
+    training = batches.where("not held").mapInArrow(send, _MESSAGES)
+    stretches = with_answers(batches.where("held"), [told.join(batches.where("held").select(F.col("batch").alias("goal")), "goal", "left_semi")]).mapInArrow(ask, _MESSAGES)
+    dealt = training.union(stretches).repartition(shards, "goal").sortWithinPartitions("goal", "kind")
     return dealt.mapInArrow(answer, _MESSAGES)
 
 
@@ -616,63 +615,71 @@ def document_scores(sizes: np.ndarray, base: np.ndarray, lengths: np.ndarray, co
 def word_totals(own: Batch, told: dict[int, list[Message]], shards: int, documents: int) -> np.ndarray:
     """The training count of each token; START and END have the number of training documents."""
     each = np.full(len(own.tokens), documents, np.int64)
-    each[own.inner] = _asked(own.words).told(shards, part_of(told[WORDS], WORDS))[own.places]
+    each[own.inner] = _asked(own.words).told(shards, {m[1]: unsqueezed(m[3]) for m in told[WORDS]})[own.places]
     return each
 
 
-def positions(own: Batch, told: dict[int, dict[int, list[Message]]], each: np.ndarray, shards: int, short: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, counts) at all positions."""
-    known = learned(own, told, shards, short)
+def held_positions(known: Known, told: dict[int, list[Message]], each: np.ndarray, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, counts) at all positions of a held-out batch."""
     lengths, counts = known.lengths, known.counts
-    one = own.held & (lengths == 1)
+    one = lengths == 1
     counts[one] = each[one]
     lengths[one & (each == 0)] = 0
-    last = len(known.rounds)
     best, sums = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for m in told[last][STRETCH]:
-        at, found, n = (unsqueezed(x) for x in m[3:])
-        longer = found > best[at]
+    for m in told[STRETCH]:
+        n, copies, first = stretch_parts(m[3])
+        n, begin = np.repeat(n, copies), np.repeat(np.cumsum(n) - n, copies)
+        at, own = ranges(first, first + n), ranges(begin, begin + n)
+        found, times = unsqueezed(m[4])[own], unsqueezed(m[5])[own]
+        sums[at] = np.where(found > best[at], times, np.where(found == best[at], sums[at] + times, sums[at]))
         best[at] = np.maximum(best[at], found)
-        sums[at] = np.where(longer, n, np.where(found == best[at], sums[at] + n, sums[at]))
     far = best >= short
     lengths[far], counts[far] = best[far], sums[far]
-    train = ~own.held
-    lengths[train] = own.room[train]
-    for m in told[last][TIES]:
-        counts[train] = unsqueezed(m[3])
-    heads, keys = own.heads()
-    counts[heads] = _asked(keys).told(shards, part_of(told[0][HEADS], HEADS))
-    starts = own.starts[~own.held_docs]
-    counts[starts] = each[starts]
     return lengths, counts
 
 
+def training_positions(own: Batch, heads: list[Message], ties: list[Message], each: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, counts) at all positions of a training batch: all that precedes, and how many training documents begin so."""
+    counts = np.concatenate([unsqueezed(m[3]) for m in ties])
+    at, keys = own.heads()
+    counts[at] = _asked(keys).told(shards, {m[1]: unsqueezed(m[3]) for m in heads})
+    counts[own.starts] = each[own.starts]
+    return own.room, counts
+
+
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: int = FOLD, shard_bytes: int = SHARD_BYTES, batch_words: int = BATCH, alike_bytes: int = ALIKE_BYTES, short: int | None = None) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. short (even, 4 at least): tokens of the longest context that rounds count; None: 4, and two more for each factor of 1,000 over two thousand million tokens."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. short (3 at least): tokens of the longest context that rounds count; None: 4, and one more for each factor of 30 over two thousand million tokens."""
     ship(docs.sparkSession)
     dealt, shards = deal(docs, id_col, text_col, shard_bytes, alike_bytes)
     batches = staged(packed(dealt, folds, fold, batch_words), "ngram-batches", max_records=32)
     told = [staged(first_round(batches, shards), "ngram-round", codec="none")]
-    documents = int(batches.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0])
+    documents = int(batches.where("not held").agg(F.coalesce(F.sum(F.size("sizes")), F.lit(0))).first()[0])
     parts = [unsqueezed(bytes(r["a"])) for r in told[0].where(F.col("kind") == TOTALS).select("a").toLocalIterator()]  # one for each shard
     total = sum(int(p[0]) << 31 | int(p[1]) for p in parts) + documents
     kinds = sum(int(p[2]) for p in parts) + int(documents > 0)
     if short is None:
-        short = 4 + 2 * max(0, math.ceil(math.log(max(total, 1) / 2e9, 1000)))
-    for _ in rounds(short)[1:]:
-        told.append(staged(later_round(batches, told, shards, short), "ngram-round", codec="none"))
-    told.append(staged(suffix_answers(batches, told, shards, short), "ngram-suffixes", codec="none"))
+        short = 4 + max(0, math.ceil(math.log(max(total, 1) / 2e9, 30)))
+    for length in range(3, short + 1):
+        told.append(staged(later_round(batches, told[-1], shards, length, length == short), "ngram-round", codec="none"))
+        if len(told) > 2:
+            drop(told.pop(1))
+    last = staged(suffix_answers(batches, told[-1], shards, short), "ngram-suffixes", codec="none")
+    drop(told[-1])
 
     def combine(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, answers in told_batches(rows):
             each = word_totals(own, answers[0], shards, documents)
-            lengths, counts = positions(own, answers, each, shards, short)
+            if own.held:
+                lengths, counts = held_positions(Known(own, shards, answers[1][STATE]), answers[1], each, short)
+            else:
+                lengths, counts = training_positions(own, answers[0][HEADS], answers[1][TIES], each, shards)
             scored = np.ones(len(own.tokens), bool)
             scored[own.starts] = False
             c = each[scored]
             sizes = own.sizes - 2
             low, high = document_scores(sizes, np.log10((c + 1) / (total + kinds + 1)), lengths, counts, total)
             n_known = np.add.reduceat((c > 0).astype(np.int64), np.cumsum(sizes + 1) - sizes - 1)
-            yield pa.RecordBatch.from_arrays([own.doc_ids.values, pa.array(own.held_docs), pa.array(sizes + 1), pa.array(n_known), pa.array(np.full(len(sizes), total)), pa.array(low), pa.array(high)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([own.doc_ids.values, pa.array(np.full(len(sizes), own.held)), pa.array(sizes + 1), pa.array(n_known), pa.array(np.full(len(sizes), total)), pa.array(low), pa.array(high)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return with_answers(batches, told).mapInArrow(combine, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    counted = told[0].where(F.col("kind").isin(WORDS, HEADS))
+    return with_answers(batches, [counted, last]).mapInArrow(combine, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
