@@ -1,7 +1,13 @@
 """The pipeline's stages, run one after the other, against what each must do to its own input."""
 
+import itertools
+import zlib
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from trawl.llm import decontam, queries
@@ -40,6 +46,46 @@ def test_no_copies_are_left(stages):
     assert {r.text for r in stages[1].collect()} >= set(texts)
 
 
+def test_near_copies_against_brute_force(stages):
+    """Of all pairs of the stage's input by five-word shingles: what stays is the least id of each group of similarity 0.8, but for one pair in ten at most."""
+    rows = [(r.doc_id, {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}) for r in stages[1].collect() for w in [lowered(r.text)]]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y)]
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    want, got = {i for i in parent if root(i) == i}, {r.doc_id for r in stages[2].collect()}
+    assert len(links) > 50 and want <= got  # nothing goes without a link
+    assert len(got - want) <= 0.1 * len(parent.keys() - want)
+
+
+def lowered(text):
+    return (text or "").encode().lower().split()
+
+
+def test_mix_takes_what_sql_takes(stages, spark):
+    con = duckdb.connect()
+    con.register("documents", stages[3].toPandas())
+    taken = con.execute(queries.ORACLE_SQL["op8_mixing"]).df()
+    want = {int(r.doc_id): int(r.taken // r.size) for r in taken.itertuples() if r.size and r.taken}
+    got = Counter(r.doc_id for r in stages[4].collect() if lowered(r.text))
+    assert got == want
+
+
+def test_ids_are_the_librarys(stages):
+    tokenizer = Tokenizer.from_file(queries.tokenizer_file())
+    want = Counter()
+    for r in stages[4].collect():
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want[r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in stages[5].collect()) == want
+
+
 def test_no_passages_are_left(stages, spark):
     bench = [decontam.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     before, after = stages[2].collect(), stages[3].collect()

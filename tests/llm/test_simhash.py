@@ -144,6 +144,29 @@ def test_representatives_are_cut_at_a_similarity(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
 
 
+def test_similar_in_block_against_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        sets = [np.unique(rng.integers(0, 14, rng.integers(0, 12), np.uint64)) for _ in range(rng.integers(0, 14))]
+        for left in {len(sets), len(sets) // 2}:
+            alike = lambda a, b: len(a) and len(b) and len(np.intersect1d(a, b)) >= 0.6 * len(np.union1d(a, b))
+            pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if (left == len(sets) or i < left <= j) and alike(sets[i], sets[j])]
+            got = simhash.similar_in_block(sets, left, 0.6)
+            assert set(got) <= set(pairs) and classes(range(len(sets)), got) == classes(range(len(sets)), pairs)
+
+
+def test_large_components_are_compared_in_blocks(spark):
+    rng = random.Random(12)
+    text = " ".join("w" + str(rng.randrange(10**5)) for _ in range(150))
+    rows = [(i, edited(rng, text, rng.sample(range(150), rng.randrange(0, 6)))) for i in range(90)]
+    links = [(a, b) for a, b in itertools.combinations(range(90), 2) if similarity(rows[a][1], rows[b][1]) >= 0.8]
+    want = [i for i, root in classes(range(90), links).items() if i == root]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id bigint, text string, _row int, _node int, _gone int, _nth int")
+    for block in (512, 10):
+        got = simhash.keep_representatives(docs, block=block)
+        assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_rows_with_equal_ids_are_separate(spark):
     rng = random.Random(4)
     one, *others = (" ".join("w" + str(rng.randrange(10**5)) for _ in range(60)) for _ in range(9))

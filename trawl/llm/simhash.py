@@ -17,6 +17,7 @@ links, at most one row for each member, so groups of any size cost rows in propo
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.cluster import ship, slices, staged
+from trawl.llm.cluster import drop, ship, slices, staged
 from trawl.llm.components import components
 
 _ONE = np.uint64(1)
@@ -244,14 +245,6 @@ def shingle_set(text: str | None, width: int, seed: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width, seed), "<u8"))
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two shingle sets have a Jaccard similarity of ``least`` or more; two empty ones have."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (len(a) + len(b) - both)
-
-
 def set_prints(rows: DataFrame, width: int, seed: int, many: int) -> DataFrame:
     """rows: (_row, _id, _text). Returns (_row, _id, _fps, _node): fingerprints of the set of shingles, and a number that texts with equal sets share."""
     ship(rows.sparkSession)
@@ -267,12 +260,10 @@ def set_prints(rows: DataFrame, width: int, seed: int, many: int) -> DataFrame:
     return rows.mapInArrow(compute, "_row bigint, _id bigint, _fps array<bigint>, _node bigint")
 
 
-def near_pairs(nodes: DataFrame, radius: int, spare: int, parts: int, forest: bool, rows_at_once: int = 1 << 17) -> DataFrame:
-    """nodes: (_node, _fps, _joined). Returns pairs (u, v), u < v, without repeats: of equal fingerprint numbers one agrees in
-    ``spare`` of ``parts`` parts and lies within the radius, and together with the next one within twice the radius.
-
-    forest: of each bucket, pairs that join what all its pairs join, else all pairs whose ``_joined`` differ.
-    """
+def near_pairs(nodes: DataFrame, radius: int, spare: int, parts: int, rows_at_once: int = 1 << 17) -> DataFrame:
+    """nodes: (_node, _fps). Returns pairs (u, v), u < v, without repeats: of equal fingerprint numbers one agrees in
+    ``spare`` of ``parts`` parts and lies within the radius, and together with the next one within twice the radius. Of each
+    bucket, pairs that join what all its pairs join."""
     ship(nodes.sparkSession)
     masks = np.array(part_masks(parts - spare, spare), np.uint64)
 
@@ -286,30 +277,27 @@ def near_pairs(nodes: DataFrame, radius: int, spare: int, parts: int, forest: bo
             t = np.tile(np.arange(each, dtype=np.int32), n)
             own = np.repeat(fps.view(np.int64).reshape(-1), len(masks))
             following = np.repeat(np.roll(fps, -1, axis=1).view(np.int64).reshape(-1), len(masks))
-            whose = [np.repeat(batch.column(k).to_numpy(), each) for k in (0, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t, keys.reshape(-1), own, following, *whose)], ["t", "key", "fp", "more", "node", "joined"])
+            node = np.repeat(batch.column(0).to_numpy(), each)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t, keys.reshape(-1), own, following, node)], ["t", "key", "fp", "more", "node"])
 
-    def pairs_of(buckets: np.ndarray, fp: np.ndarray, more: np.ndarray, joined: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        label = np.arange(len(fp)) if forest else joined
+    def pairs_of(buckets: np.ndarray, fp: np.ndarray, more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        label = np.arange(len(fp))
         for i, j in links_in_buckets(buckets, fp, radius, label):
             close = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j]) <= 2 * radius
             i, j = i[close], j[close]
-            if not len(i):
-                continue
-            if forest:
-                used = []
-                for n, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                    while label[x] != x:
-                        x = label[x]
-                    while label[y] != y:
-                        y = label[y]
-                    if x != y:
-                        label[max(x, y)] = min(x, y)
-                        used.append(n)
-                while not np.array_equal(up := label[label], label):
-                    label[:] = up
-                i, j = i[used], j[used]
-            yield i, j
+            used = []
+            for n, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                while label[x] != x:
+                    x = label[x]
+                while label[y] != y:
+                    y = label[y]
+                if x != y:
+                    label[max(x, y)] = min(x, y)
+                    used.append(n)
+            while not np.array_equal(up := label[label], label):
+                label[:] = up
+            if used:
+                yield i[used], j[used]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -331,93 +319,127 @@ def near_pairs(nodes: DataFrame, radius: int, spare: int, parts: int, forest: bo
             shared = np.bincount(numbers)[numbers] > 1
             if not shared.any():
                 return
-            fp, more, node, joined = (c[:upto][shared] for c in columns[2:])
-            for i, j in pairs_of(numbers[shared], fp.view(np.uint64), more.view(np.uint64), joined):
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["u", "v"])
+            fp, more, node = (c[:upto][shared] for c in columns[2:])
+            for i, j in pairs_of(numbers[shared], fp.view(np.uint64), more.view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["u", "v"])
 
         for batch in batches:
-            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)))
+            held.append(tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)))
             n += batch.num_rows
             if n >= max(rows_at_once, 2 * len(held[0][0])):
                 yield from flush(False)
         yield from flush(True)
 
-    dealt = nodes.select("_node", "_fps", "_joined").mapInArrow(deal, "t int, key bigint, fp bigint, more bigint, node bigint, joined bigint")
-    if forest:
-        dealt = dealt.drop("joined").repartition("t", "key").withColumn("joined", F.lit(0).cast("bigint"))
-    else:
-        dealt = dealt.repartition("t", "key")
-    met = dealt.sortWithinPartitions("t", "key", "node").mapInArrow(compare, "u bigint, v bigint")
+    dealt = nodes.select("_node", "_fps").mapInArrow(deal, "t int, key bigint, fp bigint, more bigint, node bigint")
+    met = dealt.repartition("t", "key").sortWithinPartitions("t", "key", "node").mapInArrow(compare, "u bigint, v bigint")
     return met.where("u < v").distinct()
 
 
-def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, width: int, seed: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have the similarity. rows: (_row, _id, _text); nodes: (_node, _first), a row that has the node's set."""
-    wanted = pairs.select(F.col("u").alias("_node")).union(pairs.select(F.col("v").alias("_node"))).distinct()
-    firsts = nodes.select("_node", "_first").join(wanted, "_node", "left_semi")
-    texts = rows.join(firsts, rows["_row"] == firsts["_first"]).select("_node", "_text")
+def similar_in_block(sets: list[np.ndarray], left: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places of similar sets, of the first ``left`` and the others (of all, if ``left`` is their number), that join what all
+    such pairs join. Exact: one set's members are marked, and the marks of all others' members summed."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    real = np.flatnonzero(sizes > 0)  # an empty set has nothing in common with another
+    if len(real) < 2:
+        return []
+    members = np.unique(np.concatenate([sets[k] for k in real]), return_inverse=True)[1]
+    ends = np.cumsum(sizes[real])
+    starts = ends - sizes[real]
+    mark = np.zeros(int(members.max()) + 1, np.int32)
+    label = np.arange(len(real))
+    out = []
+    for i in range(len(real)):
+        if left < len(sets) and real[i] >= left:
+            break
+        first = i + 1 if left == len(sets) else int(np.searchsorted(real, left))
+        if first >= len(real):
+            break
+        mark[members[starts[i] : ends[i]]] = 1
+        both = np.add.reduceat(mark[members[starts[first] :]], starts[first:] - starts[first])
+        mark[members[starts[i] : ends[i]]] = 0
+        for j in (first + np.flatnonzero(both >= similarity * (sizes[real[i]] + sizes[real[first:]] - both))).tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((int(real[i]), int(real[j])))
+    return out
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            packed = [shingle_set(t, width, seed).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "hashes"])
+def similar_links(rows: DataFrame, nodes: DataFrame, radius: int, width: int, seed: int, spare: int, parts: int, similarity: float, block: int = 512) -> DataFrame:
+    """Links (u, v) that join the nodes which all similar pairs within components of near pairs join. rows: (_row, _id, _text); nodes: (_node, _fps, _first), a row that has the node's set.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A component is cut by hash into blocks of about ``block`` nodes, and each two of its blocks, or one and itself, meet in a task
+    of their own, where all pairs are compared exactly. Most components are one block: each set moves once.
+    """
+    pairs = staged(near_pairs(nodes, radius, spare, parts), "pairs")
+    near = staged(components(pairs).select(F.col("node").alias("_node"), F.col("root").alias("_near")), "near")
+    sizes = near.groupBy("_near").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    placed = near.join(sizes, "_near").select("_node", "_near", "_blocks", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int").alias("_block"))
+    firsts = nodes.select("_node", "_first").join(placed, "_node")
+    texts = rows.join(firsts, rows["_row"] == firsts["_first"]).select("_node", "_near", "_blocks", "_block", "_text")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            a, b = ([np.frombuffer(x, "<u8") for x in batch.column(k).to_pylist()] for k in (2, 3))
-            good = pa.array([similar(x, y, similarity) for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["u", "v"])
+            sets = pa.array([shingle_set(t, width, seed).tobytes() for t in batch.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], ["node", "near", "blocks", "block", "hashes"])
 
-    of = staged(texts.mapInArrow(sets, "node bigint, hashes binary"), "sets")
-    left = of.select(F.col("node").alias("u"), F.col("hashes").alias("_a"))
-    right = of.select(F.col("node").alias("v"), F.col("hashes").alias("_b"))
-    both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "_a", "_b")
-    return staged(both.mapInArrow(check, "u bigint, v bigint"), "links")
+    of = staged(texts.mapInArrow(make, "node bigint, near bigint, blocks int, block int, hashes binary"), "sets", codec="none")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = of.select("*", other.alias("other")).select("near", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "hashes")
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple[int, int, int] | None = None
+        held: list[tuple[int, int, np.ndarray]] = []
 
-def similar_links(rows: DataFrame, nodes: DataFrame, radius: int, width: int, seed: int, spare: int, parts: int, similarity: float) -> DataFrame:
-    """Links (u, v) that join the nodes which all near pairs with the similarity join.
+        def links() -> Iterator[pa.RecordBatch]:
+            left = len(held) if group[1] == group[2] else sum(b == group[1] for b, _, _ in held)
+            found = similar_in_block([h for _, _, h in held], left, similarity)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([held[k][1] for k in side], pa.int64()) for side in zip(*found, strict=True)], ["u", "v"])
 
-    First a few near pairs of each node are verified, of forests of the buckets. Where what near pairs join falls into several
-    parts by verified links, all near pairs between those parts are verified too; elsewhere none could join more. So a
-    large group of copies costs verifications in proportion, and no near pair that could matter is left out.
-    """
-    pairs = staged(near_pairs(nodes.withColumn("_joined", F.lit(0).cast("bigint")), radius, spare, parts, True), "pairs")
-    few = pairs.groupBy("v").agg(F.array_distinct(F.array(F.min("u"), F.max("u"), F.min_by("u", F.xxhash64("u", "v")))).alias("us")).select(F.explode("us").alias("u"), "v")
-    tried = staged(few, "tried")
-    links = verified(tried, rows, nodes, width, seed, similarity)
-    near = components(pairs).select(F.col("node").alias("_node"), F.col("root").alias("_near"))
-    sure = components(links).select(F.col("node").alias("_node"), F.col("root").alias("_sure"))
-    placed = staged(near.join(sure, "_node", "left").select("_node", "_near", F.coalesce("_sure", "_node").alias("_joined")), "placed")
-    split = placed.groupBy("_near").agg(F.min("_joined").alias("a"), F.max("_joined").alias("b")).where("a < b").select("_near")
-    open_nodes = nodes.join(placed.join(split, "_near", "left_semi").select("_node", "_joined"), "_node")
-    rest = staged(near_pairs(open_nodes, radius, spare, parts, False).join(tried, ["u", "v"], "left_anti"), "pairs")
-    return links.union(verified(rest, rows, nodes, width, seed, similarity))
-
-
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 16, width: int = 5, seed: int = 42, many: int = 6, spare: int = 2, parts: int = 8, similarity: float = 0.8) -> DataFrame:
+        for batch in slices(batches):
+            for near, low, high, block_, node, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (near, low, high) != group:
+                    if held:
+                        yield from links()
+                    group, held = (near, low, high), []
+                held.append((block_, node, np.frombuffer(hashes, "<u8")))
+        if held:
+            yield from links()
+
+    by = ("near", "low", "high")
+    found = staged(met.repartition(*by).sortWithinPartitions(*by, "block", "node").mapInArrow(compare, "u bigint, v bigint"), "links")
+    for done in (pairs, near, of):
+        drop(done)
+    return found
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 16, width: int = 5, seed: int = 42, many: int = 6, spare: int = 2, parts: int = 8, similarity: float = 0.8, block: int = 512) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the least id.
 
-    A link needs an exact Jaccard similarity of the shingle sets (by XXH64 of the shingles). Fingerprints of the sets only find pairs
-    to verify: those that agree in ``spare`` of ``parts`` parts of one fingerprint and lie within the radius. At a similarity of
-    0.8 a bit differs with probability 0.15, so that 99.9 % of such pairs meet by the defaults, more of closer ones.
-    Rows are told apart by a number, so rows with equal ids are separate. Of rows of a component that share its least id the one
-    with the least text stays. Rows with a null id stay.
+    A link needs an exact Jaccard similarity of the shingle sets (by XXH64 of the shingles). Fingerprints of the sets only find what
+    to compare: sets that agree in ``spare`` of ``parts`` parts of one fingerprint and lie within the radius are near, and all pairs
+    within a component of near sets are compared. At a similarity of 0.8 a bit differs with probability 0.15, so that
+    99.9 % of such pairs meet by the defaults, more of closer ones. Rows are told apart by a number, so rows with equal ids are
+    separate. Of rows of a component that share its least id the one with the least text stays. Rows with a null id stay.
+    Column names may be any.
     """
-    number = "_row_number"
+    number = f"_row_{uuid.uuid4().hex}"
     numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
-    rows = numbered.select(F.col(number).alias("_row"), F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
+    rows = numbered.select(F.col(number).alias("_row"), F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     prints = staged(set_prints(rows, width, seed, many), "simhash")
     nodes = staged(prints.groupBy("_node").agg(F.min("_row").alias("_first"), F.first("_fps").alias("_fps")), "nodes")
-    roots = components(similar_links(rows, nodes, radius, width, seed, spare, parts, similarity))
-    placed = prints.where("_id is not null").select("_row", "_id", "_node").join(roots, F.col("_node") == F.col("node"), "left")
-    groups = staged(placed.select("_row", "_id", F.coalesce("root", "_node").alias("_root")), "groups")
-    least = groups.groupBy("_root").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
-    among = staged(groups.join(least, "_root").select("_row", "_root", (F.col("_id") == F.col("_least")).alias("_is_least")), "shared")
+    links = similar_links(rows, nodes, radius, width, seed, spare, parts, similarity, block)
+    roots = components(links)
+    of_node = prints.where("_id is not null").groupBy("_node").agg(F.min("_id").alias("_first_id"), F.count("*").alias("_n"))  # a row for each set: copies are counted before they meet
+    placed = staged(of_node.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "_first_id", "_n", F.coalesce("root", "_node").alias("_root")), "placed")
+    least = placed.groupBy("_root").agg(F.min("_first_id").alias("_least"), F.sum("_n").alias("_rows")).where("_rows > 1")
+    classes = placed.join(least, "_root").select("_node", "_root", "_least")
+    among = staged(prints.where("_id is not null").join(classes, "_node").select("_row", "_root", (F.col("_id") == F.col("_least")).alias("_is_least")), "shared")
     firsts = staged(among.where("_is_least").groupBy("_root").agg(F.min("_row").alias("_kept"), F.count("*").alias("_n")), "firsts")
     tied = among.where("_is_least").join(firsts.where("_n > 1"), "_root", "left_semi")
     by_text = tied.join(rows, "_row").groupBy("_root").agg(F.min(F.struct("_text", "_row")).alias("_x")).select(F.col("_x._row").alias("_kept"))
     kept = firsts.where("_n = 1").select("_kept").union(by_text)
     gone = staged(among.join(kept, among["_row"] == kept["_kept"], "left_anti").select(F.col("_row").alias("_gone")), "gone")
+    for done in (prints, nodes, links, placed, among, firsts):
+        drop(done)
     return numbered.join(gone.hint("merge"), numbered[number] == gone["_gone"], "left_anti").drop(number)  # the rows to remove grow with the documents: never broadcast
