@@ -46,6 +46,8 @@ from trawl.llm.suffixes import BASE, END, START, Shard, powers, rolled
 BATCH, FOLDS, FOLD = 1 << 21, 7, 2
 #: Bytes of text for each shard, and of texts that begin alike before more of their words tell them apart.
 SHARD_BYTES, ALIKE_BYTES = 18 << 20, 6 << 20
+#: Tokens of stretches that a shard's task holds at once.
+ASKED = 1 << 22
 #: Words by which documents are dealt.
 DEPTHS = (8, 64, 512)
 
@@ -216,7 +218,6 @@ class Batch:
         self.room = np.arange(1, n + 1) - np.repeat(self.starts, self.sizes)
         self.hashes = {1: self.tokens}
         self.rolled: np.ndarray | None = None
-        self.powers = np.zeros(0, np.uint64)
 
     def contexts(self, length: int) -> np.ndarray:
         """Hashes of the nearest ``length`` tokens; beyond START there is 0. Only of use where ``room`` is length - 1 at least."""
@@ -231,7 +232,7 @@ class Batch:
         """(positions, keys) of the training documents' beginnings that count like words."""
         depth = np.repeat(self.depths, self.sizes)
         at = np.flatnonzero((self.room > 1) & (self.room <= depth + 1))
-        sums, power, room = self.sums(), self.power(int(self.room[at].max(initial=1))), self.room[at]
+        sums, power, room = self.sums(), powers(int(self.room[at].max(initial=1)), BASE), self.room[at]
         return at, mixed(sums[at + 1] - sums[np.repeat(self.starts, self.sizes)[at]] * power[room], room.astype(np.uint64))
 
     def sums(self) -> np.ndarray:
@@ -240,10 +241,6 @@ class Batch:
             self.rolled = rolled(self.tokens)
         return self.rolled
 
-    def power(self, n: int) -> np.ndarray:
-        if len(self.powers) <= n:
-            self.powers = powers(n, BASE)
-        return self.powers
 
     def asking(self, length: int, live: np.ndarray) -> Asked:
         """The distinct contexts of that length of live positions."""
@@ -505,9 +502,7 @@ def later_round(batches: DataFrame, told: DataFrame, shards: int, length: int, l
 def stretch_message(own: Batch, shard: int, first: np.ndarray, end: np.ndarray, short: int) -> Message:
     """The tokens of the distinct stretches, each from short - 1 tokens before its first position on, and which positions have them: number, sizes, copies, first positions."""
     begin, n = first - short + 1, end - first
-    width = n + short - 1
-    power = own.power(int(width.max()))
-    _, place = grouped(mixed(own.sums()[end] - own.sums()[begin] * power[width], width.astype(np.uint64)))[:2]
+    place = grouped(stretch_keys(own.sums(), begin, end))[1]
     by = np.argsort(place, kind="stable")
     copies = np.bincount(place)
     one = by[np.cumsum(copies) - copies]
@@ -515,6 +510,20 @@ def stretch_message(own: Batch, shard: int, first: np.ndarray, end: np.ndarray,
     return shard, own.number, STRETCH, len(tokens).to_bytes(8, "little") + _CODEC.compress(tokens, asbytes=True), squeezed(np.concatenate([[len(one)], n[one], copies, first[by]])), None
 
 
+def stretch_keys(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of a text, from its rolling hashes."""
+    width = end - begin
+    return mixed(sums[end] - sums[begin] * powers(int(width.max()), BASE)[width], width.astype(np.uint64))
+
+
+def searched_parts(text: np.ndarray, begin: np.ndarray, width: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tokens, place of each in its stretch, from 1) of stretches one after another, about ``most`` tokens at a time."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(width) // most)) + 1
+    for first, size in zip(np.split(begin, cuts), np.split(width, cuts), strict=True):
+        if len(first):
+            yield text[ranges(first, first + size)], np.arange(1, int(size.sum()) + 1) - np.repeat(np.cumsum(size) - size, size)
+
+
 def stretch_tokens(packed_: bytes) -> np.ndarray:
     return np.frombuffer(_CODEC.decompress(packed_[8:], decompressed_size=int.from_bytes(packed_[:8], "little"), asbytes=True), "<u8")
 
@@ -542,24 +551,30 @@ def suffix_answers(batches: DataFrame, told: DataFrame, shards: int, short: int)
             yield from sent_in_parts(stretch_message(own, shard, first, end, short) for shard, first, end in known.stretches(asked, answers[0]))
 
     def search(built: Shard, rows: list[tuple[int, np.ndarray, bytes]]) -> Iterator[Message]:
+        """Answers for the messages' stretches; equal ones, of any batches, are searched for once."""
         sizes = [stretch_parts(p)[0] for _, _, p in rows]
-        width = np.concatenate(sizes) + short - 1
+        n = np.concatenate(sizes)
+        ends = np.cumsum(n + short - 1)
         text = np.concatenate([t for _, t, _ in rows])
-        room = np.arange(1, len(text) + 1) - np.repeat(np.cumsum(width) - width, width)
-        lengths, counts = built.longest(text, room)
-        kept = room >= short
-        cuts = np.cumsum([int(n.sum()) for n in sizes])[:-1]
-        for (number, _, parts), a, b in zip(rows, np.split(lengths[kept], cuts), np.split(counts[kept], cuts), strict=True):
+        _, place, some = grouped(stretch_keys(rolled(text), ends - n - short + 1, ends))
+        width = n[some] + short - 1
+        found = [built.longest(*part) for part in searched_parts(text, ends[some] - width, width)]
+        lengths, counts = (np.concatenate([np.zeros(0, np.int64), *[f[k] for f in found]]) for k in range(2))
+        begin = np.cumsum(width) - width + short - 1
+        at = ranges(begin[place], begin[place] + n)
+        cuts = np.cumsum([int(x.sum()) for x in sizes])[:-1]
+        for (number, _, parts), a, b in zip(rows, np.split(lengths[at], cuts), np.split(counts[at], cuts), strict=True):
             yield number, 0, STRETCH, parts, squeezed(a), squeezed(b)
 
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, built = None, None
         documents: list[tuple[int, list[np.ndarray]]] = []
         asked: list[tuple[int, np.ndarray, bytes]] = []
+        size = 0
 
         def finish() -> Iterator[pa.RecordBatch]:
             """Searches for what is asked; builds the shard before, once its documents are all there."""
-            nonlocal built
+            nonlocal built, size
             if documents:
                 built = Shard([d for _, docs in documents for d in docs])
                 ties, at = built.whole_counts(), 0
@@ -571,6 +586,7 @@ def suffix_answers(batches: DataFrame, told: DataFrame, shards: int, short: int)
             if asked:
                 yield from sent_in_parts(search(built, asked))
                 asked.clear()
+                size = 0
 
         for one in slices(rows, 1):
             goal, number, kind, a, b, c = (x[0].as_py() for x in one.columns)
@@ -584,7 +600,8 @@ def suffix_answers(batches: DataFrame, told: DataFrame, shards: int, short: int)
                 documents.append((number, np.split(np.frombuffer(c, "<u8")[unsqueezed(a)], np.cumsum(unsqueezed(b))[:-1])))
                 continue
             asked.append((number, stretch_tokens(a), b))
-            if documents or sum(len(t) for _, t, _ in asked) >= 1 << 19:
+            size += len(asked[-1][1])
+            if size >= ASKED:
                 yield from finish()
         yield from finish()
 
