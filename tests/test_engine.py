@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from trawl.functions.context import extract_context
 from trawl.functions.trigram import code_of
 from trawl.operators.predicates import predicate
-from trawl.operators.search import ALWAYS, Gate, phrase_positions, search
-from trawl.sources.index import Conflict, TextIndex, builds
+from trawl.operators.search import ALWAYS, Gate, key_ranges, matches, phrase_positions, search
+from trawl.sources.index import FORMAT, STALE_SECONDS, Conflict, TextIndex, builds
 from trawl.sources.workspace import workspace
 from trawl.streaming.ingest import ingest
 
@@ -139,14 +139,150 @@ def test_introspection(spark):
         with pytest.raises(IndexError):
             index.segment_entries(wrong)
     stats, overhead = index.storage_stats().first(), index.overhead().collect()
+    assert index.overhead().where("component = 'rows' and rows = 4").count() == 1
     assert stats.bytes == sum(r.bytes for r in overhead) and stats.files == sum(r.files for r in overhead) and stats.docs == 4
     assert index.segment_files(1).agg(F.sum("bytes")).first()[0] == index.segments().first()["size"]
 
 
-def test_lookups_are_pushed_to_the_scan(spark):
+def test_like_chains_against_spark(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abé") for _ in range(rng.randrange(0, 14))) for _ in range(300)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), TEXT).cache()
+    for _ in range(25):
+        p = "%".join("".join(rng.choice("abé") for _ in range(rng.randrange(0, 3))) for _ in range(rng.randrange(2, 6)))
+        for negated in (False, True):
+            own, plain = predicate(F.col("text"), p, "like"), F.col("text").like(p)
+            assert ids(df.where(~own if negated else own)) == ids(df.where(~plain if negated else plain)), p
+    df.unpersist()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_candidates_are_read_by_key_and_the_predicate_stays_above(spark):
     index = build(spark, ["abcdef", "xyz"])
-    plan = search(index, "%abcd%", "like", ALWAYS)._jdf.queryExecution().executedPlan().toString()
-    assert "In(trigram" in plan and "Contains(text" in plan
+    assert "In(trigram" in plan_of(search(index, "%abcd%", "like", Gate(1.0, 0, fetch=0)))
+    few = plan_of(search(index, "%abcd%", "like", ALWAYS).select("id"))
+    assert "EqualTo(doc_key,1)" in few
+    many = plan_of(search(index, "%abcd%", "like", Gate(1.0, 0, fetch=0)).select("id"))
+    assert "StringContains(text" not in many and "Contains(text" in many.split("FileScan")[0]
+    for gate in (ALWAYS, Gate(1.0, 0, fetch=0), Gate()):
+        assert ids(search(index, "%abcd%", "like", gate)) == [1]
+
+
+def test_a_probe_reads_fewer_bytes(spark):
+    index = build(spark, [f"{i * 7919:0400x} {'needle' if i % 5000 == 7 else ''}" for i in range(20000)])
+    folder = index.files.path("segments", index.manifest()["segments"][0]["id"], "rows")
+    keys = ids(search(index, "%needle%", "like", ALWAYS))
+    assert len(keys) == 4
+    rows = spark.read.parquet(folder)
+    from trawl.operators.search import among
+
+    part = rows.where(among(F.col("doc_key"), keys)).select("text")
+    part.collect()
+    read = part._jdf.queryExecution().executedPlan()
+    while not read.children().isEmpty():
+        read = read.children().head()
+    assert read.metrics().get("numOutputRows").get().value() < 20000 / 4
+
+
+def test_ranges_of_keys():
+    assert key_ranges([1, 2, 3, 50, 51, 900], 3) == [(1, 3), (50, 51), (900, 900)]
+    assert key_ranges([5], 64) == [(5, 5)] and key_ranges([1, 9], 1) == [(1, 9)]
+
+
+def test_conditions(spark):
+    index = build(spark, ["abc xyz", "abc", "xyz", None, "ABC", "xyz qrs"])
+    asked = {"and": matches("%abc%") & matches("%XYZ%", "ilike"), "or": matches("%abc%") | matches("qrs", "regex"), "not": matches("%xyz%") & ~matches("%abc%"), "deep": (matches("%abc%") | matches("%qrs%")) & ~(matches("%xyz%") & matches("%abc%")), "scan": ~matches("%abc%")}
+    want = {"and": [1], "or": [1, 2, 6], "not": [3, 6], "deep": [2, 6], "scan": [3, 5, 6]}
+    for name, what in asked.items():
+        for gate in (ALWAYS, Gate(1.0, 0, fetch=0), Gate()):
+            assert ids(search(index, what, gate=gate)) == want[name], name
+
+
+def test_rows_that_arrive_after_the_build(spark, tmp_path):
+    at = str(tmp_path / "base")
+    spark.createDataFrame([(1, "thimble one")], TEXT).write.parquet(at)
+    index = TextIndex.build(at, "id", "text", workspace(spark, "t"))
+    index.append(spark.createDataFrame([(2,), (3,)], "k bigint"))
+    assert index.seal() == 0 and sorted(r[0] for r in index.pending().collect()) == [2, 3]
+    spark.createDataFrame([(2, "thimble two")], TEXT).write.mode("append").parquet(at)
+    assert index.seal() == 1 and [r[0] for r in index.pending().collect()] == [3]
+    for gate in (ALWAYS, Gate()):
+        assert ids(search(TextIndex.open(at, "id", "text", index.files.root), "%thimble%", "like", gate)) == [1, 2]
+    assert index.seal(keep_missing=False) == 0 and index.pending().count() == 0
+
+
+def test_changed_texts(spark, tmp_path):
+    texts = {1: "old thimble", 2: "old other"}
+    index = TextIndex.build(lambda: spark.createDataFrame(list(texts.items()), TEXT), "id", "text", workspace(spark, "t"))
+    texts.update({1: "new button", 2: "new thimble"})
+    for gate in (ALWAYS, Gate(1.0, 0, fetch=0), Gate()):  # as they were sealed, by probe and by scan
+        assert [tuple(r) for r in search(index, "%thimble%", "like", gate).collect()] == [(1, "old thimble")]
+    index.append(spark.createDataFrame([(1,), (2,)], "k bigint"))
+    assert index.seal() == 2 and index.seal() == 0
+    for merged in (False, True):
+        if merged:
+            assert index.merge(1) == 1 and index.manifest()["replaced"] == []
+        for gate in (ALWAYS, Gate(1.0, 0, fetch=0), Gate()):
+            assert [tuple(r) for r in search(index, "%thimble%", "like", gate).collect()] == [(2, "new thimble")]
+            assert ids(search(index, "old%", "like", gate)) == []
+        assert index.postings().groupBy("trigram", "doc_key").count().where("count > 1").count() == 0
+        assert index.sealed_keys().count() == 2
+    index.append(spark.createDataFrame([(1,), (2,)], "k bigint"))
+    assert index.seal() == 0
+    texts[1] = None
+    index.append(spark.createDataFrame([(1,)], "k bigint"))
+    assert index.seal() == 1 and ids(search(index, "%button%", "like", ALWAYS)) == []
+
+
+def test_locks_wait_and_are_taken_over(spark):
+    index = build(spark, ["abc"])
+    with index.lock(), pytest.raises(Conflict):
+        index.seal(wait=0.5)
+    assert index.files.create('{"owner": "dead", "at": 0}', "writer.lock") and STALE_SECONDS > 0
+    assert index.seal() == 0 and not index.files.fs.exists(index.files._at("writer.lock"))
+
+
+def test_vacuum_seals_and_tries(spark):
+    index = build(spark, ["abc thimble", "thimble"], lambda df: df.where("id = 1"))
+    index.append(index.docs.select("id"))
+    with index.lock():
+        assert index.vacuum() is False
+    assert index.vacuum() is True and ids(search(index, "%thimble%", "like", ALWAYS)) == [1, 2]
+    assert index.manifest()["consumed"] == [] and index.files.names("pending") == []
+
+
+def test_options_and_format(spark):
+    df = spark.createDataFrame([(i, f"thimble {i}") for i in range(50)], TEXT)
+    index = TextIndex.build(df, "id", "text", workspace(spark, "t"), df.where("id < 10"), {"partitions": 3, "target_segments": 1, "autovacuum_enabled": False})
+    assert index.segment_files(1).count() == 3
+    index.append(df.select("id"))
+    assert index.vacuum() and index.pending().count() == 50
+    assert index.seal() == 40 and len(index.manifest()["segments"]) == 1
+    for wrong in ({"fillfactor": 70}, {"partitions": 0}, {"partitions": "3"}):
+        with pytest.raises(ValueError):
+            TextIndex.build(df, "id", "text", workspace(spark, "t"), options=wrong)
+    index._publish({**index.manifest(), "version": 99, "format": FORMAT - 1})
+    with pytest.raises(ValueError):
+        index.manifest()
+
+
+def test_index_size(spark):
+    """The postings of texts like the size bound's take no more than twice the texts' bytes."""
+    texts = [__import__("hashlib").md5(str(i).encode()).hexdigest() * 50 for i in range(2048)]
+    index = build(spark, texts)
+    assert index.segments().first()["size"] <= 2 * sum(map(len, texts))
+
+
+def test_columns_may_have_any_names(spark):
+    df = spark.createDataFrame([(1, "abc thimble", 1, 2, 3, 4)], "id bigint, text string, _key int, doc_key int, _pending_key int, `a.b` int")
+    index = TextIndex.build(df, "id", "text", workspace(spark, "t"), df.limit(0))
+    index.append(df.select("id"))
+    assert index.seal() == 1
+    for gate in (ALWAYS, Gate(1.0, 0, fetch=0), Gate()):
+        assert [tuple(r) for r in search(index, "%thimble%", "like", gate).collect()] == [(1, "abc thimble", 1, 2, 3, 4)]
 
 
 def test_phrases(spark):
@@ -215,7 +351,8 @@ def test_context(spark, text, pattern, lines, sensitive, want):
 
 def test_context_rejects(spark):
     df = spark.createDataFrame([(1, "a")], TEXT)
-    for bad in ("(?=a)", r"(a)\1"):
+    assert extract_context(df, "text", r"\(?=x|[(?=]|\\1", 1, True).count() == 0
+    for bad in ("(?=a)", r"(a)\1", r"\\(?<!a)"):
         with pytest.raises(ValueError):
             extract_context(df, "text", bad, 1, True)
     with pytest.raises(Exception):  # noqa: B017

@@ -13,13 +13,17 @@ def test_like_segments(pattern, segments):
     assert P.like_segments(pattern) == segments
 
 
-@pytest.mark.parametrize(("pattern", "short"), [("a%shadow", True), ("ab%cd", True), ("abc%def", False)])
-def test_short_segments(pattern, short):
-    assert P.has_short_segment(pattern) is short
+@pytest.mark.parametrize(("pattern", "pieces"), [("a%shadow", ["a", "shadow"]), ("%ab%%cd%", ["", "ab", "cd", ""]), (r"a\%b", ["a%b"]), ("a_%b", None), ("", [""]), ("%", ["", ""])])
+def test_pieces(pattern, pieces):
+    assert P.like_pieces(pattern) == pieces
+
+
+def test_linear_patterns():
+    assert all(map(P.is_linear, [r"\(?=x", "[(?=]", r"\\1", "(?:a)", r"[\1]"]))
+    assert not any(map(P.is_linear, ["(?=a)", "(?<!a)", "(?>a)", r"(a)\1", r"\\(?!a)"]))
 
 
 def test_wildcards_and_escapes():
-    assert P.wildcard_info("%a") == (True, False) and P.wildcard_info(r"\%_") == (False, True)
     assert P.spark_like(r"\a\%b\\") == r"a\%b\\"
     with pytest.raises(P.PatternError):
         P.like_tokens("abc\\")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawl.plans.pattern import is_linear
+
 
 def line_pattern(pattern: str, case_sensitive: bool) -> str:
     """Java's form of a linear-time regular expression: lines end at line feeds only, classes are Unicode's; no look-around, no back-references."""
-    bare = re.sub(r"\\\\", "", pattern)
-    if re.search(r"\(\?(=|!|<=|<!|>)", bare) or re.search(r"\\[1-9]", bare):
+    if not is_linear(pattern):
         raise ValueError("look-around and back-references aren't supported")
     return ("(?dU)" if case_sensitive else "(?idU)") + f"({pattern})"
 

@@ -103,6 +103,37 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))."), F.lit(1))
 
 
+_BITS = 21  # of a character
+
+
+def trigram_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(trigram, df, n_occ) of the lower-cased windows of three characters, over all rows. Rows are counted where they lie; only
+    sums over slices of rows, a row for each of their distinct trigrams, are shuffled."""
+    ship(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                distinct, often = [], []
+                for text in batch.column(0).slice(start, 256).to_pylist():
+                    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+                    own, n = np.unique(c[:-2] << 2 * _BITS | c[1:-1] << _BITS | c[2:], return_counts=True)
+                    distinct.append(own)
+                    often.append(n)
+                codes, place = np.unique(np.concatenate([*distinct, np.zeros(0, np.int64)]), return_inverse=True)
+                if not len(codes):
+                    continue
+                df = np.bincount(place)
+                n_occ = np.bincount(place, np.concatenate(often)).astype(np.int64)
+                chars = np.stack([codes >> 2 * _BITS, codes >> _BITS & (1 << _BITS) - 1, codes & (1 << _BITS) - 1], axis=1)
+                whole = np.ascontiguousarray(chars.astype("<u4")).tobytes().decode("utf-32-le", "surrogatepass")
+                yield pa.RecordBatch.from_arrays([pa.array([whole[k : k + 3] for k in range(0, len(whole), 3)]), pa.array(df), pa.array(n_occ)], ["trigram", "df", "n_occ"])
+
+    lowered = docs.where(F.col(text_col).isNotNull()).select(F.lower(F.col(text_col)).alias("text"))
+    each = lowered.mapInArrow(count, "trigram string, df bigint, n_occ bigint")
+    return each.groupBy("trigram").agg(F.sum("df").alias("df"), F.sum("n_occ").alias("n_occ"))
+
+
 def _char_code(c: Column) -> Column:
     return F.when(F.octet_length(c) == 1, F.ascii(F.lower(c))).otherwise(F.greatest(F.crc32(F.encode(F.lower(c), "UTF-8")).bitwiseAND(F.lit(255)), F.lit(1)).cast("int"))
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.context import extract_context
-from trawl.functions.trigram import code_of, text_to_trigram, trigram_to_text, trigrams
+from trawl.functions.trigram import code_of, text_to_trigram, trigram_counts, trigram_to_text, trigrams
 from trawl.operators.predicates import ilike, iregex, like, regex
-from trawl.operators.search import ALWAYS, Gate, phrase_positions, search
+from trawl.operators.search import ALWAYS, Gate, matches, phrase_positions, search
 from trawl.sources.index import TextIndex
 from trawl.sources.workspace import workspace
 from trawl.streaming.ingest import ingest
@@ -40,16 +40,18 @@ _SCANS: dict[str, tuple[Callable, str, str]] = {
     "like_contains": (like, "%tion%", "text LIKE '%tion%'"),
     "like_prefix": (like, "The %", "text LIKE 'The %'"),
     "like_suffix": (like, "%the.", "text LIKE '%the.'"),
-    "like_exact": (like, "The and attion to thanedble the, anea. Eriner thanea.", "text LIKE 'The and attion to thanedble the, anea. Eriner thanea.'"),
+    "like_exact": (like, "That it.", "text LIKE 'That it.'"),
     "like_ordered_segments": (like, "%tion%ment%", "text LIKE '%tion%ment%'"),
     "like_overlap_guard": (like, "%ation%tion%", "text LIKE '%ation%tion%'"),
     "like_underscore": (like, "%th_t the%", "text LIKE '%th_t the%'"),
     "like_escape": (like, r"%\%\%\%%", r"text LIKE '%\%\%\%%' ESCAPE '\'"),
-    "like_short_anchor": (like, "A%the", "text LIKE 'A%the'"),
+    "like_short_anchor": (like, "T%e.", "text LIKE 'T%e.'"),
     "like_short_fallback": (like, "%|%", "text LIKE '%|%'"),
     "ilike_ascii": (ilike, "%OF THE%", "text ILIKE '%OF THE%'"),
     "ilike_non_ascii": (ilike, "%ÉAU%", "text ILIKE '%ÉAU%'"),
-    "unicode_like": (like, "%ção%", "text LIKE '%ção%'"),
+    "unicode_like": (like, "%ción%", "text LIKE '%ción%'"),
+    "like_anchored_segments": (like, "T%the%tion%.", "text LIKE 'T%the%tion%.'"),
+    "like_three_segments": (like, "%the%tion%ment%", "text LIKE '%the%tion%ment%'"),
     "unicode_like_umlaut": (like, "%über%", "text LIKE '%über%'"),
     "regex": (regex, "the [a-z]+tion ", "regexp_matches(text, 'the [a-z]+tion ', 's')"),
     "regex_dot_newline": (regex, "the.*with", "regexp_matches(text, 'the.*with', 's')"),
@@ -58,6 +60,7 @@ _SCANS: dict[str, tuple[Callable, str, str]] = {
     "regex_optional_group": (regex, "(foobar)?worthless", "regexp_matches(text, '(foobar)?worthless', 's')"),
     "regex_class": (regex, "[[:digit:]]{3}-[[:digit:]]+", "regexp_matches(text, '[[:digit:]]{3}-[[:digit:]]+', 's')"),
     "regex_word_edge": (regex, r"\mloser\M", r"regexp_matches(text, '\bloser\b', 's')"),
+    "regex_unicode_word": (regex, r"\mé\w+\M", r"regexp_matches(text, '(^|[^\pL\pN_])é[\pL\pN_]+([^\pL\pN_]|$)', 's')"),
     "iregex": (iregex, "EAU.*LA", "regexp_matches(text, 'EAU.*LA', 'is')"),
 }
 for _name, (_op, _pattern, _sql) in _SCANS.items():
@@ -111,6 +114,9 @@ _PROBES = {
 for _name, (_pattern, _mode, _sql) in _PROBES.items():
     add(_name, lambda s, d, p=_pattern, m=_mode: search(index(s, d), p, m, ALWAYS).select("doc_id", "source"), f"SELECT doc_id, source FROM documents WHERE {_sql}")
 
+add("probe_conjunction", lambda s, d: search(index(s, d), matches("%loser%") & matches("%THE%", "ilike"), gate=ALWAYS).select("doc_id"), "SELECT doc_id FROM documents WHERE text LIKE '%loser%' AND text ILIKE '%THE%'")
+add("probe_disjunction", lambda s, d: search(index(s, d), matches("%loser%") | matches("disgusting.*idiot", "regex") | matches("%über%"), gate=ALWAYS).select("doc_id"), "SELECT doc_id FROM documents WHERE text LIKE '%loser%' OR regexp_matches(text, 'disgusting.*idiot', 's') OR text LIKE '%über%'")
+add("probe_exclusion", lambda s, d: search(index(s, d), matches("%tion%") & ~matches("%loser%"), gate=ALWAYS).select("doc_id"), "SELECT doc_id FROM documents WHERE text LIKE '%tion%' AND text NOT LIKE '%loser%'")
 add("search_gated", lambda s, d: search(index(s, d), "%worthless%", "like", Gate(0.05, 500)).select("doc_id"), "SELECT doc_id FROM documents WHERE text LIKE '%worthless%'")
 add("tombstone_search", lambda s, d: search(index(s, d, "hidden"), "%tion%", "like", ALWAYS).select("doc_id"), "SELECT doc_id FROM documents WHERE text LIKE '%tion%' AND doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3')")
 add("tombstone_scan", lambda s, d: search(index(s, d, "hidden"), "%|%", "like").select("doc_id"), "SELECT doc_id FROM documents WHERE text LIKE '%|%' AND source IS DISTINCT FROM 'src3'")
@@ -134,18 +140,77 @@ def stream_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("stream_sealed", stream_sealed, "SELECT doc_id FROM documents WHERE text LIKE '%loser%'")
 
 
+def growing(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, DataFrame, TextIndex]:
+    """A table that begins with the English documents, and its index; (the table's path, the other documents, the index)."""
+    base, path = docs(spark, sf_dir), workspace(spark, f"table-{name}")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    base.where(english).write.parquet(path)
+    return path, base.where(~english), TextIndex.build(path, "doc_id", "text", workspace(spark, f"index-{name}"))
+
+
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys are pending before their rows arrive: a seal finds none and keeps them, the next one finds all."""
+    path, others, made = growing(spark, sf_dir, "late")
+    made.append(others.select("doc_id"))
+    made.seal()
+    others.write.mode("append").parquet(path)
+    made.seal()
+    return search(made, "%tion%", "like", ALWAYS).select("doc_id", "source")
+
+
+def late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows arrive after the build in a table that grows, and as a stream that seals each batch."""
+    path, others, made = growing(spark, sf_dir, "late-stream")
+    others.write.mode("append").parquet(path)
+    ingest(made, spark.readStream.schema(others.schema).parquet(path), workspace(spark, "offsets"), seal=True).awaitTermination()
+    return search(made, "%tion%", "like", ALWAYS).select("doc_id", "source")
+
+
+def changed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts change after the build; those of one source are appended and sealed again, the others count as they were sealed."""
+    base, at = docs(spark, sf_dir), workspace(spark, "table-changed")
+    base.write.parquet(f"{at}/0")
+    now = ["0"]
+    made = TextIndex.build(lambda: spark.read.parquet(f"{at}/{now[0]}"), "doc_id", "text", f"{at}-index")
+    base.withColumn("text", F.concat(F.lit("renewed "), "text")).write.parquet(f"{at}/1")
+    now[0] = "1"
+    made.append(base.where("source = 'src3'").select("doc_id"))
+    made.seal()
+    return search(made, "renewed %tion%", "like", ALWAYS).select("doc_id", F.lit("new").alias("state")).union(search(made, "%loser%", "like", ALWAYS).select("doc_id", F.lit("any").alias("state")))
+
+
+def many_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve batches sealed one by one, which merges them."""
+    base = docs(spark, sf_dir)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(12))
+    made = TextIndex.build(base, "doc_id", "text", workspace(spark, "index-many"), base.where(part == 0), {"target_segments": 10})
+    for k in range(1, 12):
+        made.append(base.where(part == k).select("doc_id"))
+        made.seal()
+    if len(made.manifest()["segments"]) > 10:
+        raise RuntimeError("seals didn't merge")
+    return search(made, "%tion%", "like", ALWAYS).select("doc_id")
+
+
+add("late_rows", late_rows, "SELECT doc_id, source FROM documents WHERE text LIKE '%tion%'")
+add("late_stream", late_stream, "SELECT doc_id, source FROM documents WHERE text LIKE '%tion%'")
+add("changed_text", changed_text, "SELECT doc_id, 'new' AS state FROM documents WHERE source = 'src3' AND text LIKE '%tion%' UNION ALL SELECT doc_id, 'any' FROM documents WHERE text LIKE '%loser%'")
+add("many_segments", many_segments, "SELECT doc_id FROM documents WHERE text LIKE '%tion%'")
+
+
 # trigrams
 
 _WINDOWS = "unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), CAST(i AS INTEGER), 3)))"
 
 
-def each_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).where("text is not null").select("doc_id", F.explode(trigrams(F.col("text"))).alias("trigram"))
+def trigram_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = docs(spark, sf_dir).where("length(text) >= 3").select("doc_id", F.transform(F.array(trigrams(F.col("text"))), lambda w: F.struct(F.size(w).cast("bigint").alias("n_trigrams"), F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct")))[0].alias("n"))
+    return windows.select("doc_id", "n.n_trigrams", "n.n_distinct")
 
 
-add("trigram_extract", lambda s, d: each_trigram(s, d).groupBy("doc_id").agg(F.count("*").alias("n_trigrams"), F.countDistinct("trigram").alias("n_distinct")), f"SELECT doc_id, count(*) AS n_trigrams, count(DISTINCT trigram) AS n_distinct FROM (SELECT doc_id, {_WINDOWS} AS trigram FROM documents) GROUP BY doc_id")
-add("trigram_df", lambda s, d: each_trigram(s, d).groupBy("trigram", "doc_id").agg(F.count("*").alias("tf")).groupBy("trigram").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("n_occ")), f"SELECT trigram, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n_occ FROM (SELECT trigram, doc_id, count(*) AS tf FROM (SELECT doc_id, {_WINDOWS} AS trigram FROM documents) GROUP BY ALL) GROUP BY trigram")
-add("trigram_topk", lambda s, d: each_trigram(s, d).groupBy("trigram").agg(F.countDistinct("doc_id").alias("df")).orderBy(F.col("df").desc(), "trigram").limit(20), f"SELECT trigram, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, {_WINDOWS} AS trigram FROM documents) GROUP BY trigram ORDER BY df DESC, trigram LIMIT 20")
+add("trigram_extract", trigram_extract, f"SELECT doc_id, count(*) AS n_trigrams, count(DISTINCT trigram) AS n_distinct FROM (SELECT doc_id, {_WINDOWS} AS trigram FROM documents) GROUP BY doc_id")
+add("trigram_df", lambda s, d: trigram_counts(docs(s, d), "text"), f"SELECT trigram, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n_occ FROM (SELECT trigram, doc_id, count(*) AS tf FROM (SELECT doc_id, {_WINDOWS} AS trigram FROM documents) GROUP BY ALL) GROUP BY trigram")
+add("trigram_topk", lambda s, d: trigram_counts(docs(s, d), "text").select("trigram", "df").orderBy(F.col("df").desc(), "trigram").limit(20), f"SELECT trigram, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, {_WINDOWS} AS trigram FROM documents) GROUP BY trigram ORDER BY df DESC, trigram LIMIT 20")
 
 _ASCII_WORDS = "SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) WHERE length(w) = 3"
 
@@ -160,14 +225,8 @@ add("trigram_to_text", lambda s, d: words_of_three(s, d).select("w", trigram_to_
 
 # positions and introspection
 
-_STARTS = "SELECT doc_id AS doc_key, CAST(i - 1 AS BIGINT) AS start FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE text LIKE '%loser%' AND strlen(text) = length(text)) WHERE substr(text, CAST(i AS INTEGER), 5) = 'loser'"
-
-
-def ascii_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).where(F.octet_length("text") == F.char_length("text")).select(F.col("doc_id").alias("doc_key"))
-
-
-add("phrase_positions", lambda s, d: phrase_positions(index(s, d), "loser").join(ascii_only(s, d), "doc_key", "left_semi").select("doc_key", F.col("start").cast("bigint").alias("start")), _STARTS)
+_STARTS = "SELECT doc_id AS doc_key, CAST(strlen(substr(text, 1, CAST(i - 1 AS INTEGER))) AS BIGINT) AS start FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE text LIKE '%loser%') WHERE substr(text, CAST(i AS INTEGER), 5) = 'loser'"
+add("phrase_positions", lambda s, d: phrase_positions(index(s, d), "loser").select("doc_key", F.col("start").cast("bigint").alias("start")), _STARTS)
 _NEEDLE = code_of("sta")
 _PREVIEW = """SELECT doc_id AS doc_key, CAST(len(p) AS INTEGER) AS positions_count, CAST(p[1] AS INTEGER) AS first_position, CAST(p[-1] AS INTEGER) AS last_position FROM (
 SELECT doc_id, list_transform(list_filter(range(1, length(text) - 1), lambda i: substr(lower(text), CAST(i AS INTEGER), 3) = 'sta'), lambda i: strlen(substr(text, 1, CAST(i - 1 AS INTEGER)))) AS p
@@ -185,9 +244,41 @@ add("posting_positions", first_positions, """SELECT CAST(strlen(substr(text, 1,
 CAST((CASE WHEN t[1] <> lower(t[1]) THEN 1 ELSE 0 END) + (CASE WHEN t[2] <> lower(t[2]) THEN 2 ELSE 0 END) + (CASE WHEN t[3] <> lower(t[3]) THEN 4 ELSE 0 END) AS INTEGER) AS flags
 FROM (SELECT text, i, substr(text, CAST(i AS INTEGER), 3) AS t FROM (SELECT text, unnest(range(1, length(text) - 1)) AS i FROM documents
 WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE contains(lower(text), 'sta')))) WHERE lower(t) = 'sta'""")
-add("segment_entries", lambda s, d: index(s, d, "sealed").segment_entries(1).select(trigram_to_text(F.col("trigram").cast("bigint")).alias("trigram"), "df", "n_occ").where(F.octet_length("trigram") == F.char_length("trigram")).where(~F.contains(F.col("trigram"), F.lit("�"))).groupBy().agg(F.count("*").alias("entries"), F.max("df").alias("top_df")))
+#: Codes of all characters as the index has them: non-ASCII ones by CRC-32, which DuckDB lacks, so SQL has the ASCII trigrams.
+_ENTRIES = """WITH w AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, CAST(i AS INTEGER), 3))) AS t FROM documents WHERE lang = 'en'),
+c AS (SELECT doc_id, ascii(lower(t[1])) + 256 * ascii(lower(t[2])) + 65536 * ascii(lower(t[3])) AS trigram FROM w WHERE strlen(t) = 3)
+SELECT CAST(trigram AS INTEGER) AS trigram, count(DISTINCT doc_id) AS df, count(*) AS n_occ FROM c GROUP BY trigram"""
+
+
+def segment_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries of a segment, as they are."""
+    return index(spark, sf_dir, "sealed").segment_entries(1)
+
+
+def ascii_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigrams of ASCII characters alone, by their flags, with their frequencies, from a segment's postings."""
+    made = index(spark, sf_dir, "sealed")
+    each = made._segment_postings(1).select("trigram", F.filter("occ", lambda o: o["flags"].bitwiseAND(F.lit(0x80)) == 0).alias("occ")).where(F.size("occ") > 0)
+    return each.groupBy("trigram").agg(F.count("*").alias("df"), F.sum(F.size("occ")).cast("bigint").alias("n_occ"))
+
+
+add("segment_entries", segment_entries)
+add("ascii_entries", ascii_entries, _ENTRIES)
 add("segments", lambda s, d: index(s, d, "sealed").segments().select("segment_idx", "docs"), "SELECT 1 AS segment_idx, count(*) FILTER (lang = 'en') AS docs FROM documents UNION ALL SELECT 2, count(*) FILTER (lang IS DISTINCT FROM 'en') FROM documents")
 add("segment_files", lambda s, d: index(s, d, "sealed").segment_files(1))
+
+
+def index_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether files and bytes of all parts sum to what the index says that it takes, the postings' to their segments', and rows to the documents."""
+    made = index(spark, sf_dir, "hidden")
+    parts, stats = made.overhead(), made.storage_stats()
+    sums = parts.agg(F.sum("files").alias("f"), F.sum("bytes").alias("b"), F.max(F.when(F.col("component") == "rows", F.col("rows"))).alias("docs"), F.max(F.when(F.col("component") == "postings", F.col("bytes"))).alias("p"))
+    files = made.segment_files(1).agg(F.sum("bytes").alias("one"))
+    own = made.segments().agg(F.sum("size").alias("size"))
+    return sums.crossJoin(stats.select("files", "bytes")).crossJoin(files).crossJoin(own).select((F.col("f") == F.col("files")).alias("files_add_up"), (F.col("b") == F.col("bytes")).alias("bytes_add_up"), ((F.col("p") == F.col("size")) & (F.col("one") == F.col("size"))).alias("postings_add_up"), "docs")  # single rows
+
+
+add("index_sizes", index_sizes, "SELECT true AS files_add_up, true AS bytes_add_up, true AS postings_add_up, count(*) AS docs FROM documents")
 add("storage_stats", lambda s, d: index(s, d, "half").storage_stats().select("segments", "docs", "pending_rows", "tombstones"), "SELECT 1 AS segments, count(*) FILTER (lang = 'en') AS docs, count(*) FILTER (lang IS DISTINCT FROM 'en') AS pending_rows, CAST(0 AS BIGINT) AS tombstones FROM documents")
 add("overhead", lambda s, d: index(s, d, "hidden").overhead())
 

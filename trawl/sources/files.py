@@ -59,3 +59,9 @@ class Files:
 
     def delete(self, *parts: str) -> None:
         self.fs.delete(self._at(*parts), True)
+
+    def move_away(self, *parts: str) -> None:
+        """Removes a small file that others may be removing too: only one of them renames it."""
+        gone = self._at(*parts[:-1], f".{parts[-1]}.{uuid.uuid4().hex}")
+        if self.fs.rename(self._at(*parts), gone):
+            self.fs.delete(gone, False)

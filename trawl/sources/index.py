@@ -1,19 +1,23 @@
 """A positional trigram index over a text column, kept as Parquet, with an append, seal, tombstone and merge life cycle.
 
 Layout under the index's path: ``segments/<id>/postings`` (trigram, doc_key, occ), range-partitioned and sorted by trigram and
-key so that row-group statistics prune a trigram lookup; ``segments/<id>/dictionary`` (trigram, df, n_occ);
-``segments/<id>/keys``; ``pending/<batch>``; ``tombstones/<batch>``; ``manifest/<version>.json``. Everything but the manifest's
-newest version is immutable. A version is written last, under a name that only one writer can take, so readers
+key so that statistics of row groups and pages prune a trigram lookup; ``segments/<id>/dictionary`` (trigram, df, n_occ);
+``segments/<id>/rows`` (doc_key, text), the texts as they were sealed, sorted by key in small pages so that a search reads those of
+its candidates; ``pending/<batch>``; ``tombstones/<batch>``; ``replaced/<batch>``; ``manifest/<version>.json``. Everything but the
+manifest's newest version is immutable. A version is written last, under a name that only one writer can take, so readers
 see a whole state before and after every step, and a job that dies leaves files that no manifest names.
 
-Rows are visible once sealed: pending ones and tombstoned ones are not. Searches apply the true predicate to
-every candidate, so they return what a scan of the sealed, untombstoned rows returns.
+Rows are visible once sealed: pending ones and tombstoned ones are not. A search sees texts as they were sealed, by probe
+and by scan alike; a row whose text has changed is appended and sealed again, and then only its new text counts.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +27,18 @@ from trawl.sources.files import Files
 
 #: Segments above which sealing merges, and how many a merge leaves.
 TARGET_SEGMENTS = 10
+#: Of the layout; an index of another format isn't opened.
+FORMAT = 2
+#: Seconds after which a writer's lock counts as left by a dead one.
+STALE_SECONDS = 3600.0
+#: What ``build`` takes as options. partitions: of postings; target_segments: of seals; autovacuum_enabled: whether ``vacuum`` seals pending rows.
+OPTIONS = {"partitions": int, "target_segments": int, "autovacuum_enabled": bool}
 BUILDS = {"count": 0}
 _DICTIONARY = "trigram int, df bigint, n_occ bigint"
 _KEYS = "doc_key bigint"
+_ROWS = "doc_key bigint, text string"
+
+Source = DataFrame | str | Callable[[], DataFrame]
 
 
 class Conflict(RuntimeError):
@@ -33,27 +46,39 @@ class Conflict(RuntimeError):
 
 
 class TextIndex:
-    """docs: the base table, with a key that is unique and not null in indexed rows, and a text column."""
+    """source: the base table, with a key that is unique and not null in indexed rows, and a text column: a path of Parquet
+    files or a function, which are read anew by each seal and search, or a frame, whose files are those it began with."""
 
-    def __init__(self, docs: DataFrame, key_col: str, text_col: str, path: str):
-        self.docs, self.key_col, self.text_col = docs, key_col, text_col
-        self.spark: SparkSession = docs.sparkSession
+    def __init__(self, source: Source, key_col: str, text_col: str, path: str):
+        self.source, self.key_col, self.text_col = source, key_col, text_col
+        self.spark: SparkSession = source.sparkSession if isinstance(source, DataFrame) else SparkSession.active()
         self.files = Files(self.spark, path)
 
+    @property
+    def docs(self) -> DataFrame:
+        """The base table as it is now."""
+        if isinstance(self.source, str):
+            return self.spark.read.parquet(self.source)
+        return self.source() if callable(self.source) else self.source
+
     @classmethod
-    def build(cls, docs: DataFrame, key_col: str, text_col: str, path: str, initial: DataFrame | None = None) -> TextIndex:
-        """Indexes ``initial`` (default: all of ``docs``) as one segment; null texts are accepted and have no postings."""
-        index = cls(docs, key_col, text_col, path)
+    def build(cls, source: Source, key_col: str, text_col: str, path: str, initial: DataFrame | None = None, options: dict | None = None) -> TextIndex:
+        """Indexes ``initial`` (default: all of the base table) as one segment; null texts are accepted and have no postings."""
+        options = dict(options or {})
+        for name, value in options.items():
+            if name not in OPTIONS or type(value) is not OPTIONS[name] or OPTIONS[name] is int and value < 1:
+                raise ValueError(f"option {name}={value!r}: options are {', '.join(OPTIONS)}")
+        index = cls(source, key_col, text_col, path)
         if index.files.names("manifest"):
             raise Conflict(f"{path} holds an index")
-        segment = index._write_segment(initial if initial is not None else docs)
-        index._publish({"version": 0, "segments": [segment] if segment else [], "consumed": [], "tombstones": []})
+        segment = index._write_segment(initial if initial is not None else index.docs, 0, options)
+        index._publish({"format": FORMAT, "version": 0, "options": options, "segments": [segment] if segment else [], "consumed": [], "tombstones": [], "replaced": []})
         BUILDS["count"] += 1
         return index
 
     @classmethod
-    def open(cls, docs: DataFrame, key_col: str, text_col: str, path: str) -> TextIndex:
-        index = cls(docs, key_col, text_col, path)
+    def open(cls, source: Source, key_col: str, text_col: str, path: str) -> TextIndex:
+        index = cls(source, key_col, text_col, path)
         index.manifest()
         return index
 
@@ -63,44 +88,75 @@ class TextIndex:
         versions = [n for n in self.files.names("manifest") if n.endswith(".json") and not n.startswith(".")]
         if not versions:
             raise FileNotFoundError(f"no index at {self.files.root}")
-        return self.files.read_json("manifest", versions[-1])
+        state = self.files.read_json("manifest", versions[-1])
+        if state.get("format") != FORMAT:
+            raise ValueError(f"the index at {self.files.root} has format {state.get('format')}, not {FORMAT}")
+        return state
 
     def _publish(self, state: dict) -> None:
         if not self.files.create(json.dumps(state), "manifest", f"{state['version']:012d}.json"):
             raise Conflict("another writer has published; nothing of this step is visible")
 
-    def _write_segment(self, rows: DataFrame) -> dict | None:
+    def _write_segment(self, rows: DataFrame, epoch: int, options: dict) -> dict | None:
         name = uuid.uuid4().hex
-        keys = rows.where(F.col(self.key_col).isNotNull()).select(F.col(self.key_col).cast("bigint").alias("doc_key"))
-        keys.write.parquet(self.files.path("segments", name, "keys"))
-        T.postings(rows, self.key_col, self.text_col).repartitionByRange("trigram", "doc_key").sortWithinPartitions("trigram", "doc_key").write.parquet(self.files.path("segments", name, "postings"))
-        return self._describe(name)
-
-    def _describe(self, name: str) -> dict | None:
-        """Writes the dictionary of a segment whose postings and keys are there; its manifest entry, or None if it has no rows."""
-        postings = self.spark.read.schema(T.POSTINGS).parquet(self.files.path("segments", name, "postings"))
-        postings.groupBy("trigram").agg(F.count("*").alias("df"), F.sum(F.size("occ")).cast("bigint").alias("n_occ")).repartitionByRange("trigram").sortWithinPartitions("trigram").write.parquet(self.files.path("segments", name, "dictionary"))
-        docs = self.spark.read.schema(_KEYS).parquet(self.files.path("segments", name, "keys")).count()
+        found = rows.where(F.col(self.key_col).isNotNull()).select(F.col(self.key_col).cast("bigint").alias("doc_key"), F.col(self.text_col).alias("text"))
+        self._write_rows(found, name)
+        sealed = self._tables(_ROWS, [("segments", name, "rows")])
+        staging = self.files.path("segments", name, "staging")
+        T.postings(sealed, "doc_key", "text").write.parquet(staging)  # written once: dealing by ranges reads its rows twice
+        self._write_postings(self.spark.read.schema(T.POSTINGS).parquet(staging), name, options)
+        self.files.delete("segments", name, "staging")
+        return self._describe(name, epoch)
+
+    def _write_rows(self, rows: DataFrame, name: str) -> None:
+        small = {"parquet.block.size": str(16 << 20), "parquet.page.size": str(128 << 10), "parquet.page.row.count.limit": "500"}
+        rows.repartitionByRange("doc_key").sortWithinPartitions("doc_key").write.options(**small).parquet(self.files.path("segments", name, "rows"))
+
+    def _write_postings(self, postings: DataFrame, name: str, options: dict) -> None:
+        by = ("trigram", "doc_key")
+        dealt = postings.repartitionByRange(options["partitions"], *by) if "partitions" in options else postings.repartitionByRange(*by)
+        dealt.sortWithinPartitions(*by).write.parquet(self.files.path("segments", name, "postings"))
+
+    def _describe(self, name: str, epoch: int) -> dict | None:
+        """Writes the dictionary of a segment whose postings and rows are there; its manifest entry, or None if it has no rows."""
+        docs = self._tables(_ROWS, [("segments", name, "rows")]).count()
         if not docs:
             self.files.delete("segments", name)
             return None
+        postings = self.spark.read.schema(T.POSTINGS).parquet(self.files.path("segments", name, "postings"))
+        postings.groupBy("trigram").agg(F.count("*").alias("df"), F.sum(F.size("occ")).cast("bigint").alias("n_occ")).repartitionByRange("trigram").sortWithinPartitions("trigram").write.parquet(self.files.path("segments", name, "dictionary"))
         n = self.spark.read.schema(_DICTIONARY).parquet(self.files.path("segments", name, "dictionary")).agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-        return {"id": name, "docs": docs, "postings": int(n), "bytes": sum(b for _, b in self.files.sizes("segments", name, "postings"))}
+        return {"id": name, "epoch": epoch, "docs": docs, "postings": int(n), "bytes": sum(b for _, b in self.files.sizes("segments", name, "postings"))}
 
     def _tables(self, schema: str, folders: list[tuple[str, ...]]) -> DataFrame:
         paths = [self.files.path(*f) for f in folders]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def postings(self, state: dict | None = None, segments: list[str] | None = None) -> DataFrame:
-        names = segments if segments is not None else [s["id"] for s in (state or self.manifest())["segments"]]
-        return self._tables(T.POSTINGS, [("segments", n, "postings") for n in names])
+    def _live(self, schema: str, part: str, state: dict, segments: list[dict] | None = None) -> DataFrame:
+        """A part of segments, without what later segments replace."""
+        by_batches: dict[tuple[str, ...], list[dict]] = {}
+        for s in state["segments"] if segments is None else segments:
+            by_batches.setdefault(tuple(r["batch"] for r in state["replaced"] if r["epoch"] > s["epoch"]), []).append(s)
+        out = []
+        for batches, own in by_batches.items():
+            rows = self._tables(schema, [("segments", s["id"], part) for s in own])
+            out.append(rows.join(self._tables(_KEYS, [("replaced", b) for b in batches]), "doc_key", "left_anti").select(*rows.columns) if batches else rows)
+        return reduce(DataFrame.union, out) if out else self._tables(schema, [])
+
+    def postings(self, state: dict | None = None) -> DataFrame:
+        return self._live(T.POSTINGS, "postings", state or self.manifest())
 
     def dictionary(self, state: dict | None = None, segments: list[str] | None = None) -> DataFrame:
+        """Replaced rows count until a merge drops them, as tombstoned ones do."""
         names = segments if segments is not None else [s["id"] for s in (state or self.manifest())["segments"]]
         return self._tables(_DICTIONARY, [("segments", n, "dictionary") for n in names])
 
+    def rows(self, state: dict | None = None) -> DataFrame:
+        """(doc_key, text) of sealed rows, tombstoned ones among them."""
+        return self._live(_ROWS, "rows", state or self.manifest())
+
     def sealed_keys(self, state: dict | None = None) -> DataFrame:
-        return self._tables(_KEYS, [("segments", s["id"], "keys") for s in (state or self.manifest())["segments"]])
+        return self.rows(state).select("doc_key")
 
     def tombstones(self, state: dict | None = None) -> DataFrame:
         return self._tables(_KEYS, [("tombstones", b) for b in (state or self.manifest())["tombstones"]])
@@ -109,8 +165,12 @@ class TextIndex:
 
     def append(self, keys: DataFrame) -> None:
         """Notes keys (first column) as pending; null keys are skipped. Their rows are looked up when they are sealed."""
+        self._write_pending(keys.select(F.col(keys.columns[0]).cast("bigint").alias("doc_key")).where("doc_key is not null"))
+
+    def _write_pending(self, keys: DataFrame) -> str:
         batch = uuid.uuid4().hex
-        keys.select(F.col(keys.columns[0]).cast("bigint").alias("doc_key")).where("doc_key is not null").write.parquet(self.files.path("pending", batch))
+        keys.write.parquet(self.files.path("pending", batch))
+        return batch
 
     def pending_batches(self, state: dict | None = None) -> list[str]:
         done = set((state or self.manifest())["consumed"])
@@ -119,34 +179,60 @@ class TextIndex:
     def pending(self, batches: list[str] | None = None) -> DataFrame:
         return self._tables(_KEYS, [("pending", b) for b in (self.pending_batches() if batches is None else batches)])
 
-    def lock(self) -> _Lock:
-        return _Lock(self.files)
+    def lock(self, wait: float = 0.0) -> _Lock:
+        """To hold while writing. wait: seconds to try for; 0 tries once."""
+        return _Lock(self.files, wait)
 
     def detach(self) -> list[str]:
         """The cut-off of a seal: batches complete now. Later ones wait for the next seal."""
         return self.pending_batches()
 
-    def seal(self, batches: list[str] | None = None, target: int = TARGET_SEGMENTS) -> int:
+    def seal(self, batches: list[str] | None = None, target: int | None = None, wait: float = 0.0, keep_missing: bool = True) -> int:
         """Indexes the rows of the detached batches (default: all complete ones) as one segment; merges if there are more than ``target``. Returns rows sealed.
 
-        A key that is sealed already, or pending twice, is indexed once; a key without a row in the base table is dropped.
+        The base table is read as it is now. A key without a row in it stays pending (keep_missing) for a later seal, which sees rows
+        that arrive until then, or is dropped. A key that is pending twice is indexed once; one that is sealed with the text that
+        it has now isn't indexed again, one whose text has changed is, and replaces what was sealed.
         """
-        with self.lock():
-            state = self.manifest()
-            batches = self.detach() if batches is None else [b for b in batches if b not in state["consumed"]]
-            if not batches:
-                return 0
-            new = self.pending(batches).distinct().join(self.sealed_keys(state), "doc_key", "left_anti")
-            rows = self.docs.join(new.withColumnRenamed("doc_key", "_pending_key"), F.col(self.key_col) == F.col("_pending_key"), "left_semi")
-            segment = self._write_segment(rows)
-            self._publish({"version": state["version"] + 1, "segments": [*state["segments"], *([segment] if segment else [])], "consumed": [*state["consumed"], *batches], "tombstones": state["tombstones"]})
-            if len(state["segments"]) + bool(segment) > target:
-                self._merge(target)
-            return segment["docs"] if segment else 0
-
-    def tombstone(self, keys: DataFrame) -> int:
+        with self.lock(wait):
+            return self._seal(batches, target, keep_missing)
+
+    def _seal(self, batches: list[str] | None, target: int | None, keep_missing: bool) -> int:
+        state = self.manifest()
+        target = target or state["options"].get("target_segments", TARGET_SEGMENTS)
+        batches = self.detach() if batches is None else [b for b in batches if b not in state["consumed"]]
+        if not batches:
+            return 0
+        epoch = state["version"] + 1
+        asked = self.pending(batches).distinct()
+        base = self.docs.select(F.col(self.key_col).cast("bigint").alias("doc_key"), F.col(self.text_col).alias("text"))
+        here = base.join(asked, "doc_key", "left_semi")
+        sealed = self.rows(state).select("doc_key", F.struct("text").alias("was"))
+        due = here.join(sealed, "doc_key", "left").where(F.col("was").isNull() | ~F.col("was.text").eqNullSafe(F.col("text")))
+        name = uuid.uuid4().hex
+        staging = self.files.path("staging", name)
+        due.select("doc_key", "text", F.col("was").isNotNull().alias("again")).write.parquet(staging)
+        rows = self.spark.read.schema(f"{_ROWS}, again boolean").parquet(staging)
+        own = TextIndex(rows, "doc_key", "text", self.files.root)
+        segment = own._write_segment(rows, epoch, state["options"])
+        replaced = list(state["replaced"])
+        again = rows.where("again").select("doc_key")
+        if segment and again.head(1):
+            again.write.parquet(self.files.path("replaced", name))
+            replaced.append({"batch": name, "epoch": epoch})
+        if keep_missing:
+            missing = asked.join(base.select("doc_key"), "doc_key", "left_anti")
+            if missing.head(1):  # before the state says that its batch is done, so that no failure loses a key
+                self._write_pending(missing)
+        self._publish({**state, "version": epoch, "segments": [*state["segments"], *([segment] if segment else [])], "consumed": [*state["consumed"], *batches], "replaced": replaced})
+        self.files.delete("staging", name)
+        if len(state["segments"]) + bool(segment) > target:
+            self._merge(target)
+        return segment["docs"] if segment else 0
+
+    def tombstone(self, keys: DataFrame, wait: float = 0.0) -> int:
         """Hides keys (first column) from all searches from now on; null keys are skipped. Returns how many weren't hidden before."""
-        with self.lock():
+        with self.lock(wait):
             state = self.manifest()
             batch = uuid.uuid4().hex
             given = keys.select(F.col(keys.columns[0]).cast("bigint").alias("doc_key")).where("doc_key is not null").distinct()
@@ -156,9 +242,9 @@ class TextIndex:
                 self._publish({**state, "version": state["version"] + 1, "tombstones": [*state["tombstones"], batch]})
             return n
 
-    def merge(self, target: int = TARGET_SEGMENTS) -> int:
-        """Rewrites segments so that ``target`` are left at most; tombstoned rows' postings go. Returns how many there are now."""
-        with self.lock():
+    def merge(self, target: int = TARGET_SEGMENTS, wait: float = 0.0) -> int:
+        """Rewrites segments so that ``target`` are left at most; tombstoned and replaced rows' postings go. Returns how many there are now."""
+        with self.lock(wait):
             return self._merge(target)
 
     def _merge(self, target: int) -> int:
@@ -168,38 +254,50 @@ class TextIndex:
         groups: list[list[dict]] = [[] for _ in range(max(1, target))]
         for s in sorted(state["segments"], key=lambda s: (-s["bytes"], s["id"])):  # the largest first, each to the smallest group
             min(groups, key=lambda g: sum(x["bytes"] for x in g)).append(s)
-        dead, out = self.tombstones(state), []
+        dead, out, epoch = self.tombstones(state), [], state["version"] + 1
         for group in groups:
             if len(group) <= 1:
                 out += group
                 continue
-            name, ids = uuid.uuid4().hex, [s["id"] for s in group]
-            keys = self._tables(_KEYS, [("segments", i, "keys") for i in ids])
-            keys.join(dead, "doc_key", "left_anti").write.parquet(self.files.path("segments", name, "keys"))
-            live = self.postings(segments=ids).join(dead, "doc_key", "left_anti").select("trigram", "doc_key", "occ")
-            live.repartitionByRange("trigram", "doc_key").sortWithinPartitions("trigram", "doc_key").write.parquet(self.files.path("segments", name, "postings"))
-            if merged := self._describe(name):
+            name = uuid.uuid4().hex
+            self._write_rows(self._live(_ROWS, "rows", state, group).join(dead, "doc_key", "left_anti").select("doc_key", "text"), name)
+            live = self._live(T.POSTINGS, "postings", state, group).join(dead, "doc_key", "left_anti").select("trigram", "doc_key", "occ")
+            self._write_postings(live, name, state["options"])
+            if merged := self._describe(name, epoch):
                 out.append(merged)
-        self._publish({**state, "version": state["version"] + 1, "segments": out})
+        oldest = min((s["epoch"] for s in out), default=epoch)
+        self._publish({**state, "version": epoch, "segments": out, "replaced": [r for r in state["replaced"] if r["epoch"] > oldest]})
         return len(out)
 
-    def vacuum(self) -> None:
-        """Removes files that no manifest names, and all versions but the newest; only while nobody reads an older one."""
-        with self.lock():
-            state = self.manifest()
-            live = {s["id"] for s in state["segments"]}
-            for name in self.files.names("segments"):
+    def vacuum(self) -> bool:
+        """Seals pending rows and removes files that no manifest names, and all versions but the newest; only while nobody reads an older one. False, and nothing is done, while another writer is at work."""
+        try:
+            lock = self.lock().__enter__()
+        except Conflict:
+            return False
+        try:
+            if self.manifest()["options"].get("autovacuum_enabled", True):
+                self._seal(None, None, True)
+            self._sweep()
+        finally:
+            lock.__exit__()
+        return True
+
+    def _sweep(self) -> None:
+        state = self.manifest()
+        done = [b for b in state["consumed"] if b in set(self.files.names("pending"))]
+        kept = {"segments": {s["id"] for s in state["segments"]}, "tombstones": set(state["tombstones"]), "replaced": {r["batch"] for r in state["replaced"]}, "staging": set()}
+        for folder, live in kept.items():
+            for name in self.files.names(folder):
                 if name not in live:
-                    self.files.delete("segments", name)
-            for name in self.files.names("pending"):
-                if name in state["consumed"]:
-                    self.files.delete("pending", name)
-            for name in self.files.names("tombstones"):
-                if name not in state["tombstones"]:
-                    self.files.delete("tombstones", name)
-            for name in self.files.names("manifest"):
-                if name != f"{state['version']:012d}.json":
-                    self.files.delete("manifest", name)
+                    self.files.delete(folder, name)
+        for name in done:
+            self.files.delete("pending", name)
+        last = state["version"] + 1  # the names of pending batches that are gone needn't be kept
+        self._publish({**state, "version": last, "consumed": []})
+        for name in self.files.names("manifest"):
+            if name != f"{last:012d}.json":
+                self.files.delete("manifest", name)
 
     # introspection
 
@@ -209,6 +307,9 @@ class TextIndex:
             raise IndexError(f"segment {i} of {len(segments)}")
         return segments[i - 1]["id"]
 
+    def _segment_postings(self, i: int) -> DataFrame:
+        return self._tables(T.POSTINGS, [("segments", self._segment(i), "postings")])
+
     def segments(self) -> DataFrame:
         """(segment_idx, docs, postings, size): from 1; size: bytes of the postings' files."""
         rows = [(i, s["docs"], s["postings"], s["bytes"]) for i, s in enumerate(self.manifest()["segments"], 1)]
@@ -224,13 +325,13 @@ class TextIndex:
 
     def postings_preview(self, i: int, trigram: int, max_docs: int) -> DataFrame:
         """(doc_key, positions_count, first_position, last_position) of the first documents, in key order; tombstones aren't applied."""
-        found = self.postings(segments=[self._segment(i)]).where(F.col("trigram") == trigram)
+        found = self._segment_postings(i).where(F.col("trigram") == trigram)
         rows = found.select("doc_key", F.size("occ").alias("positions_count"), F.col("occ")[0]["pos"].alias("first_position"), F.element_at("occ", -1)["pos"].alias("last_position"))
         return rows.orderBy("doc_key").limit(max(0, max_docs))
 
     def posting_positions(self, i: int, trigram: int, key: int) -> DataFrame:
         """(position, flags) of one trigram in one document, in order; none if it isn't there; tombstones aren't applied."""
-        found = self.postings(segments=[self._segment(i)]).where((F.col("trigram") == trigram) & (F.col("doc_key") == key))
+        found = self._segment_postings(i).where((F.col("trigram") == trigram) & (F.col("doc_key") == key))
         return found.select(F.inline("occ")).select(F.col("pos").cast("bigint").alias("position"), "flags")
 
     def storage_stats(self) -> DataFrame:
@@ -241,8 +342,8 @@ class TextIndex:
         return self.spark.createDataFrame([row], "version bigint, segments int, docs bigint, pending_rows bigint, tombstones bigint, files bigint, bytes bigint")
 
     def _component_sizes(self, state: dict) -> dict[str, tuple[int, int]]:
-        folders = {part: [("segments", s["id"], part) for s in state["segments"]] for part in ("postings", "dictionary", "keys")}
-        folders |= {"pending": [("pending", b) for b in self.pending_batches(state)], "tombstones": [("tombstones", b) for b in state["tombstones"]]}
+        folders = {part: [("segments", s["id"], part) for s in state["segments"]] for part in ("postings", "dictionary", "rows")}
+        folders |= {"pending": [("pending", b) for b in self.pending_batches(state)], "tombstones": [("tombstones", b) for b in state["tombstones"]], "replaced": [("replaced", r["batch"]) for r in state["replaced"]]}
         out = {}
         for part, at in folders.items():
             sizes = [b for f in at for _, b in self.files.sizes(*f)]
@@ -252,8 +353,9 @@ class TextIndex:
     def overhead(self) -> DataFrame:
         """(component, files, bytes, rows) by name; bytes sum to what the index's current state takes."""
         state = self.manifest()
-        rows = {"postings": self.postings(state).count(), "dictionary": self.dictionary(state).count(), "keys": self.sealed_keys(state).count(), "pending": self.pending(self.pending_batches(state)).count(), "tombstones": self.tombstones(state).count()}
-        return self.spark.createDataFrame([(part, n, b, rows[part]) for part, (n, b) in sorted(self._component_sizes(state).items())], "component string, files bigint, bytes bigint, rows bigint")
+        stored = lambda schema, part: self._tables(schema, [("segments", s["id"], part) for s in state["segments"]])
+        tables = {"postings": stored(T.POSTINGS, "postings"), "dictionary": self.dictionary(state), "rows": stored(_ROWS, "rows"), "pending": self.pending(self.pending_batches(state)), "tombstones": self.tombstones(state), "replaced": self._tables(_KEYS, [("replaced", r["batch"]) for r in state["replaced"]])}
+        return self.spark.createDataFrame([(part, n, b, tables[part].count()) for part, (n, b) in sorted(self._component_sizes(state).items())], "component string, files bigint, bytes bigint, rows bigint")
 
     def trigram_frequencies(self, codes: list[int], state: dict | None = None) -> dict[int, int]:
         """Documents that have each of a pattern's codes, summed over segments; 0 for codes of none."""
@@ -262,18 +364,34 @@ class TextIndex:
 
 
 class _Lock:
-    """One writer at a time; a writer that died leaves a file that says when it began, to be removed by hand."""
+    """One writer at a time. The file says who began and when; one older than ``STALE_SECONDS`` is taken over, which loses
+    nothing, since a slow writer that comes back finds its version's name taken."""
 
-    def __init__(self, files: Files):
-        self.files = files
+    def __init__(self, files: Files, wait: float):
+        self.files, self.wait, self.owner = files, wait, uuid.uuid4().hex
+
+    def _holder(self) -> dict | None:
+        try:
+            return self.files.read_json("writer.lock")
+        except Exception:  # noqa: BLE001  it has just gone
+            return None
 
     def __enter__(self) -> _Lock:
-        if not self.files.create(uuid.uuid4().hex, "writer.lock"):
-            raise Conflict(f"{self.files.path('writer.lock')} is there: another writer is at work")
+        until = time.time() + self.wait
+        while not self.files.create(json.dumps({"owner": self.owner, "at": time.time()}), "writer.lock"):
+            holder = self._holder()
+            if holder and time.time() - holder["at"] > STALE_SECONDS:
+                self.files.move_away("writer.lock")
+            elif time.time() >= until:
+                raise Conflict(f"{self.files.path('writer.lock')} is there: another writer is at work")
+            else:
+                time.sleep(0.2)
         return self
 
     def __exit__(self, *_) -> None:
-        self.files.delete("writer.lock")
+        holder = self._holder()
+        if holder and holder["owner"] == self.owner:
+            self.files.delete("writer.lock")
 
 
 def builds() -> int:

@@ -17,7 +17,7 @@ def ingest(index: TextIndex, stream: DataFrame, checkpoint: str, seal: bool = Fa
     def take(batch: DataFrame, _: int) -> None:
         index.append(batch.select(index.key_col))
         if seal:
-            index.seal()
+            index.seal(wait=600)
 
     writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
