@@ -7,8 +7,11 @@ diagonal bands that overlap by half, so that any e + 1 diagonals lie in one band
 are aligned within the band, with free ends in the document. Passages longer than ``window`` are
 cut into windows that overlap by half, each of which counts as a passage of its own.
 
-e is ``rate`` of a passage's length, or the most for which the lemma's bound is 1 if that is less. Passages of fewer
-than q characters say nothing and take no part; null texts are empty; passages with equal ids are separate passages.
+e is ``rate`` of a passage's length, or the most for which the lemma's bound is 1 if that is less. A passage of fewer
+than q characters has no q-grams: it must stand as it is, as whole words. Empty passages are in no text; null texts are empty;
+passages with equal ids are separate passages, of which a document's best place counts, ties to the first place. Texts may have
+any length: they are searched in slices that overlap by more than a window, hits are counted a bounded number at a time.
+Extra columns are kept or ignored, whatever their names.
 
 The passages are a side table, taken in blocks of at most ``BLOCK_CHARS`` characters: each block is broadcast and costs
 one pass over the documents, so no block outgrows a worker, whatever the benchmark's size. Documents are
@@ -17,7 +20,7 @@ never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,6 +33,8 @@ from trawl.llm.cluster import ship, slices
 
 Q, RATE, WINDOW = 10, 0.08, 400
 BLOCK_CHARS = 4_000_000
+#: Characters of a text in which hits are counted at once, and hits.
+SLICE, HITS = 1 << 14, 1 << 20
 FILTER_BITS = 24
 _BASE = 0x9E3779B97F4A7C15
 
@@ -66,7 +71,7 @@ def budget(m: int, q: int, rate: float) -> int:
 
 @dataclass
 class Passages:
-    """A block of passages and the index of their q-grams."""
+    """A block of passages and the index of their q-grams. Equal texts are one passage with the items of all."""
 
     items: list[int | None]
     texts: list[str]
@@ -74,6 +79,14 @@ class Passages:
     rate: float
 
     def __post_init__(self) -> None:
+        owners: dict[str, list[int | None]] = {}
+        for item, text in zip(self.items, self.texts, strict=True):
+            owners.setdefault(text, []).append(item)
+        self.short = {tuple(t.split(" ")): own for t, own in owners.items() if 0 < len(t) < self.q}
+        self.widths = sorted({len(w) for w in self.short})
+        self.texts = [t for t in owners if len(t) >= self.q]
+        self.items_of = [owners[t] for t in self.texts]
+        self.longest = max(map(len, self.texts), default=0)
         lengths = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.array([budget(int(m), self.q, self.rate) for m in lengths], np.int64)
         self.least = lengths - self.q + 1 - self.q * self.edits
@@ -88,26 +101,59 @@ class Passages:
         self.filter = np.zeros(1 << FILTER_BITS, np.bool_)
         self.filter[(self.grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def regions(self, chars: np.ndarray) -> list[tuple[int, int]]:
-        """(passage, first diagonal of the band) of all bands that reach the lemma's bound."""
+    def words(self, text: str) -> dict[tuple[str, ...], tuple[int, int, int]]:
+        """Passages too short for q-grams -> their first place."""
+        out: dict[tuple[str, ...], tuple[int, int, int]] = {}
+        if self.short and text:
+            words = text.split(" ")
+            starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
+            for n in self.widths:
+                for k in range(len(words) - n + 1):
+                    own = tuple(words[k : k + n])
+                    if own in self.short and own not in out:
+                        out[own] = (0, starts[k], starts[k + n] - 1)
+        return out
+
+    def regions(self, chars: np.ndarray, known: Callable[[int], bool] = lambda p: False) -> Iterator[tuple[int, int]]:
+        """(passage, first diagonal of the band) of all bands that reach the lemma's bound. known: whether a passage needn't be counted any more."""
+        over = self.longest + 2 * int(self.half.max(initial=1)) + self.q
+        step = max(SLICE, over)
+        seen: set[tuple[int, int]] = set()
+        for begin in range(0, max(1, len(chars) - over), step):
+            for found in self._regions(chars[begin : begin + step + over], begin, known):
+                if found not in seen:
+                    seen.add(found)
+                    yield found
+
+    def _regions(self, chars: np.ndarray, begin: int, known: Callable[[int], bool]) -> Iterator[tuple[int, int]]:
         hashes = qgram_hashes(chars, self.q)
         at = np.flatnonzero(self.filter[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         if not len(at) or not len(self.grams):
-            return []
+            return
         found = np.searchsorted(self.grams, hashes[at])
         found[found == len(self.grams)] = 0
         same = self.grams[found] == hashes[at]
         at, found = at[same], found[same]
-        n = self.count[found]
-        take = np.repeat(self.first[found] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(n) else np.zeros(0, np.int64)
-        owner = self.owner[take]
-        band = (np.repeat(at, n) - self.place[take]) // self.half[owner]
-        base = len(chars) + 2 * int(self.half.max(initial=1)) + 2 * max((len(t) for t in self.texts), default=0)  # band numbers lie within it on either side
-        key = np.concatenate([owner * (2 * base) + band + base, owner * (2 * base) + band - 1 + base])
-        keys, counts = np.unique(key, return_counts=True)
-        owners = keys // (2 * base)
-        enough = counts >= self.least[owners]
-        return [(int(o), int(b) * int(self.half[o])) for o, b in zip(owners[enough], keys[enough] % (2 * base) - base, strict=True)]
+        if not len(at):
+            return
+        total = np.cumsum(self.count[found])
+        base = begin + len(chars) + 2 * int(self.half.max(initial=1)) + 2 * self.longest  # band numbers lie within it on either side
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(total // HITS)) + 1):
+            n = self.count[found[part]]
+            take = np.repeat(self.first[found[part]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+            owner = self.owner[take]
+            band = (np.repeat(at[part] + begin, n) - self.place[take]) // self.half[owner]
+            key, times = np.unique(owner * (2 * base) + band + base, return_counts=True)
+            keys, place = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, times])).astype(np.int64)
+        both, place = np.unique(np.concatenate([keys, keys - 1]), return_inverse=True)  # a hit counts in the band of its half and in the one that begins before it
+        counts = np.bincount(place, np.concatenate([counts, counts])).astype(np.int64)
+        owners = both // (2 * base)
+        enough = counts >= self.least[np.minimum(owners, len(self.texts) - 1)]
+        for o, b in zip(owners[enough].tolist(), (both[enough] % (2 * base) - base).tolist(), strict=True):
+            if not known(o):
+                yield o, b * int(self.half[o])
 
 
 def ends(passage: np.ndarray, text: np.ndarray, shift: int, width: int, most: int) -> tuple[int, int]:
@@ -141,9 +187,7 @@ def matches(text: str, passages: Passages) -> dict[int, tuple[int, int, int]]:
     """passage -> (edits, begin, end) of its best place in the normal text, for those within their budgets; ties to the first."""
     chars = codes(text)
     out: dict[int, tuple[int, int, int]] = {}
-    for p, low in passages.regions(chars):
-        if p in out and out[p][0] == 0:
-            continue
+    for p, low in passages.regions(chars, lambda p: p in out and out[p][0] == 0):
         wanted, e, half = passages.texts[p], int(passages.edits[p]), int(passages.half[p])
         begin = max(0, low - e)
         found = text.find(wanted, begin, max(0, low) + 2 * half + len(wanted) + e)
@@ -151,9 +195,11 @@ def matches(text: str, passages: Passages) -> dict[int, tuple[int, int, int]]:
             place = (0, found, found + len(wanted))
         else:
             own = codes(wanted)
-            cost, end = ends(own, chars, low - e, 2 * half + 2 * e, e)
+            left = max(0, low - e)
+            cost, end = ends(own, chars[left : low + 2 * half + 2 * e + len(own) + 2], low - e - left, 2 * half + 2 * e, e)
             if cost > e:
                 continue
+            end += left
             back, length = ends(own[::-1], chars[max(0, end - len(own) - e) : end][::-1], -e, 2 * e + 1, e)
             place = (cost, end - length if back == cost else max(0, end - len(own)), end)
         if p not in out or place < out[p]:
@@ -161,6 +207,16 @@ def matches(text: str, passages: Passages) -> dict[int, tuple[int, int, int]]:
     return out
 
 
+def places(text: str, passages: Passages) -> dict[int | None, tuple[int, int, int]]:
+    """item -> its best place in the normal text."""
+    best: dict[int | None, tuple[int, int, int]] = {}
+    found = [(passages.items_of[p], place) for p, place in matches(text, passages).items()] + [(passages.short[w], place) for w, place in passages.words(text).items()]
+    for items, place in found:
+        for item in items:
+            best[item] = min(best.get(item, place), place)
+    return best
+
+
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", q: int = Q, rate: float = RATE, window: int = WINDOW, chars: int = BLOCK_CHARS) -> Iterator[Passages]:
     """The passages, a bounded block at a time; the driver holds one block."""
     items: list[int | None] = []
@@ -168,7 +224,7 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
     size = 0
     for item, raw in benchmark.select(F.col(item_col).cast("bigint"), text_col).toLocalIterator():
         text = normal(raw)
-        if len(text) < q:
+        if not text:
             continue
         cuts = range(0, max(1, len(text) - window // 2), window // 2) if len(text) > window else [0]
         for at in cuts:
@@ -197,11 +253,7 @@ def found_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
             for batch in slices(batches):
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    best: dict[int | None, tuple[int, int, int]] = {}
-                    for p, place in matches(normal(text), shared.value).items():
-                        item = shared.value.items[p]
-                        best[item] = min(best.get(item, place), place)
-                    rows += [(doc, item, *place) for item, place in best.items()]
+                    rows += [(doc, item, *place) for item, place in places(normal(text), shared.value).items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "edits", "begin", "end"])
 
@@ -221,7 +273,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                yield batch.filter(pa.array([not matches(normal(t), shared.value) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not places(normal(t), shared.value) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
