@@ -30,6 +30,27 @@ def vectors(seed, n, dims=16):
     return [*rows, rows[3]]
 
 
+def test_terms_are_split_by_their_bounds():
+    rng = np.random.default_rng(4)
+    candidates = np.floor(rng.normal(0, 50, (600, 24)) * np.where(np.arange(24) < 4, 8, 1))
+    ids, query = np.arange(600), np.floor(rng.normal(0, 50, 24))
+    visited = []
+    got = maxscore.top_k(candidates, ids, query, 3, 5, block=100, visited=visited)
+    scores = candidates @ query
+    assert got == [(int(scores[i]), int(i)) for i in sorted(set(range(600)) - {3}, key=lambda i: (-scores[i], i))[:5]]
+    split, traversed, probed = zip(*visited[1:], strict=True)
+    assert visited[0][0] == 24 and all(0 <= s < 24 for s in split) and all(t == s * 100 for s, t in zip(split, traversed, strict=True))
+    assert sum(traversed) + sum(probed) < 500 * 24 / 2
+    assert maxscore.top_k(candidates, ids, query, 3, 5, floor=got[4][0]) == got
+    assert maxscore.essential(np.array([9.0, 3.0, 1.0]), 4.0)[0] == 2 and maxscore.essential(np.array([9.0, 3.0, 1.0]), -np.inf)[0] == 3
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "a b c", f"s{i % 2}", 1, 2, 3) for i in range(20)], "doc_id bigint, text string, source string, _mix_target int, _mix_copy int, r int")
+    got = mixing.mix(df)
+    assert got.columns == df.columns and {tuple(r)[3:] for r in got.collect()} == {(1, 2, 3)}
+
+
 @pytest.mark.parametrize(("shard", "block"), [(4096, 256), (40, 3)])
 def test_top_k_against_brute_force(spark, shard, block):
     rows = vectors(1, 300)

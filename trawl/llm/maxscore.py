@@ -2,11 +2,11 @@
 
 A query's terms are its dimensions. Within a block of candidates each dimension has a least and a largest value, so
 a term adds at most max(q x least, q x largest). Terms are ordered by how much they can move a score (the
-difference of the two); after each group of terms the bound of what is left is known. Terms whose left-over
-bound could still lift an unseen candidate over the k-th best score are essential: their columns (postings) are
-traversed for every candidate. The other terms are probed only for candidates that are still competitive,
-and candidates are given up as soon as score so far + bound of the rest is below the k-th best. Ties can't be
-lost: only candidates strictly below are given up.
+difference of the two). The last terms whose bounds together stay below the k-th best score so far are not essential: no
+candidate gets there by them alone. The columns (postings) of the essential terms are traversed for all candidates of the
+block; the others are probed only for candidates that are still competitive, and candidates are given up as soon as
+score so far + bound of the rest is below the k-th best. A block whose bounds all together stay below is skipped. Ties can't
+be lost: only candidates strictly below are given up. A task passes the k-th best that a query has reached on to its next shard.
 
 Vectors are packed into blocks of rows by a hash of their id. Query blocks meet candidate shards in an equi-join
 on the shard number (queries are copied to each shard, a block at a time, and never broadcast), each pair
@@ -14,7 +14,7 @@ gives at most k rows for each query, and shards' results are merged by a windowe
 its shuffle. Work grows as queries times candidates, as an exact search over a stated query set must.
 
 Vectors that are null, or hold null or non-finite components, take no part. Vectors meet only those with as many
-components. Null ids take no part. Rows with equal ids are separate candidates, but for the query's own id; as a query,
+components. Other columns are ignored, whatever their names. Null ids take no part. Rows with equal ids are separate candidates, but for the query's own id; as a query,
 the least of their vectors is asked.
 Scores beyond a long are held at its limits.
 """
@@ -32,6 +32,8 @@ from trawl.llm.cluster import ship, slices, staged
 
 #: Candidates in a packed shard, queries in a packed block, candidates bounded together.
 SHARD, QUERIES, BLOCK = 4096, 256, 1024
+#: Queries whose best scores a task remembers.
+FLOORS = 1_000_000
 _LONG = 1 << 63
 PACKED = "dims int, shard bigint, ids binary, vectors binary"
 
@@ -51,8 +53,18 @@ def _exact(candidates: np.ndarray, query: np.ndarray) -> bool:
     return bool(top * max(1, len(query)) < 2**53)
 
 
-def top_k(candidates: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, block: int = BLOCK) -> list[tuple[int, int]]:
-    """[(score, id)] of the k best rows of integer-valued float vectors, best first, ties to smaller ids, without rows of the id ``own``."""
+def essential(up: np.ndarray, least: float) -> tuple[int, np.ndarray]:
+    """(how many terms are essential, what the terms from each on can add at most); up: terms' bounds in their order."""
+    rest = np.append(np.cumsum(up[::-1])[::-1], 0.0)
+    below = rest < least
+    below[:-1] &= np.logical_and.accumulate(below[::-1])[::-1][:-1]  # from there on all suffixes stay below
+    return int(np.argmax(below)) if below[-1] else len(up), rest
+
+
+def top_k(candidates: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, block: int = BLOCK, floor: float = -np.inf, visited: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int]]:
+    """[(score, id)] of the k best rows of integer-valued float vectors, best first, ties to smaller ids, without rows of the id ``own``.
+
+    floor: rows below needn't be found. visited: gets (essential terms, postings traversed, postings probed) of each block."""
     if not _exact(candidates, query):
         exact_query = [int(x) for x in query]
         scored = [(max(-_LONG, min(_LONG - 1, sum(int(a) * b for a, b in zip(row, exact_query, strict=True)))), i) for row, i in zip(candidates, ids.tolist(), strict=True) if i != own]
@@ -63,21 +75,25 @@ def top_k(candidates: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int,
         low, high = query * part.min(axis=0), query * part.max(axis=0)
         up = np.maximum(low, high)
         order = np.argsort(-(up - np.minimum(low, high)), kind="stable")
-        rest = np.append(np.cumsum(up[order][::-1])[::-1], 0.0)  # what the terms from here on can add at most
-        least = best[k - 1][0] if len(best) >= k else -np.inf
+        least = max(floor, best[k - 1][0]) if len(best) >= k else floor
+        term, rest = essential(up[order], least)
         if rest[0] < least:
+            if visited is not None:
+                visited.append((0, 0, 0))
             continue
-        scores = np.zeros(len(part_ids))
+        first, probed = order[:term], 0
+        scores = part[:, first] @ query[first]
         alive = np.flatnonzero(part_ids != own)
-        term, step = 0, 16
+        alive = alive[scores[alive] + rest[term] >= least]
+        split = term
         while term < len(order) and len(alive):
-            now = order[term : term + step]
-            if len(alive) == len(part_ids):  # essential terms: whole columns
-                scores += part[:, now] @ query[now]
-            else:
-                scores[alive] += part[np.ix_(alive, now)] @ query[now]
-            term = min(term + step, len(order))
+            now = order[term : term + 16]
+            scores[alive] += part[np.ix_(alive, now)] @ query[now]
+            probed += len(alive) * len(now)
+            term = min(term + 16, len(order))
             alive = alive[scores[alive] + rest[term] >= least]
+        if visited is not None:
+            visited.append((split, split * len(part_ids), probed))
         if len(alive):
             found = scores[alive]
             if len(alive) > 4 * k:
@@ -130,13 +146,19 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     pairs = candidates.join(copies, (F.col("shard") == F.col("q_shard")) & (F.col("dims") == F.col("q_dims"))).select("dims", "ids", "vectors", "q_ids", "q_vectors")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floors: dict[int, int] = {}  # of queries, the k-th best in shards that this task has seen
         for batch in slices(batches, 1):
             dims = batch.column(0)[0].as_py()
             ids, values, q_ids, q_values = (np.frombuffer(batch.column(c)[0].as_buffer(), t) for c, t in ((1, "<i8"), (2, "<f8"), (3, "<i8"), (4, "<f8")))
             own, wanted = quantised(values.reshape(len(ids), dims), scale), quantised(q_values.reshape(len(q_ids), dims), scale)
             order = np.argsort(-np.abs(own).sum(axis=1), kind="stable")  # large vectors first raise the k-th best early
             own, ids = own[order], ids[order]
-            found = [(int(q), i, s) for q, w in zip(q_ids.tolist(), wanted, strict=True) for s, i in top_k(own, ids, w, q, k)]
+            found = []
+            for q, w in zip(q_ids.tolist(), wanted, strict=True):
+                best = top_k(own, ids, w, q, k, floor=floors.get(q, -np.inf))
+                if len(best) == k and len(floors) < FLOORS:
+                    floors[q] = max(floors.get(q, best[-1][0]), best[-1][0])
+                found += [(q, i, s) for s, i in best]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 

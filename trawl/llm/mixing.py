@@ -13,6 +13,7 @@ Running sums over sources run in one task; it gets one row for each source.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,13 +66,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Texts aren't shuffled: rows meet their source's target, a table of one row for each source, which Spark
     broadcasts if it is small and joins by sorting if not.
     """
+    met, copy = (f"_mix_{n}_{uuid.uuid4().hex}" for n in ("target", "copy"))  # no column of the documents has such a name
     sizes = docs.select(word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"))
     targets = staged(source_targets(sizes, weights, most), "targets")
-    t = targets.select(F.struct(F.col("source").alias("s"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("r")).alias("_mix_target"))
-    joined = docs.join(t, docs[source_col].eqNullSafe(t["_mix_target.s"]))
-    rate = F.col("_mix_target.r")
+    t = targets.select(F.struct(F.col("source").alias("s"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("r")).alias(met))
+    joined = docs.join(t, docs[source_col].eqNullSafe(t[f"{met}.s"]))
+    rate = F.col(f"{met}.r")
     n = F.least(F.floor(rate) + (draw(docs[id_col], seed) < rate - F.floor(rate)).cast("bigint"), F.lit(most)).cast("int")
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), n))).drop("_mix_target", "_mix_copy")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), n))).drop(met, copy)
 
 
 def taken(docs: DataFrame) -> DataFrame:
