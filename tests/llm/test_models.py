@@ -42,6 +42,41 @@ def test_gradient_fits_ordered_grades():
     assert np.corrcoef(above.sum(axis=1), grades[1000:])[0, 1] > 0.7
 
 
+def test_fit_against_plain_gradient_ascent():
+    """The same likelihood, climbed by fixed small steps of differences, without Adam: as good a fit, the same order of documents."""
+    rng = np.random.default_rng(6)
+    features = ordinal.Features(pattern=r"\w+", parts=lambda t: [t], distinct=True, lower=True, scale=1.0, least_link=0.0)
+    grades = rng.integers(0, 3, 240)
+    texts = [" ".join([*rng.choice(["n1", "n2", "n3"], 2), f"g{min(2, max(0, g + rng.integers(-1, 2)))}"]) for g in grades]
+    x = [features.vector(t) for t in texts]
+    used = sorted({int(k) for keys, _ in x for k in keys})
+    dense = np.array([[dict(zip(keys.tolist(), values.tolist(), strict=True)).get(k, 0.0) for k in used] for keys, values in x])
+
+    def likelihood(p):
+        theta = np.array([p[-2], p[-2] + np.exp(p[-1])])
+        above = 1 / (1 + np.exp(theta[None, :] - (dense @ p[:-2])[:, None]))
+        each = np.concatenate([1 - above[:, :1], above[:, :1] - above[:, 1:], above[:, 1:]], axis=1)
+        return np.log(each[np.arange(len(grades)), grades]).mean() - 5e-3 / len(grades) * (p[:-2] ** 2).sum()
+
+    p = np.zeros(len(used) + 2)
+    for _ in range(1500):
+        p = p + 0.5 * np.array([(likelihood(p + d) - likelihood(p - d)) / 2e-5 for d in np.eye(len(p)) * 1e-5])
+    model = ordinal.fit(x, grades, 3, features, rounds=600)
+    own = np.concatenate([model.weights[used], model.thresholds[:1], np.log(np.diff(model.thresholds))])
+    assert abs(likelihood(own) - likelihood(p)) < 2e-3
+    assert np.corrcoef(dense @ own[:-2], dense @ p[:-2])[0, 1] > 0.999
+    expected = sum(1 / (1 + np.exp(t - dense @ p[:-2])) for t in (p[-2], p[-2] + np.exp(p[-1])))
+    assert np.abs(model.above(np.array([model.margin(t) for t in texts])).sum(axis=1) - expected).max() < 0.05
+
+
+def test_the_sample_bounds_rows(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(ordinal, "fit", lambda rows, grades, *a, **b: fitted.append(len(rows)))
+    docs = spark.createDataFrame([(i % 12, f"text {i}") for i in range(600)], "doc_id bigint, text string")
+    quality.train(docs, spark.createDataFrame([(i, 1, 0, 0) for i in range(12)], LABELS), sample=10)
+    assert fitted == [10]
+
+
 def test_margin_is_the_feature_vectors_product():
     rng = np.random.default_rng(3)
     for spec in (quality.FEATURES, toxicity.FEATURES):

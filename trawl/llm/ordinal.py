@@ -5,7 +5,8 @@ are hashed into ``2**BITS`` weights, so a model has a fixed size whatever the te
 sum of its tokens' vectors (over all tokens and divided by their number, or over distinct tokens), so a token's
 part of w . x can be kept in a table, and whole texts are scored at the cost of a table lookup a token.
 
-Fitting takes a bounded sample: of the labelled documents, the ``sample`` whose ids have the least hashes (all, if fewer).
+Fitting takes a bounded sample: of the labelled documents, the ``sample`` whose ids have the least hashes (all, if fewer);
+of rows with equal ids the one with the least text.
 Features are made on the executors and the sample's alone come to the driver. Scoring covers all rows.
 """
 
@@ -163,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, grade_col: str, features: Features
     ship(docs.sparkSession)
     chosen = sampled(labels, grade_col, sample, id_col)
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    some = texts.join(F.broadcast(chosen), "_id").select("_id", "_grade", "_text")  # at most ``sample`` rows of two integers
+    met = texts.join(F.broadcast(chosen), "_id")  # at most ``sample`` rows of two integers
+    some = met.groupBy("_id", "_grade").agg(F.min("_text").alias("_text"))  # of rows with one id the least text, so that the bound holds for rows
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
