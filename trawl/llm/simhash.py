@@ -374,8 +374,8 @@ def similar_links(rows: DataFrame, nodes: DataFrame, radius: int, width: int, se
     near = staged(components(pairs).select(F.col("node").alias("_node"), F.col("root").alias("_near")), "near")
     sizes = near.groupBy("_near").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
     placed = near.join(sizes, "_near").select("_node", "_near", "_blocks", F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int").alias("_block"))
-    firsts = nodes.select("_node", "_first").join(placed, "_node")
-    texts = rows.join(firsts, rows["_row"] == firsts["_first"]).select("_node", "_near", "_blocks", "_block", "_text")
+    firsts = nodes.select("_node", "_first").join(placed, "_node")  # grows with the documents: never broadcast, at any size
+    texts = rows.join(firsts.hint("merge"), rows["_row"] == firsts["_first"]).select("_node", "_near", "_blocks", "_block", "_text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
