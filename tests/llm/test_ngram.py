@@ -98,7 +98,7 @@ def row(i, text):
     return (i, text, "en", "s", 1, 1, 2, "x", 3, 4)
 
 
-@pytest.mark.parametrize("how", [{}, {"shard_bytes": 4000, "batch_words": 200}, {"shard_bytes": 4000, "batch_words": 900, "short": 6, "alike_bytes": 600}])
+@pytest.mark.parametrize("how", [{}, {"shard_bytes": 4000, "batch_words": 200, "short": 4}, {"shard_bytes": 4000, "batch_words": 900, "short": 6, "alike_bytes": 600}])
 def test_scores_against_brute_force(spark, how):
     """Null, empty, long and repeated texts, null and repeated ids, passages that many documents share, documents that begin alike."""
     rng = random.Random(5)

@@ -7,9 +7,9 @@ equal or null ids are separate rows; columns other than the two named are ignore
 1. Documents are dealt by a hash of their first eight words (64 or 512 where many begin alike), so that a shard holds all
    documents which begin like one of its own, and packed into batches of about two million words. Texts move once.
 2. A context is the tokens before a position, nearest first, back to the document's START. Contexts of two tokens, then of three,
-   then of four, of all positions are dealt by hash to ranges, once for each batch however frequent they are: sorted arrays of
+   and so on up to ``short``, of all positions are dealt by hash to ranges, once for each batch however frequent they are: sorted arrays of
    contexts cut short. Held-out positions search them for their longest match so far and its count; training
-   positions go on only if some held-out position has their context. More such rounds follow on larger corpora (``short``).
+   positions go on only if some held-out position has their context.
 3. A held-out position whose context of ``short`` tokens occurs is told the shards that have it. For each of those shards, the runs of
    positions whose contexts it has go there, equal ones once; its suffix array of whole contexts gives each position's longest
    match, of any length, by binary search, and how often it occurs. A match reaches no further back than its run.
@@ -665,7 +665,7 @@ def training_positions(own: Batch, heads: list[Message], ties: list[Message], ea
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, fold: int = FOLD, shard_bytes: int = SHARD_BYTES, batch_words: int = BATCH, alike_bytes: int = ALIKE_BYTES, short: int | None = None) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. short (3 at least): tokens of the longest context that rounds count; None: 4, and one more for each factor of 30 over two thousand million tokens."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. short (3 at least): tokens of the longest context that rounds count; None: 6, and one more for each factor of 4 over two hundred million tokens, so that what occurs by chance in many shards is counted in rounds."""
     ship(docs.sparkSession)
     dealt, shards = deal(docs, id_col, text_col, shard_bytes, alike_bytes)
     batches = staged(packed(dealt, folds, fold, batch_words), "ngram-batches", max_records=32)
@@ -675,7 +675,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     total = sum(int(p[0]) << 31 | int(p[1]) for p in parts) + documents
     kinds = sum(int(p[2]) for p in parts) + int(documents > 0)
     if short is None:
-        short = 4 + max(0, math.ceil(math.log(max(total, 1) / 2e9, 30)))
+        short = 6 + max(0, math.ceil(math.log(max(total, 1) / 2e8, 4)))
     for length in range(3, short + 1):
         told.append(staged(later_round(batches, told[-1], shards, length, length == short), "ngram-round", codec="none"))
         if len(told) > 2:
