@@ -6,7 +6,7 @@ context, by prefix doubling with only the unresolved groups sorted again, so con
 stand together for every m.
 
 For each position of a query text the search narrows a range of the array: by binary search on the next token, and
-where the range's first and last context agree for long, by that whole stretch at once, with rolling hashes. It ends
+after a few tokens, by binary search for the place of the whole context, compared by rolling hashes. It ends
 where no context of the shard has the query's next token: the longest match, of any length, and how often it occurs.
 """
 
@@ -112,6 +112,46 @@ class Shard:
             live = live[low[live] < high[live]]
         return low
 
+    def _agree(self, own: np.ndarray, end: np.ndarray, at: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """How many tokens the query's contexts and the array's at those places share."""
+        a = self.order[at].astype(np.int64)
+        together = np.minimum(np.minimum(a, most), self.most)
+        return self._stretch(self.rolled, a, own, end, together, np.minimum(least, together))
+
+    def _whole(self, own: np.ndarray, end: np.ndarray, room: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(low, high, depth) of the longest matches within ranges that share depth tokens with the query: binary search for the place of the
+        whole context, whose neighbours share most with it, and for the range that shares as much. However alike the contexts are, it takes
+        logarithmic steps."""
+        first, last = low.copy(), high.copy()
+        live = np.flatnonzero(first < last)
+        while len(live):
+            middle = (first[live] + last[live]) >> 1
+            shared = self._agree(own, end[live], middle, room[live], depth[live])
+            at = self.order[middle].astype(np.int64) - shared - 1
+            have = np.where(at >= 0, self.ids[np.maximum(at, 0)], -1)
+            below = (shared < room[live]) & (have < ids[np.maximum(end[live] - shared - 1, 0)])
+            first[live] = np.where(below, middle + 1, first[live])
+            last[live] = np.where(below, last[live], middle)
+            live = live[first[live] < last[live]]
+        place = first
+        before, after = np.maximum(place - 1, low), np.minimum(place, high - 1)
+        best = np.maximum(self._agree(own, end, before, room, depth), self._agree(own, end, after, room, depth))
+        wanted = own[end] - own[end - best] * self.power[best]
+        ends = []
+        for right in (False, True):
+            first, last = (place.copy(), high.copy()) if right else (low.copy(), place.copy())
+            live = np.flatnonzero(first < last)
+            while len(live):
+                middle = (first[live] + last[live]) >> 1
+                a, m = self.order[middle].astype(np.int64), best[live]
+                same = (a >= m) & (self.rolled[a] - self.rolled[np.maximum(a - m, 0)] * self.power[m] == wanted[live])
+                up = same if right else ~same
+                first[live] = np.where(up, middle + 1, first[live])
+                last[live] = np.where(up, last[live], middle)
+                live = live[first[live] < last[live]]
+            ends.append(first)
+        return ends[0], ends[1], best
+
     def _bound(self, low: np.ndarray, high: np.ndarray, depth: np.ndarray, want: np.ndarray, right: bool) -> np.ndarray:
         """In each range, the first place whose token at that depth is not below (right: is above) the wanted one."""
         low, high = low.copy(), high.copy()
@@ -172,12 +212,8 @@ class Shard:
         while len(live):
             far = live[depth[live] >= _PLAIN]
             if len(far):
-                a, z = self.order[low[far]].astype(np.int64), self.order[high[far] - 1].astype(np.int64)
-                most = np.minimum(np.minimum(a, z), room[far])
-                together = np.minimum(most, self.most)
-                several = np.flatnonzero(a != z)  # a range of one context agrees with itself
-                together[several] = self._stretch(self.rolled, a[several], self.rolled, z[several], together[several], depth[far[several]])
-                depth[far] = self._stretch(self.rolled, a, own, end[far], together, depth[far])
+                low[far], high[far], depth[far] = self._whole(own, end[far], room[far], ids, low[far], high[far], depth[far])
+                live = np.setdiff1d(live, far, assume_unique=True)
             live = live[depth[live] < room[live]]
             want = ids[end[live] - depth[live] - 1]
             live, want = live[want >= 0], want[want >= 0]
