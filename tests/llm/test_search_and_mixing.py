@@ -59,6 +59,15 @@ def test_top_k_against_brute_force(spark, shard, block):
     assert got == brute(rows, lambda i: i % 50 == 0)
 
 
+def test_queries_are_never_broadcast(spark, monkeypatch):
+    rows = vectors(2, 300)
+    monkeypatch.setattr(maxscore, "GROUP_BYTES", 256)
+    found = maxscore.search(spark.createDataFrame(rows, VECTORS).repartition(5), F.col("vec_id") % 50 == 0, shard=20, block=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, found.collect())) == brute(rows, lambda i: i % 50 == 0)
+
+
 def test_pruning_loses_nothing():
     rng = np.random.default_rng(4)
     for scale in (3, 400, 2**40):

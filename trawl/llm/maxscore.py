@@ -8,8 +8,9 @@ block; the others are probed only for candidates that are still competitive, and
 score so far + bound of the rest is below the k-th best. A block whose bounds all together stay below is skipped. Ties can't
 be lost: only candidates strictly below are given up. A task passes the k-th best that a query has reached on to its next shard.
 
-Vectors are packed into blocks of rows by a hash of their id. Query blocks meet candidate shards in an equi-join
-on the shard number (queries are copied to each shard, a block at a time, and never broadcast), each pair
+Vectors are packed into blocks of rows by a hash of their id. Query blocks meet candidate shards in a Cartesian product of
+partitions: each task reads its shards and its group of query blocks from where they were written, so that queries are neither
+broadcast nor copied through a shuffle, whatever their number and the session's broadcast threshold. Each pair
 gives at most k rows for each query, and shards' results are merged by a windowed top-k, which Spark limits before
 its shuffle. Work grows as queries times candidates, as an exact search over a stated query set must.
 
@@ -32,6 +33,8 @@ from trawl.llm.cluster import ship, slices, staged
 
 #: Candidates in a packed shard, queries in a packed block, candidates bounded together.
 SHARD, QUERIES, BLOCK = 4096, 256, 1024
+#: Bytes of queries that a task holds for each of its shards.
+GROUP_BYTES = 32 << 20
 #: Queries whose best scores a task remembers.
 FLOORS = 1_000_000
 _LONG = 1 << 63
@@ -136,14 +139,16 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     spark = vectors.sparkSession
     ship(spark)
     clean = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-    n, m = clean.select(F.count("*"), F.count(F.when(queries, 1))).first()
+    n, m, components = clean.select(F.count("*"), F.count(F.when(queries, 1)), F.coalesce(F.sum(F.when(queries, F.size(vector_col))), F.lit(0))).first()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
     rows = lambda df: df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector"))
     candidates = staged(packed(rows(clean), shard * 2, shards), "candidates")
     once = rows(clean.where(queries)).groupBy("id").agg(F.min("vector").alias("vector"))
     asked = staged(packed(once, block * 2, blocks), "queries")
-    copies = asked.select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))).alias("q_shard"))
-    pairs = candidates.join(copies, (F.col("shard") == F.col("q_shard")) & (F.col("dims") == F.col("q_dims"))).select("dims", "ids", "vectors", "q_ids", "q_vectors")
+    groups = max(1, -(-8 * components // GROUP_BYTES))
+    asked = asked.select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")).coalesce(groups)
+    alike = (F.col("dims") <= F.col("q_dims")) & (F.col("dims") >= F.col("q_dims"))  # not an equality, for which the join would be shuffled or broadcast
+    pairs = candidates.join(asked.hint("shuffle_replicate_nl"), alike).select("dims", "ids", "vectors", "q_ids", "q_vectors")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors: dict[int, int] = {}  # of queries, the k-th best in shards that this task has seen
