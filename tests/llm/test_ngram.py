@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import frame, odd_rows, words
@@ -145,3 +147,39 @@ def test_probabilities_sum_to_one():
         c = grams[context] if context else n
         total = sum((grams[(*context, w)] + mu * (counts[w] + 1) / (n + v + 1)) / (c + mu) for w in [*counts, 99])
         assert total == pytest.approx(1.0)
+
+
+def batch(number, held, docs):
+    """A Batch of documents of word numbers."""
+    words, places = np.unique(np.concatenate(docs), return_inverse=True)
+    row = {"batch": number, "held": held, "doc_ids": list(range(len(docs))), "sizes": [len(d) for d in docs], "depths": [8] * len(docs), "words": (words.astype("<u8") + 10).tobytes(), "places": ngram.squeezed(places)}
+    return ngram.Batch(pa.RecordBatch.from_pylist([row], ngram._BATCH_ROW))
+
+
+def test_memory_does_not_grow_with_the_shards_that_hold_a_text(monkeypatch):
+    docs = [np.random.default_rng(d).integers(0, 400, 300) for d in range(10)] * 6
+    own, shards, short = batch(3 << 32, True, docs), 200, 4
+    asked = own.asking(short, np.ones(len(own.tokens), bool))
+    told = defaultdict(list)
+    for goal, which in asked.send(shards):
+        train = [(goal, (s << 32) + s % 2, ngram.TRAIN, ngram.squeezed_keys(asked.keys[which]), ngram.squeezed(np.ones(len(which), np.int64)), None) for s in range(shards) if s % 3]
+        question = (goal, own.number, ngram.HELD, ngram.squeezed_keys(asked.keys[which]), None, None)
+        told[ngram.HELD] += ngram.answers_of(goal, defaultdict(list, {ngram.TRAIN: train, ngram.HELD: [question]}), True)
+    told[ngram.HELD] = [m for m in told[ngram.HELD] if m[2] == ngram.HELD]
+    known = ngram.Known(own, shards, [])
+    positions = len(known.learn(short, told).at)
+    runs = []
+    monkeypatch.setattr(ngram, "PAIRS", 1 << 16, raising=False)
+    tracemalloc.start()
+    for shard, first, end in known.stretches(asked, told):
+        runs.append((shard, first.tolist(), end.tolist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[0] for r in runs] == [s for s in range(shards) if s % 3] and all(r[1:] == runs[0][1:] for r in runs)
+    assert sum(e - f for f, e in zip(*runs[0][1:], strict=True)) == positions
+    assert peak < 8 * positions * len(runs)  # a number for each pair of a position and a shard
+
+
+def test_states_are_dealt_to_all_shards():
+    own = [batch(p << 32, True, [np.arange(5)]) for p in range(64)]
+    assert {ngram.Known(b, 64, []).state()[0] for b in own} == set(range(64))
