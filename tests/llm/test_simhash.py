@@ -173,3 +173,16 @@ def test_rows_with_equal_ids_are_separate(spark):
     rows = [(3, one), (7, one + " end"), *((7, t) for t in others), (7, others[0])]
     got = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(map(tuple, got.collect())) == sorted([(3, one), *((7, t) for t in others)])
+
+
+def test_texts_are_read_for_ties_only_where_there_are_ties(spark, monkeypatch):
+    rng = random.Random(8)
+    text = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(60)) for _ in range(3)]
+    plans = []
+    staged = simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name, **how: [plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if name == "gone" else None, staged(df, name, **how)][1])
+    for least, read in ((4, False), (3, True)):  # the least id once, and twice, with the texts a and b
+        rows = [(3, text[0] + " b"), (least, text[0] + " a"), (5, text[0]), (6, text[1]), (7, text[2])]
+        got = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert sorted(map(tuple, got.collect())) == [(3, text[0] + (" a" if read else " b")), (6, text[1]), (7, text[2])]
+        assert ("_text" in plans.pop()) == read

@@ -436,10 +436,12 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = placed.join(least, "_root").select("_node", "_root", "_least")
     among = staged(prints.where("_id is not null").join(classes, "_node").select("_row", "_root", (F.col("_id") == F.col("_least")).alias("_is_least")), "shared")
     firsts = staged(among.where("_is_least").groupBy("_root").agg(F.min("_row").alias("_kept"), F.count("*").alias("_n")), "firsts")
-    tied = among.where("_is_least").join(firsts.where("_n > 1"), "_root", "left_semi")
-    by_text = tied.join(rows, "_row").groupBy("_root").agg(F.min(F.struct("_text", "_row")).alias("_x")).select(F.col("_x._row").alias("_kept"))
-    kept = firsts.where("_n = 1").select("_kept").union(by_text)
+    tied = staged(among.where("_is_least").join(firsts.where("_n > 1"), "_root", "left_semi"), "tied")
+    kept = firsts.where("_n = 1").select("_kept")
+    if tied.head(1):  # else no text is asked for, and none is shuffled
+        by_text = tied.join(rows, "_row").groupBy("_root").agg(F.min(F.struct("_text", "_row")).alias("_x")).select(F.col("_x._row").alias("_kept"))
+        kept = kept.union(by_text)
     gone = staged(among.join(kept, among["_row"] == kept["_kept"], "left_anti").select(F.col("_row").alias("_gone")), "gone")
-    for done in (prints, nodes, links, placed, among, firsts):
+    for done in (prints, nodes, links, placed, among, firsts, tied):
         drop(done)
     return numbered.join(gone.hint("merge"), numbered[number] == gone["_gone"], "left_anti").drop(number)  # the rows to remove grow with the documents: never broadcast
